@@ -69,11 +69,9 @@ def remap_classes(df: DataFrame, mapping: DataFrame, column: str = "class") -> D
 
 def dense_labels(df: DataFrame, column: str, out: str = "class_idx") -> DataFrame:
     """Contiguous indices for the classes present.  Only the distinct classes are ordered."""
-    from pyspark.sql import Window
-
     classes = df.where(F.col(column).isNotNull()).select(column).distinct()
-    ranked = classes.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(ranked, column)
+    ranked = ordered_row_number(classes, [], [column], "_pos")
+    return df.join(ranked.select(column, (F.col("_pos") - 1).cast("int").alias(out)), column)
 
 
 def task_type(df: DataFrame, column: str) -> DataFrame:

@@ -30,13 +30,13 @@ def read_stimuli(spark: SparkSession, path: str, schema: str = STIMULUS_SCHEMA,
     return raw.select(*[F.col(n).cast(kinds[n]).alias(n) for n in names if n in raw.columns])
 
 
-def read_trials(spark: SparkSession, path: str, task: str) -> DataFrame:
+def read_trials(spark: SparkSession, path: str, task: str, targets: dict[str, str] = TRIAL_TARGET) -> DataFrame:
     """Behaviour trials with the task's response column renamed to ``target``."""
-    if task not in TRIAL_TARGET:
-        raise ValueError(f"unknown task {task!r}; one of {sorted(TRIAL_TARGET)}")
+    if task not in targets:
+        raise ValueError(f"unknown task {task!r}; one of {sorted(targets)}")
     df = spark.read.parquet(path)
-    others = [c for c in df.columns if c not in TRIAL_TARGET.values()]
-    return df.select(*others, F.col(TRIAL_TARGET[task]).alias("target"))
+    others = [c for c in df.columns if c not in targets.values()]
+    return df.select(*others, F.col(targets[task]).alias("target"))
 
 
 def to_long(df: DataFrame, keys: Sequence[str], vec: str, unit: str = "unit", value: str = "value") -> DataFrame:
