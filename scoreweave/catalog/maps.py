@@ -1 +1,313 @@
-"""Placeholder."""
+"""Linear maps, classifiers and whole scoring runs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import r6
+from ..functions.registry import MetricInput, get_metric
+from ..operators import linear as L
+from ..operators.gram import moments
+from ..operators.splits import kfold
+from ..plans import runs
+from . import query
+from .views import PAIRS, R, halves, scratch, stories, table, vectors
+
+FOLD_SQL = """f AS (SELECT vec_id, (row_number() OVER (ORDER BY md5('42:' || vec_id)) - 1) % 5 AS fold FROM embeddings)"""
+
+
+def metric_input(spark, d, folds=10, **kw) -> MetricInput:
+    return MetricInput(halves(spark, d), key="vec_id", folds=folds, **kw)
+
+
+def per_target(df):
+    """Fold-by-target scores in report form."""
+    return df.select("run", F.col("target").cast("long").alias("target"), "alpha", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
+
+
+@query(f"""WITH {PAIRS}, {FOLD_SQL}, a AS (SELECT vec_id, unit AS i, p AS x FROM pairs),
+ b AS (SELECT vec_id, unit AS j, p AS r FROM pairs UNION ALL SELECT vec_id, unit + 32, y FROM pairs)
+ SELECT fold::VARCHAR AS part, i, j, count(*) AS n, {R('covar_pop(x, r) * count(*)', 5)} AS value FROM a JOIN b USING (vec_id) JOIN f USING (vec_id) GROUP BY 1, 2, 3""")
+def fold_moments(spark, d):
+    rows = kfold(halves(spark, d), "vec_id", 5).withColumn("part", F.col("fold").cast("string"))
+    m = moments(rows, "part", "x", "y", parts=5)
+    sx = m.df.where(F.col("g") < m.dim_x).select("part", F.col("g").alias("i"), F.col("s").alias("sx"))
+    long = m.df.select("part", F.col("g").alias("j"), "n", "s", F.posexplode("xr").alias("i", "v")).join(sx, ["part", "i"])
+    return long.select(
+        "part", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n",
+        r6(F.col("v") - F.col("sx") * F.col("s") / F.col("n"), 5).alias("value"))
+
+
+# Two features make ridge solvable in SQL, which checks the whole path: scan, roles, solve, score.
+TWO = """d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'test' ELSE 'train' END AS split, l_linestatus = 'O' AS v, l_quantity AS a, l_discount * 100 AS b,
+  unnest([l_extendedprice / 1000, l_tax * 100]) AS y, unnest([0, 1]) AS target FROM lineitem)"""
+
+
+def sums(name: str, where: str, src: str = "d") -> str:
+    return f"""{name} AS (SELECT target, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb,
+  covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_, var_pop(y) * count(*) AS yy FROM {src} WHERE {where} GROUP BY 1)"""
+
+
+def solve2(alpha: str) -> str:
+    det = f"((aa + {alpha}) * (bb + {alpha}) - ab * ab)"
+    return f"((bb + {alpha}) * ay - ab * by_) / {det} AS wa, ((aa + {alpha}) * by_ - ab * ay) / {det} AS wb"
+
+
+def two_features(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select(
+        F.when(F.col("l_returnflag") == "R", "test").otherwise("train").alias("split"), (F.col("l_linestatus") == "O").alias("v"),
+        F.array(F.col("l_quantity"), F.col("l_discount") * 100).alias("x"), F.array(F.col("l_extendedprice") / 1000, F.col("l_tax") * 100).alias("y"))
+
+
+FIT_SQL = """te AS (SELECT target, 1 - sum(pow(y - (my + wa * (a - ma) + wb * (b - mb)), 2)) / (var_pop(y) * count(*)) AS r2,
+  covar_pop(y, wa * a + wb * b) / sqrt(var_pop(y) * var_pop(wa * a + wb * b)) AS r FROM w JOIN d USING (target) WHERE split = 'test' GROUP BY 1)
+ SELECT target::BIGINT AS target, alpha::DOUBLE AS alpha, {wa} AS w0, {wb} AS w1, {b} AS b, {r2} AS r2, {sb} AS pearson FROM w JOIN te USING (target)""".format(
+    wa=R("wa"), wb=R("wb"), b=R("my - wa * ma - wb * mb"), r2=R("r2"), sb=R("2 * r / (1 + r)"))
+
+
+def fitted(df):
+    return df.select(
+        F.col("target").cast("long").alias("target"), "alpha", r6(F.col("w")[0]).alias("w0"), r6(F.col("w")[1]).alias("w1"), r6("b").alias("b"),
+        r6("r2").alias("r2"), r6("pearson").alias("pearson"))
+
+
+@query(f"WITH {TWO}, {sums('s', "split = 'train'")}, w AS (SELECT *, 1000.0 AS alpha, {solve2('1000')} FROM s), {FIT_SQL}")
+def ridge_fixed(spark, d):
+    rows = two_features(spark, d)
+    m = moments(rows, "split", "x", "y", parts=2)
+    return fitted(L.ridge(m, L.train_test_design(spark), 1000.0))
+
+
+LOO_ALPHAS = (1.0, 1e4, 1e6)
+
+
+@query(f"""WITH {TWO}, {sums('s', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
+ g AS (SELECT s.*, alpha, pos, {solve2('alpha')}, (bb + alpha) / ((aa + alpha) * (bb + alpha) - ab * ab) AS ia, (aa + alpha) / ((aa + alpha) * (bb + alpha) - ab * ab) AS ib,
+  -ab / ((aa + alpha) * (bb + alpha) - ab * ab) AS ic FROM s, al),
+ e AS (SELECT g.target, pos, avg(pow((d.y - my - wa * (d.a - ma) - wb * (d.b - mb)) / (1 - 1 / n - (ia * pow(d.a - ma, 2) + ib * pow(d.b - mb, 2) + 2 * ic * (d.a - ma) * (d.b - mb))), 2)) AS err
+  FROM g JOIN d USING (target) WHERE split = 'train' GROUP BY 1, 2),
+ best AS (SELECT target, min_by(pos, err) AS pos FROM e GROUP BY 1), w AS (SELECT g.* FROM g JOIN best USING (target, pos)), {FIT_SQL}""")
+def ridge_loo_choice(spark, d):
+    rows = two_features(spark, d)
+    m = moments(rows, "split", "x", "y", parts=2)
+    return fitted(L.ridge_loo(rows, "split", "x", "y", m, L.train_test_design(spark), LOO_ALPHAS))
+
+
+@query(f"""WITH {TWO}, {sums('s', "split = 'train' AND NOT v")}, {sums('full', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
+ g AS (SELECT s.*, alpha, pos, {solve2('alpha')} FROM s, al),
+ e AS (SELECT g.target, pos, min(alpha) AS alpha, 1 - sum(pow(d.y - my - wa * (d.a - ma) - wb * (d.b - mb), 2)) / (sum(pow(d.y - my, 2)) + 1e-6) AS r2 FROM g JOIN d USING (target)
+  WHERE split = 'train' AND v GROUP BY 1, 2),
+ best AS (SELECT max_by(alpha, (m, -pos)) AS alpha FROM (SELECT pos, min(alpha) AS alpha, avg(r2) AS m FROM e GROUP BY 1)),
+ w AS (SELECT full.*, alpha, {solve2('alpha')} FROM full, best), {FIT_SQL}""".replace("full", "whole"))
+def ridge_holdout_choice(spark, d):
+    rows = two_features(spark, d)
+    part = F.when(F.col("split") == "test", "test").when(F.col("v"), "val").otherwise("fit")
+    m = moments(rows.withColumn("part", part), "part", "x", "y", parts=3)
+    return fitted(L.ridge_holdout(m, L.holdout_design(spark), LOO_ALPHAS))
+
+
+@query(f"""WITH {TWO}, {sums('s', "split = 'train'")}, z AS (SELECT *, sqrt(aa / (n - 1)) AS da, sqrt(bb / (n - 1)) AS db FROM s WHERE target = 0),
+ q AS (SELECT *, ay / da AS sa, by_ / db AS sb FROM z), k AS (SELECT *, (sa * sa + sb * sb) / (sa * sa * aa / (da * da) + sb * sb * bb / (db * db) + 2 * sa * sb * ab / (da * db)) AS k FROM q),
+ w AS (SELECT *, 1.0::DOUBLE AS alpha, k * sa / da AS wa, k * sb / db AS wb FROM k), {FIT_SQL}""")
+def pls_one_component(spark, d):
+    rows = two_features(spark, d).withColumn("y", F.slice("y", 1, 1))
+    part = F.when(F.col("split") == "test", "test").when(F.col("v"), "val").otherwise("fit")
+    m = moments(rows.withColumn("part", part), "part", "x", "y", parts=3)
+    return fitted(L.pls(m, L.holdout_design(spark), [1]))
+
+
+# ---------------------------------------------------------------- full maps on the embeddings
+
+
+@query()
+def ridge_leave_one_out(spark, d):
+    return per_target(get_metric("ridge")(metric_input(spark, d)))
+
+
+@query()
+def ridge_subsampled_search(spark, d):
+    return per_target(get_metric("ridge")(metric_input(spark, d, 5), subsample=16))
+
+
+@query()
+def ridge_holdout(spark, d):
+    return per_target(get_metric("torch_ridge")(metric_input(spark, d)))
+
+
+@query()
+def lasso(spark, d):
+    return per_target(get_metric("torch_lasso")(metric_input(spark, d, 5)))
+
+
+@query()
+def elastic_net(spark, d):
+    return per_target(get_metric("torch_elastic")(metric_input(spark, d, 5)))
+
+
+@query()
+def ridge_constrained(spark, d):
+    """Two blocks of 16 features against 16 targets; feature i of a block never serves target i."""
+    rows = halves(spark, d).withColumn("y", F.slice("y", 1, 16))
+    parted, plan = _with_val(rows, 5)
+    return per_target(L.constrained_ridge(moments(parted, "part", "x", "y", pilot=rows), plan, block_size=16))
+
+
+@query()
+def ridge_block_exclusion(spark, d):
+    return _block(spark, d, "exclusion")
+
+
+@query()
+def ridge_block_selection(spark, d):
+    return _block(spark, d, "selection")
+
+
+def _block(spark, d, mode):
+    rows = halves(spark, d)
+    parted, plan = _with_val(rows, 5)
+    regions = {"early": (0, 16), "middle": (16, 24), "late": (24, 32)}
+    return per_target(L.block_ridge(moments(parted, "part", "x", "y", pilot=rows), plan, regions, 32, mode))
+
+
+def _with_val(rows, folds):
+    from ..plans.metrics import parted
+
+    return parted(MetricInput(rows, key="vec_id", folds=folds), with_val=True)
+
+
+@query()
+def ridge_temporal(spark, d):
+    """32 targets read as 8 units x 4 time bins."""
+    from ..operators.scoring import rollup_time
+
+    s = get_metric("temporal_ridge")(metric_input(spark, d, 5), n_times=4)
+    out = rollup_time(s.select("run", "unit", "t", F.col("pearson").alias("score")), [], "t", "run")
+    return out.select(F.col("t").cast("long").alias("t"), r6("final_score").alias("final_score"))
+
+
+@query()
+def ridge_inverse(spark, d):
+    return per_target(get_metric("inverse_ridge")(metric_input(spark, d, 5)))
+
+
+@query()
+def ridge_bidirectional(spark, d):
+    out = get_metric("bidirectional")(metric_input(spark, d, 5))
+    return out.select(
+        "direction", "run", F.col("target").cast("long").alias("target"), "alpha", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
+
+
+@query()
+def pls(spark, d):
+    return per_target(get_metric("pls")(metric_input(spark, d, 5)))
+
+
+@query()
+def loss_regressor_mse(spark, d):
+    return per_target(get_metric("online_linear_regressor")(metric_input(spark, d, 5), loss="mse"))
+
+
+@query()
+def loss_regressor_ccc(spark, d):
+    return per_target(get_metric("online_linear_regressor")(metric_input(spark, d, 5), loss="ccc"))
+
+
+@query()
+def loss_regressor_combined(spark, d):
+    return per_target(get_metric("online_linear_regressor")(metric_input(spark, d, 5), loss="combined"))
+
+
+@query()
+def map_predictions(spark, d):
+    """Held-out prediction of every (vector, target)."""
+    from ..plans.metrics import parted
+
+    inp = metric_input(spark, d, 5)
+    rows, plan = parted(inp)
+    m = moments(rows, "part", "x", "y", pilot=inp.rows)
+    pred = L.predict(rows, ["vec_id"], "x", L.ridge(m, plan, 10.0), m.dim_x, m.dim_y, run_of="part")
+    out = L.long_predictions(pred, ["vec_id"], rows, "y")
+    return out.select("vec_id", F.col("target").cast("long").alias("target"), r6("y").alias("y"), r6("p").alias("p"))
+
+
+# ---------------------------------------------------------------- classifiers
+
+
+def _labelled(spark, d):
+    doc = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    words = F.size(F.split("text", " ")).cast("double")
+    caps = F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double")
+    vec = F.array(F.log(F.col("n_chars") + 1.0), F.log(words + 1), caps / F.greatest(F.col("n_chars").cast("double"), F.lit(1.0)))
+    return table(spark, d, "labels").join(doc, "doc_id").select("doc_id", vec.alias("x"), F.col("quality").alias("label"), "toxic")
+
+
+@query()
+def logistic_probe(spark, d):
+    """Behavioural probe: C by 5-fold accuracy, then scores against both targets on the held-out rows."""
+    from ..operators.classify import classify, fit_classifier
+    from ..operators.scoring import dual_scores
+    from ..operators.splits import holdout
+
+    rows = holdout(_labelled(spark, d), "doc_id", 0.2, "label")
+    fit = fit_classifier(rows.where(~F.col("is_val")), "doc_id", "x", "label", (1e-2, 1.0, 100.0), 5)
+    pred = classify(rows.where("is_val"), fit, ["doc_id", "label", "toxic"], "x").withColumn("all", F.lit("all"))
+    out = dual_scores(pred, ["all"], "pred", "label", "toxic")
+    return out.select(*[r6(c).alias(c) for c in out.columns if c.endswith(("accuracy", "kappa", "macro"))])
+
+
+@query()
+def linear_classifier(spark, d):
+    """Multiclass probe of the embedding label."""
+    inp = MetricInput(vectors(spark, d).withColumnRenamed("vec", "x"), key="vec_id")
+    out = get_metric("online_linear_classifier")(inp, label="label")
+    return out.select(r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"), r6("kappa").alias("kappa"), "n")
+
+
+# ---------------------------------------------------------------- whole runs
+
+
+@query()
+def scoring_run(spark, d):
+    """Ridge with ceilings, rolled up and appended to a results store, then read back."""
+    rows = halves(spark, d)
+    ceilings = rows.select(F.posexplode("y").alias("target", "v")).groupBy("target").agg((F.avg(F.abs("v")) * 5).alias("ceiling"))
+    path = scratch(spark, "runs")
+    inp = MetricInput(rows, key="vec_id", folds=5, ceiling=ceilings)
+    runs.score_run(inp, "torch_ridge", "model", "layer", "bench", path)
+    return spark.read.parquet(path).select("model", "layer", "benchmark", "metric", "stat", r6("value").alias("value"))
+
+
+@query()
+def subject_to_subject(spark, d):
+    """Regions of one subject (first half of the vector) predict regions of another (second half)."""
+
+    def side(start):
+        pieces = F.array(F.struct(F.lit("A").alias("region"), F.slice("vec", start, 16).alias("v")), F.struct(F.lit("B").alias("region"), F.slice("vec", start + 16, 16).alias("v")))
+        return vectors(spark, d).select("vec_id", F.explode(pieces).alias("z")).select("vec_id", "z.region", F.col("z.v").alias("vec"))
+
+    out = runs.assembly_to_assembly(side(1), side(33), "vec_id", [("A", "A"), ("A", "B"), ("B", "A")], "torch_ridge", 5)
+    return out.groupBy("source_region", "target_region", "run").agg(F.count("pearson").alias("n"), r6(F.avg("r2")).alias("mean_r2"))
+
+
+@query()
+def story_scores(spark, d):
+    """Time-resolved run: lagged alignment, whole stories held out, one score per unit."""
+    return _story(spark, d)["units"].select(
+        F.col("target").cast("long").alias("target"), r6("pearson").alias("pearson"), r6("r2").alias("r2"), r6("ceiled_pearson").alias("ceiled"))
+
+
+@query()
+def story_traces(spark, d):
+    out = _story(spark, d)["traces"]
+    return out.select(F.col("story").cast("long").alias("story"), F.col("t").cast("long").alias("t"), "mask", r6("spatial_r").alias("spatial_r"))
+
+
+def _story(spark, d):
+    from ..operators.align import lag_align
+
+    s = stories(spark, d)
+    rows = lag_align(s.select("story", "t", "x"), s.select("vec_id", "story", "t", "y"), "story", "t", 2)
+    masks = spark.range(32).select(F.col("id").cast("int").alias("unit"), F.explode(F.array(F.lit("whole"), F.when(F.col("id") < 8, "early").otherwise("late"))).alias("mask"))
+    ceilings = s.select(F.posexplode("y").alias("target", "v")).groupBy("target").agg((F.avg(F.abs("v")) * 5).alias("ceiling"))
+    return runs.story_run(rows, "vec_id", "story", "response_t", "x", "y", masks, ceilings)

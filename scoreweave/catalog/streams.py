@@ -1 +1,68 @@
-"""Placeholder."""
+"""Streaming twins, run to completion over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import r6
+from ..operators.gram import cross_correlation
+from ..streaming import online
+from . import query
+from .views import PAIRS, R, scratch
+
+
+def event_stream(spark, d, name="events"):
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+
+
+def events(spark, d):
+    return event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def run(df, mode, name):
+    """Run the stream over what is available and return the written table."""
+    out, ck = scratch(df.sparkSession, name), scratch(df.sparkSession, f"{name}-ck")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True)
+    if mode == "complete":
+        w = w.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out))
+    else:
+        w = w.format("parquet").option("path", out)
+    w.start().awaitTermination()
+    return df.sparkSession.read.parquet(out)
+
+
+@query(f"SELECT user_id, count(*) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std FROM events GROUP BY 1")
+def stream_running_stats(spark, d):
+    out = run(online.running_stats(events(spark, d), ["user_id"], "value"), "complete", "stats")
+    return out.select("user_id", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query(f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)
+ SELECT epoch(date_trunc('day', ts))::BIGINT AS bin_start, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events
+ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT w FROM w) GROUP BY 1, 2""")
+def stream_tumbling_bins(spark, d):
+    out = run(online.tumbling_bins(events(spark, d), "ts", "1 day", ["event_type"], "value"), "append", "bins")
+    return out.select(F.unix_timestamp("bin_start").alias("bin_start"), "event_type", "n", r6("total", 4).alias("total"))
+
+
+@query(f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events),
+ e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + (k + 1) * INTERVAL 6 HOUR AS e, event_type, value FROM events, (SELECT unnest(range(4)) AS k))
+ SELECT epoch(e)::BIGINT AS context_end, event_type, count(*) AS n, {R('avg(value)')} AS mean FROM e WHERE e <= (SELECT w FROM w) GROUP BY 1, 2""")
+def stream_sliding_context(spark, d):
+    out = run(online.sliding_context(events(spark, d), "ts", "24 hours", "6 hours", ["event_type"], "value"), "append", "context")
+    return out.select(F.unix_timestamp("context_end").alias("context_end"), "event_type", "n", r6("mean").alias("mean"))
+
+
+@query(f"""WITH {PAIRS} SELECT a.label::VARCHAR AS part, a.unit AS source, b.unit AS target, {R('corr(a.p, b.y)')} AS r FROM pairs a JOIN pairs b USING (vec_id) GROUP BY 1, 2, 3""")
+def stream_moments(spark, d):
+    """Moments merged batch by batch, then scored on demand."""
+    path, ck = scratch(spark, "moments"), scratch(spark, "moments-ck")
+    v = F.col("embedding").cast("array<double>")
+    rows = event_stream(spark, d, "embeddings").select(
+        F.col("label").cast("string").alias("part"), F.slice(v, 1, 32).alias("x"), F.slice(v, 33, 32).alias("y"))
+    q = rows.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).foreachBatch(online.merge_moments_into(path, "x", "y", (32, 32)))
+    q.start().awaitTermination()
+    out = cross_correlation(online.read_moments(spark, path, (32, 32)))
+    return out.select("part", F.posexplode("r").alias("source", "r"), "target").select(
+        "part", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), r6("r").alias("r"))
