@@ -9,12 +9,12 @@ from . import query
 from .views import table
 
 
-@query("SELECT c_custkey, (row_number() OVER (ORDER BY md5('42:' || c_custkey)) - 1) % 10 AS fold FROM customer")
+@query("SELECT c_custkey, ntile(10) OVER (ORDER BY md5('42:' || c_custkey)) - 1 AS fold FROM customer")
 def folds_plain(spark, d):
     return splits.kfold(table(spark, d, "customer"), "c_custkey").select("c_custkey", F.col("fold").cast("long").alias("fold"))
 
 
-@query("SELECT c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey)) - 1) % 10 AS fold FROM customer")
+@query("SELECT c_custkey, ntile(10) OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey)) - 1 AS fold FROM customer")
 def folds_stratified(spark, d):
     return splits.stratified_kfold(table(spark, d, "customer"), "c_custkey", "c_mktsegment").select("c_custkey", F.col("fold").cast("long").alias("fold"))
 

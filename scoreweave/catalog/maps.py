@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..functions.registry import MetricInput, get_metric
 from ..operators import linear as L
+from ..operators.align import lag_align
 from ..operators.gram import moments
+from ..operators.regions import spatial_traces
 from ..operators.splits import kfold
 from ..plans import runs
 from . import query
 from .views import PAIRS, R, halves, scratch, stories, table, vectors
 
-FOLD_SQL = """f AS (SELECT vec_id, (row_number() OVER (ORDER BY md5('42:' || vec_id)) - 1) % 5 AS fold FROM embeddings)"""
+FOLD_SQL = """f AS (SELECT vec_id, ntile(5) OVER (ORDER BY md5('42:' || vec_id)) - 1 AS fold FROM embeddings)"""
 
 
 def metric_input(spark, d, folds=10, **kw) -> MetricInput:
@@ -293,21 +295,22 @@ def subject_to_subject(spark, d):
 @query()
 def story_scores(spark, d):
     """Time-resolved run: lagged alignment, whole stories held out, one score per unit."""
-    return _story(spark, d)["units"].select(
+    s = stories(spark, d)
+    ceilings = s.select(F.posexplode("y").alias("target", "v")).groupBy("target").agg((F.avg(F.abs("v")) * 5).alias("ceiling"))
+    return runs.story_units(_story_fit(spark, d), ceilings).select(
         F.col("target").cast("long").alias("target"), r6("pearson").alias("pearson"), r6("r2").alias("r2"), r6("ceiled_pearson").alias("ceiled"))
 
 
 @query()
 def story_traces(spark, d):
-    out = _story(spark, d)["traces"]
+    """Spatial correlation of held-out predictions at every time point, per unit mask."""
+    masks = spark.range(32).select(F.col("id").cast("int").alias("unit"), F.explode(F.array(F.lit("whole"), F.when(F.col("id") < 8, "early").otherwise("late"))).alias("mask"))
+    long = runs.story_predictions(_story_fit(spark, d), "vec_id", "story", "response_t", "x", "y")
+    out = spatial_traces(long, masks)
     return out.select(F.col("story").cast("long").alias("story"), F.col("t").cast("long").alias("t"), "mask", r6("spatial_r").alias("spatial_r"))
 
 
-def _story(spark, d):
-    from ..operators.align import lag_align
-
+def _story_fit(spark, d):
     s = stories(spark, d)
     rows = lag_align(s.select("story", "t", "x"), s.select("vec_id", "story", "t", "y"), "story", "t", 2)
-    masks = spark.range(32).select(F.col("id").cast("int").alias("unit"), F.explode(F.array(F.lit("whole"), F.when(F.col("id") < 8, "early").otherwise("late"))).alias("mask"))
-    ceilings = s.select(F.posexplode("y").alias("target", "v")).groupBy("target").agg((F.avg(F.abs("v")) * 5).alias("ceiling"))
-    return runs.story_run(rows, "vec_id", "story", "response_t", "x", "y", masks, ceilings)
+    return runs.story_fit(rows, "story", "x", "y")

@@ -104,43 +104,43 @@ def rsa_dynamic_generalised(spark, d):
 
 
 # Repeated measurements for the cross-validated distance: month of the ship date by year is the
-# item, the line number the repetition, 16 supplier classes the channels.
-CROSS = """cell AS (SELECT {keys} year(l_shipdate) * 12 + month(l_shipdate) AS item, l_linenumber AS r, l_suppkey % 16 AS ch, avg(l_quantity) AS v, avg(l_discount) * 100 AS w FROM lineitem GROUP BY ALL),
- ok AS (SELECT {keys} item FROM cell GROUP BY ALL HAVING count(*) = 112),
+# item, the line number the repetition, supplier classes the channels.
+CROSS = """cell AS (SELECT {keys} year(l_shipdate) * 12 + month(l_shipdate) AS item, l_linenumber AS r, l_suppkey % {ch} AS ch, avg(l_quantity) AS v, avg(l_discount) * 100 AS w FROM lineitem GROUP BY ALL),
+ ok AS (SELECT {keys} item FROM cell GROUP BY ALL HAVING count(*) = 7 * {ch}),
  cc AS (SELECT cell.* FROM cell JOIN ok USING ({using} item)),
  df AS (SELECT {pk} p.item AS i, q.item AS j, p.ch, p.r, p.v - q.v AS dv FROM cc p JOIN cc q ON p.ch = q.ch AND p.r = q.r AND p.item < q.item {kj}),
  sm AS (SELECT {keys} i, j, ch, sum(dv) AS s, sum(dv * dv) AS q FROM df GROUP BY ALL),
- bd AS (SELECT {keys} i, j, sum(s * s - q) / (7 * 6 * 16) AS b FROM sm GROUP BY ALL),
+ bd AS (SELECT {keys} i, j, sum(s * s - q) / (7 * 6 * {ch}) AS b FROM sm GROUP BY ALL),
  ml AS (SELECT {keys} item, ch, avg(w) AS w FROM cc GROUP BY ALL),
  mp AS (SELECT {pk} p.item AS i, q.item AS j, 1 - corr(p.w, q.w) AS a FROM ml p JOIN ml q ON p.ch = q.ch AND p.item < q.item {kj} GROUP BY ALL),
  d AS (SELECT * FROM bd JOIN mp USING ({using} i, j))"""
 
 
-def cross_inputs(spark, d, keys):
+def cross_inputs(spark, d, keys, channels):
     li = table(spark, d, "lineitem")
     cell = li.groupBy(
-        *keys, (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("item"), F.col("l_linenumber").alias("r"), (F.col("l_suppkey") % 16).alias("ch")
+        *keys, (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("item"), F.col("l_linenumber").alias("r"), (F.col("l_suppkey") % channels).alias("ch")
     ).agg(F.avg("l_quantity").alias("v"), (F.avg("l_discount") * 100).alias("w"))
 
     def wide(df, by, val):
         s = F.array_sort(F.collect_list(F.struct("ch", val)))
-        return df.groupBy(*by).agg(F.transform(s, lambda e: e[val]).alias("vec"), F.count(F.lit(1)).alias("k")).where("k = 16").drop("k")
+        return df.groupBy(*by).agg(F.transform(s, lambda e: e[val]).alias("vec"), F.count(F.lit(1)).alias("k")).where(F.col("k") == channels).drop("k")
 
-    reps = S.crossnobis_rows(wide(cell, [*keys, "item", "r"], "v"), list(keys), "item", "r", "vec", 7, 16)
+    reps = S.crossnobis_rows(wide(cell, [*keys, "item", "r"], "v"), list(keys), "item", "r", "vec", 7, channels)
     model = S.correlation_rows(wide(cell.groupBy(*keys, "item", "ch").agg(F.avg("w").alias("w")), [*keys, "item"], "w"), list(keys), "item", "vec")
     return S.pair_up(model, reps, list(keys))
 
 
-@query("WITH " + CROSS.format(keys="", using="", pk="", kj="") + f" SELECT {R('corr(a, b)', 5)} AS corr, {R(SQL_COS, 5)} AS cosine FROM d")
+@query("WITH " + CROSS.format(ch=16, keys="", using="", pk="", kj="") + f" SELECT {R('corr(a, b)', 5)} AS corr, {R(SQL_COS, 5)} AS cosine FROM d")
 def crossnobis_similarity(spark, d):
-    out = S.rdm_similarity(cross_inputs(spark, d, ()), [], None, S.crossnobis_signs(7, 16))
+    out = S.rdm_similarity(cross_inputs(spark, d, (), 16), [], None, S.crossnobis_signs(7, 16))
     return out.select(r6("corr", 5).alias("corr"), r6("cosine", 5).alias("cosine"))
 
 
-@query("WITH " + CROSS.format(keys="l_returnflag,", using="l_returnflag,", pk="p.l_returnflag,", kj="AND p.l_returnflag = q.l_returnflag")
+@query("WITH " + CROSS.format(ch=4, keys="l_returnflag,", using="l_returnflag,", pk="p.l_returnflag,", kj="AND p.l_returnflag = q.l_returnflag")
        + f" SELECT l_returnflag AS t, {R('corr(a, b)', 5)} AS corr, {R(SQL_COS, 5)} AS cosine FROM d GROUP BY 1")
 def crossnobis_over_time(spark, d):
-    out = S.rdm_similarity(cross_inputs(spark, d, ("l_returnflag",)), ["l_returnflag"], None, S.crossnobis_signs(7, 16))
+    out = S.rdm_similarity(cross_inputs(spark, d, ("l_returnflag",), 4), ["l_returnflag"], None, S.crossnobis_signs(7, 4))
     return out.select(F.col("l_returnflag").alias("t"), r6("corr", 5).alias("corr"), r6("cosine", 5).alias("cosine"))
 
 
@@ -177,7 +177,7 @@ def versa(spark, d):
     return out.select("n_items", r6("corr").alias("corr"), r6("cosine").alias("cosine"))
 
 
-FOLDED = f"""{PAIRS}, f AS (SELECT vec_id, (row_number() OVER (ORDER BY md5('42:' || vec_id)) - 1) % 10 AS fold FROM embeddings),
+FOLDED = f"""{PAIRS}, f AS (SELECT vec_id, ntile(10) OVER (ORDER BY md5('42:' || vec_id)) - 1 AS fold FROM embeddings),
  r AS (SELECT fold, a.unit AS s, b.unit AS t, corr(a.p, b.y) AS r FROM pairs a JOIN pairs b USING (vec_id) JOIN f USING (vec_id) GROUP BY 1, 2, 3)"""
 
 

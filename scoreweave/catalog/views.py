@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.columns import TIE_OFFSET
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -14,7 +15,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def R(expr: str, digits: int = 6) -> str:
     """SQL twin of ``functions.columns.r6``."""
-    return f"(CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END)"
+    rounded = f"round(({expr})::DOUBLE + {TIE_OFFSET * 10.0**-digits!r}::DOUBLE, {digits})"
+    return f"(CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END)"
 
 
 def vectors(spark, d) -> DataFrame:

@@ -18,6 +18,7 @@ CLIP_R = 0.999999
 CLOSE_RTOL = 1e-5
 CLOSE_ATOL = 1e-8
 MAD_TO_SD = 1.4826
+TIE_OFFSET = 0.023
 
 
 def col(c: Column | str) -> Column:
@@ -25,8 +26,12 @@ def col(c: Column | str) -> Column:
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    """Round for reporting; a negative zero becomes zero."""
-    rounded = F.round(col(c), digits)
+    """Round for reporting; a negative zero becomes zero.
+
+    The small offset moves exact decimal ties off the rounding boundary, where the last bit of a
+    sum would otherwise decide.
+    """
+    rounded = F.round(col(c) + F.lit(TIE_OFFSET * 10.0**-digits), digits)
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 

@@ -7,7 +7,7 @@ window runs inside a bucket, and small per-bucket totals supply the offsets betw
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,36 @@ def hash_row_number(df: DataFrame, keys: Sequence[str], order_hash: str, tie: st
     )
 
 
+def hash_cutoffs(df: DataFrame, strata: Sequence[str], key: Column | str, seed: int | str, ends: Callable[[Column], Column]) -> DataFrame:
+    """(strata, cuts): the hash values found at the ranks ``ends(n)`` of each stratum's hash order.
+
+    Assigning rows to rank ranges then only compares hashes, so wide rows are never shuffled or
+    sorted.  The search reads the key column alone: bucket counts (combined before the shuffle)
+    locate the few buckets that hold a wanted rank, and only those buckets are ordered.
+    """
+    strata = list(strata)
+    narrow = df.select(*strata, stable_hash(key, seed).alias("_o_h")).withColumn(
+        "_o_b", F.substring("_o_h", 1, HASH_BUCKET_HEX)
+    )
+    counts = narrow.groupBy(*strata, "_o_b").agg(F.count(F.lit(1)).alias("_o_c"))
+    upto = Window.partitionBy(*strata).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*strata)
+    placed = counts.select(
+        *strata, "_o_b", (F.sum("_o_c").over(upto) - F.col("_o_c")).alias("_o_off"), F.sum("_o_c").over(upto).alias("_o_to"),
+        F.sum("_o_c").over(whole).alias("_o_n"),
+    )
+    wanted = placed.withColumn("_o_end", F.explode(ends(F.col("_o_n")))).where(
+        (F.col("_o_off") < F.col("_o_end")) & (F.col("_o_end") <= F.col("_o_to"))
+    )
+    inside = Window.partitionBy(*strata, "_o_b", "_o_end").orderBy("_o_h")
+    hits = (
+        narrow.join(wanted, [*strata, "_o_b"])
+        .withColumn("_o_rank", F.row_number().over(inside) + F.col("_o_off"))
+        .where(F.col("_o_rank") == F.col("_o_end"))
+    )
+    return hits.groupBy(*strata).agg(F.array_sort(F.collect_list("_o_h")).alias("cuts"))
+
+
 def range_running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column | str, width: int, out: str
 ) -> DataFrame:
@@ -144,46 +174,33 @@ def grouped_median(
         F.percentile_approx("_o_v", [0.5 - slack, 0.5 + slack], MEDIAN_ACCURACY).alias("_o_band"),
         F.count(F.lit(1)).alias("_o_n"),
     )
-    lo, hi = F.col("_o_band")[0], F.col("_o_band")[1]
     if keys:
         joined = v.join(band, keys)
     else:
         joined = v.withColumn("_o_band", band.select("_o_band").scalar()).withColumn("_o_n", band.select("_o_n").scalar())
-    # For a handful of rows the sketch holds every value, so the bracket may exclude the upper
-    # middle value; widen it to the next value above by keeping the smallest value beyond it.
-    slim = joined.groupBy(*keys, F.when(F.col("_o_v") < lo, F.lit(None)).when(F.col("_o_v") > hi, F.lit(None))
-                          .otherwise(F.col("_o_v")).alias("_o_mid")).agg(
+    # One row per distinct value inside the bracket, and one row (NULL) for everything outside it:
+    # how many values lie below, and the nearest values on either side.
+    lo, hi = F.col("_o_band")[0], F.col("_o_band")[1]
+    inside = F.when((F.col("_o_v") >= lo) & (F.col("_o_v") <= hi), F.col("_o_v"))
+    slim = joined.groupBy(*keys, inside.alias("_o_mid")).agg(
         F.count(F.lit(1)).alias("_o_cnt"),
         F.count_if(F.col("_o_v") < lo).alias("_o_below"),
         F.max(F.when(F.col("_o_v") < lo, F.col("_o_v"))).alias("_o_prev"),
         F.min(F.when(F.col("_o_v") > hi, F.col("_o_v"))).alias("_o_next"),
         F.first("_o_n").alias("_o_n"),
     )
-    ends = slim.where(F.col("_o_mid").isNull()).select(
-        *keys, F.col("_o_below").alias("_o_low"), "_o_prev", "_o_next"
-    )
-    mids = slim.where(F.col("_o_mid").isNotNull()).select(*keys, "_o_mid", "_o_cnt", "_o_n")
-    if keys:
-        both = mids.join(ends, keys, "left")
-    else:
-        both = (
-            mids.withColumn("_o_low", ends.select("_o_low").scalar())
-            .withColumn("_o_prev", ends.select("_o_prev").scalar())
-            .withColumn("_o_next", ends.select("_o_next").scalar())
-        )
-    both = both.withColumn("_o_low", F.coalesce("_o_low", F.lit(0)))
-    run = Window.partitionBy(*keys).orderBy("_o_mid").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = both.withColumn("_o_to", F.col("_o_low") + F.sum("_o_cnt").over(run)).withColumn(
-        "_o_from", F.col("_o_to") - F.col("_o_cnt") + 1
-    )
+    step = F.when(F.col("_o_mid").isNull(), F.col("_o_below")).otherwise(F.col("_o_cnt"))
+    run = Window.partitionBy(*keys).orderBy(F.col("_o_mid").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = slim.withColumn("_o_to", F.sum(step).over(run)).withColumn("_o_from", F.col("_o_to") - F.col("_o_cnt") + 1)
     k1, k2 = F.floor((F.col("_o_n") + 1) / 2), F.floor((F.col("_o_n") + 2) / 2)
 
     def pick(k: Column) -> Column:
-        return F.max(F.when((F.col("_o_from") <= k) & (k <= F.col("_o_to")), F.col("_o_mid")))
+        covered = F.col("_o_mid").isNotNull() & (F.col("_o_from") <= k) & (k <= F.col("_o_to"))
+        return F.max(F.when(covered, F.col("_o_mid")))
 
     out_df = ranked.groupBy(*keys).agg(
         pick(k1).alias("_o_a"), pick(k2).alias("_o_z"),
-        F.first("_o_prev").alias("_o_prev"), F.first("_o_next").alias("_o_next"), F.first("_o_n").alias("_o_n"),
+        F.max("_o_prev").alias("_o_prev"), F.min("_o_next").alias("_o_next"), F.first("_o_n").alias("_o_n"),
     )
     low, high = F.coalesce("_o_a", "_o_prev"), F.coalesce("_o_z", "_o_next")
     cols = [*keys, ((low + high) / 2).alias(out)]

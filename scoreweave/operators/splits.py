@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import checked_broadcast
-from ..functions.ordering import hash_row_number, stable_hash
+from ..functions.ordering import hash_cutoffs, stable_hash
 from .scoring import can_stratify
 
 
+def _attach(df: DataFrame, strata: list[str], cuts: DataFrame) -> DataFrame:
+    """Cut points next to every row: literals without strata, else a join with a short table."""
+    if strata:
+        return df.join(checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata)
+    found = cuts.first()  # a few hash strings
+    values = found["cuts"] if found is not None else []
+    return df.withColumn("_cuts", F.array(*[F.lit(c) for c in values]).cast("array<string>"))
+
+
+def _fold_ends(k: int):
+    """Last rank of every fold but the final one; earlier folds take the remainder, one row each."""
+
+    def ends(n: Column) -> Column:
+        q, rest = F.floor(n / k), n % k
+        return F.array(*[(f + 1) * q + F.least(F.lit(f + 1), rest) for f in range(k - 1)])
+
+    return ends
+
+
+def _folds(df: DataFrame, key: str, strata: list[str], k: int, seed: int, out: str) -> DataFrame:
+    cuts = hash_cutoffs(df, strata, key, seed, _fold_ends(k))
+    h = stable_hash(key, seed)
+    fold = F.size(F.filter("_cuts", lambda c: c < h))
+    if strata:
+        # a stratum with fewer rows than folds may have no cut at all
+        joined = df.join(checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata, "left")
+        return joined.withColumn(out, F.coalesce(F.nullif(fold, F.lit(-1)), F.lit(0)).cast("int")).drop("_cuts")
+    return _attach(df, strata, cuts).withColumn(out, fold.cast("int")).drop("_cuts")
+
+
 def kfold(df: DataFrame, key: str, k: int = 10, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Balanced folds: sizes differ by at most one row."""
-    ranked = hash_row_number(df.withColumn("_h", stable_hash(key, seed)), [], "_h", key, "_rk")
-    return ranked.withColumn(out, ((F.col("_rk") - 1) % k).cast("int")).drop("_h", "_rk")
+    """Balanced folds (sizes differ by at most one row): consecutive shares of the hash order."""
+    return _folds(df, key, [], k, seed, out)
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Folds balanced within every class; a hot class is numbered in hash buckets."""
-    ranked = hash_row_number(df.withColumn("_h", stable_hash(key, seed)), [label], "_h", key, "_rk")
-    return ranked.withColumn(out, ((F.col("_rk") - 1) % k).cast("int")).drop("_h", "_rk")
+    """Folds balanced within every class."""
+    return _folds(df, key, [label], k, seed, out)
 
 
 def group_folds(counts: list[tuple], k: int) -> list[tuple]:
@@ -53,17 +81,11 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> Dat
 
 def holdout(df: DataFrame, key: str, fraction: float = 0.1, label: str | None = None, seed: int = 42, out: str = "is_val") -> DataFrame:
     """Hold out ceil(fraction * n) rows, per class when stratifying is possible, else overall."""
-    hashed = df.withColumn("_h", stable_hash(key, seed))
-    if label is None:
-        ranked = hash_row_number(hashed, [], "_h", key, "_rk")
-        n = df.agg(F.count(F.lit(1))).scalar()
-        return ranked.withColumn(out, F.col("_rk") <= F.ceil(n * F.lit(fraction))).drop("_h", "_rk")
-    ok = can_stratify(df, label).select("stratify").scalar()
-    strata = hashed.withColumn("_stratum", F.when(ok, F.col(label).cast("string")).otherwise(F.lit("all")))
-    ranked = hash_row_number(strata, ["_stratum"], "_h", key, "_rk")
-    sizes = strata.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        ranked.join(sizes, "_stratum")
-        .withColumn(out, F.col("_rk") <= F.ceil(F.col("_n") * F.lit(fraction)))
-        .drop("_h", "_rk", "_n", "_stratum")
-    )
+
+    def ends(n: Column) -> Column:
+        return F.array(F.ceil(n * F.lit(fraction)))
+
+    h = stable_hash(key, seed)
+    strata = [label] if label is not None and can_stratify(df, label).first()["stratify"] else []
+    cuts = hash_cutoffs(df, strata, key, seed, ends)
+    return _attach(df, strata, cuts).withColumn(out, F.coalesce(h <= F.col("_cuts")[0], F.lit(False))).drop("_cuts")

@@ -14,8 +14,8 @@ from ..functions.registry import MetricInput, get_metric
 from ..operators import linear as L
 from ..operators.align import apply_ceiling
 from ..operators.gram import moments
-from ..operators.regions import spatial_traces
 from ..operators.splits import group_kfold
+from ..session import cut_lineage
 from ..sources.store import append_scores
 
 
@@ -42,22 +42,27 @@ def register_benchmark(b: Benchmark) -> Benchmark:
 
 
 def roll(scores: DataFrame, ceilings: DataFrame | None, metric: str, run: str = "run", values: Sequence[str] = ("pearson", "r2")) -> DataFrame:
-    """Median over targets per run and mean over runs, raw and ceiled, as (metric, stat, value) rows."""
+    """Median over targets per run and mean over runs, raw and ceiled, as (metric, stat, value) rows.
+
+    All statistics are melted to rows first, so one median pass serves them all.
+    """
     if ceilings is not None:
         scores = scores.join(ceilings, "target", "left")
-    out = None
+    stats = []
     for v in values:
         ceiled = F.try_divide(F.col(v), F.col("ceiling")) if ceilings is not None else F.col(v)
-        for stat, col in ((f"final_unceiled_{v}", F.col(v)), (f"final_{v}", ceiled)):
-            med = grouped_median(scores.withColumn("_s", col), [run], "_s", "m")
-            one = med.agg(F.avg("m").alias("value")).select(F.lit(metric).alias("metric"), F.lit(stat).alias("stat"), "value")
-            out = one if out is None else out.unionByName(one)
-    return out
+        stats += [
+            F.struct(F.lit(f"final_unceiled_{v}").alias("stat"), F.col(v).alias("v")),
+            F.struct(F.lit(f"final_{v}").alias("stat"), ceiled.alias("v")),
+        ]
+    long = scores.select(run, F.explode(F.array(*stats)).alias("_s")).select(run, "_s.*")
+    med = grouped_median(long, [run, "stat"], "v", "m")
+    return med.groupBy("stat").agg(F.avg("m").alias("value")).select(F.lit(metric).alias("metric"), "stat", "value")
 
 
 def score_run(inp: MetricInput, metric: str, model: str, layer: str, benchmark: str, path: str | None = None, **params) -> DataFrame:
     """One offline score: fit, score every target, ceiling, roll up and (optionally) append."""
-    scores = get_metric(metric)(inp, **params)
+    scores = cut_lineage(get_metric(metric)(inp, **params))
     if "pearson" in scores.columns:
         table = roll(scores, inp.ceiling, metric)
     else:
@@ -87,30 +92,44 @@ def assembly_to_assembly(source: DataFrame, target: DataFrame, key: str, regions
     return out
 
 
-def story_run(
-    aligned: DataFrame, key: str, story: str, t: str, x: str, y: str, masks: DataFrame, ceilings: DataFrame,
-    folds: int = 5, alphas: Sequence[float] = L.GROUP_ALPHAS,
-) -> dict[str, DataFrame]:
-    """Time-resolved scoring with whole stories held out.
+@dataclass
+class StoryFit:
+    """Group-held-out fit of a time-resolved run: labelled rows, sizes and weights of every fold."""
+
+    rows: DataFrame
+    weights: DataFrame
+    dim_x: int
+    dim_y: int
+
 
-    Returns per-target scores of every fold, their medians over folds with ceilings, and the
-    per-time spatial traces per mask.  ``aligned`` has one row per (story, t) with x and y vectors.
+def story_fit(aligned: DataFrame, story: str, x: str, y: str, folds: int = 5, alphas: Sequence[float] = L.GROUP_ALPHAS) -> StoryFit:
+    """Ridge with whole stories held out and one leave-one-out alpha per fold.
+
+    ``aligned`` has one row per (story, t) with x and y vectors.  The weights are small and read by
+    every later step, so they are checkpointed.
     """
     rows = group_kfold(aligned, story, folds)
-    rows = rows.withColumn("part", F.col("fold").cast("string"))
-    k = rows.select(F.count_distinct("fold")).first()[0]
-    m = moments(rows, "part", x, y, pilot=aligned, parts=k)
-    plan = L.cv_design(aligned.sparkSession, k)
-    weights = L.ridge_loo(rows, "part", x, y, m, plan, alphas, shared=True)
-    per_unit = grouped_median(weights, ["target"], "pearson", "pearson").join(
-        grouped_median(weights, ["target"], "r2", "r2"), "target"
+    rows = cut_lineage(rows.withColumn("part", F.col("fold").cast("string")))  # read by four later scans
+    k = rows.agg(F.count_distinct("fold")).first()[0]
+    m = moments(rows, "part", x, y, parts=k)
+    weights = L.ridge_loo(rows, "part", x, y, m, L.cv_design(aligned.sparkSession, k), alphas, shared=True)
+    return StoryFit(rows, cut_lineage(weights), m.dim_x, m.dim_y)
+
+
+def story_units(fit: StoryFit, ceilings: DataFrame) -> DataFrame:
+    """Median over folds of every unit's r and R2, with the ceiled r."""
+    per_unit = grouped_median(fit.weights, ["target"], "pearson", "pearson").join(
+        grouped_median(fit.weights, ["target"], "r2", "r2"), "target"
     )
-    ceiled = apply_ceiling(per_unit, ceilings, ["target"], "pearson")
-    pred = L.predict(rows, [key, story, t], x, weights, m.dim_x, m.dim_y, run_of="part")
-    long = L.long_predictions(pred, [key, story, t], rows, y).select(
+    return apply_ceiling(per_unit, ceilings, ["target"], "pearson")
+
+
+def story_predictions(fit: StoryFit, key: str, story: str, t: str, x: str, y: str) -> DataFrame:
+    """Held-out predictions as long (story, t, unit, y, p) rows."""
+    pred = L.predict(fit.rows, [key, story, t], x, fit.weights, fit.dim_x, fit.dim_y, run_of="part")
+    return L.long_predictions(pred, [key, story, t], fit.rows, y).select(
         F.col(story).alias("story"), F.col(t).alias("t"), F.col("target").alias("unit"), "y", "p"
     )
-    return {"folds": weights, "units": ceiled, "traces": spatial_traces(long, masks)}
 
 
 def vector_rows(df: DataFrame, key: str, vec: str, split_at: int) -> DataFrame:
