@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -14,6 +16,15 @@ def as_double(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    A column referenced inside a lambda may be inlined by the optimizer and then recomputed for
+    every element; a lambda variable cannot.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column | str) -> Column:
     return F.aggregate(col(v), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -31,7 +42,11 @@ def mean(v: Column | str) -> Column:
 
 
 def scale(v: Column | str, factor: Column) -> Column:
-    return F.transform(col(v), lambda x: x * factor)
+    return let(factor, lambda f: F.transform(col(v), lambda x: x * f))
+
+
+def centre(v: Column | str) -> Column:
+    return let(mean(v), lambda m: F.transform(col(v), lambda x: x - m))
 
 
 def subtract(a: Column | str, b: Column | str) -> Column:

@@ -24,7 +24,7 @@ def _fit(train: DataFrame, label: str, c: float, family: str, n: int):
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(train)
     lr = LogisticRegression(
         featuresCol="_scaled", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0, family=family,
-        standardization=False, maxIter=200, tol=1e-8, probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_rawp",
+        standardization=False, maxIter=100, tol=1e-7, probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_rawp",
     )
     return scaler, lr.fit(scaler.transform(train))
 

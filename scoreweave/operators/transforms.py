@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..functions.columns import MAD_TO_SD, finite_or_zero
+from ..functions.matrices import list_column, list_matrix
 from ..functions.ordering import grouped_median, range_running_sum, stable_hash
 
 EPS = 1e-8  # fixed value: guard of every normaliser
@@ -21,20 +25,17 @@ def clean_vector(v: Column | str) -> Column:
 
 def cosine_norm(v: str) -> Column:
     """Divide by the L2 norm, held above 1e-8."""
-    return A.scale(clean_vector(v), 1 / F.greatest(F.sqrt(A.sum_squares(clean_vector(v))), F.lit(EPS)))
+    return A.let(clean_vector(v), lambda c: A.scale(c, 1 / F.greatest(F.sqrt(A.sum_squares(c)), F.lit(EPS))))
 
 
 def unit_norm(v: str) -> Column:
     """Divide by (L2 norm + 1e-8)."""
-    return A.scale(clean_vector(v), 1 / (F.sqrt(A.sum_squares(clean_vector(v))) + EPS))
+    return A.let(clean_vector(v), lambda c: A.scale(c, 1 / (F.sqrt(A.sum_squares(c)) + EPS)))
 
 
 def layer_norm(v: str) -> Column:
     """Zero mean and unit population variance within the vector."""
-    c = clean_vector(v)
-    mean = A.mean(c)
-    centred = F.transform(c, lambda x: x - mean)
-    return A.scale(centred, 1 / F.sqrt(A.sum_squares(centred) / F.size(c) + EPS))
+    return A.let(A.centre(clean_vector(v)), lambda c: A.scale(c, 1 / F.sqrt(A.sum_squares(c) / F.size(c) + EPS)))
 
 
 def normalise(df: DataFrame, vec: str, kind: str, out: str | None = None) -> DataFrame:
@@ -115,35 +116,40 @@ def projection_entries(spark, dim: int, k: int, kind: str = "sparse", seed: int
     raise ValueError(f"unknown projection {kind!r}")
 
 
+MATRIX_WEIGHTS = 20_000_000  # largest projection matrix sent to tasks (160 MB)
+
+
 def random_project(
     df: DataFrame, keys: Sequence[str], vec: str, dim: int, k: int, kind: str = "sparse", seed: int = 42,
     always: bool = False,
 ) -> DataFrame:
     """Project each vector to k dimensions; skipped when k >= dim unless ``always`` (stacking).
 
-    The packed matrix (at most ``dim * k`` weights, checked) rides along as a one-row scalar
-    subquery, and each row computes its own products: no explode and no shuffle of the data.
+    A matrix within the checked size is sent to the tasks and applied to Arrow batches, so the data
+    is not shuffled; a larger one is joined.
     """
     if k >= dim and not always:
         return df
-    if dim * k > 20_000_000:
+    if dim * k > MATRIX_WEIGHTS:
         return _random_project_join(df, keys, vec, dim, k, kind, seed)
-    per_out = projection_entries(df.sparkSession, dim, k, kind, seed).groupBy("out").agg(
-        F.collect_list(F.struct("unit", "weight")).alias("w")
-    )
-    packed = per_out.agg(F.array_sort(F.collect_list(F.struct("out", "w"))).alias("m")).scalar()
-    fill = F.sequence(F.lit(0), F.lit(k - 1))
-
-    def component(row: Column) -> Column:
-        return F.aggregate(
-            row["w"], F.lit(0.0), lambda acc, e: acc + e["weight"] * F.element_at(F.col(vec), e["unit"] + 1)
-        )
-
-    by_out = F.map_from_entries(F.transform("_m", lambda row: F.struct(row["out"], component(row))))
-    projected = F.transform(fill, lambda o: F.coalesce(F.element_at(F.col("_p"), o), F.lit(0.0)))
-    return (
-        df.withColumn("_m", packed).withColumn("_p", by_out).withColumn(vec, projected).drop("_m", "_p")
-    )
+    entries = projection_entries(df.sparkSession, dim, k, kind, seed).toPandas()
+    matrix = np.zeros((dim, k))
+    matrix[entries["unit"].to_numpy(), entries["out"].to_numpy()] = entries["weight"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(matrix)
+    rest = [c for c in df.columns if c != vec]
+    fields = [f for f in df.schema.fields if f.name != vec]
+    schema = T.StructType([*fields, T.StructField(vec, T.ArrayType(T.DoubleType()))])
+    n_rest = len(rest)
+
+    def apply(batches):
+        for b in batches:
+            if b.num_rows:
+                cols = [b.column(i) for i in range(n_rest)]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, list_column(list_matrix(b.column(n_rest)) @ shared.value)], names=[*b.schema.names[:n_rest], vec]
+                )
+
+    return df.select(*rest, A.as_double(vec).alias(vec)).mapInArrow(apply, schema)
 
 
 def _random_project_join(df: DataFrame, keys: Sequence[str], vec: str, dim: int, k: int, kind: str, seed: int) -> DataFrame:
