@@ -98,13 +98,26 @@ def range_running_sum(
     )
 
 
-def ordered_row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, buckets: int = 64
-) -> DataFrame:
+SPLITS = 64  # sketch split points per group; each gap is cut again into as many equal ranges
+
+
+def _cut_points(value: str) -> Column:
+    return F.percentile_approx(value, [i / SPLITS for i in range(SPLITS + 1)], MEDIAN_ACCURACY)
+
+
+def _range_bucket(value: Column, cuts: Column) -> Column:
+    """Order-preserving bucket number: the gap between split points, then the position inside it."""
+    gap = F.size(F.filter(cuts, lambda c: c < value))
+    lo, hi = F.get(cuts, gap - 1), F.get(cuts, gap)
+    inside = F.least(F.floor(F.try_divide(value - lo, hi - lo) * SPLITS), F.lit(SPLITS - 1))
+    return (gap * SPLITS + F.coalesce(inside, F.lit(0))).cast("long")
+
+
+def ordered_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1-based position by ``order`` within ``keys`` for an arbitrary sortable first order column.
 
     Split points come from a mergeable quantile sketch per key (bounded size), so a hot key is cut
-    into ``buckets`` ordered pieces; the numbering itself is exact.  Rows equal in the first order
+    into up to 4096 ordered pieces; the numbering itself is exact.  Rows equal in the first order
     column share a bucket.
     """
     keys, order = list(keys), list(order)
@@ -112,11 +125,10 @@ def ordered_row_number(
     typed = first.cast("double") if dict(df.dtypes)[order[0]] not in ("timestamp", "date") else None
     probe = typed if typed is not None else F.unix_micros(first.cast("timestamp")).cast("double")
     tagged = df.withColumn("_o_p", probe)
-    steps = [i / buckets for i in range(1, buckets)]
-    splits = tagged.groupBy(*keys).agg(F.percentile_approx("_o_p", steps, MEDIAN_ACCURACY).alias("_o_cuts"))
+    splits = tagged.groupBy(*keys).agg(_cut_points("_o_p").alias("_o_cuts"))
     cut = (
         tagged.join(splits, keys) if keys else tagged.withColumn("_o_cuts", splits.scalar())
-    ).withColumn("_o_b", F.size(F.filter("_o_cuts", lambda c: c < F.col("_o_p"))))
+    ).withColumn("_o_b", _range_bucket(F.col("_o_p"), F.col("_o_cuts")))
     counts = cut.groupBy(*keys, "_o_b").agg(F.count(F.lit(1)).alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o_off", F.coalesce(F.sum("_o_n").over(before), F.lit(0))).drop("_o_n")
@@ -129,23 +141,22 @@ def ordered_row_number(
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Distinct values of each group with their frequency and their average (tie) rank.
 
     Equal values are collapsed to one row with a count before anything is ordered.
     """
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_tied"))
-    return ranks_of_counts(distinct, keys, value, out, buckets)
+    return ranks_of_counts(distinct, keys, value, out)
 
 
-def ranks_of_counts(distinct: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+def ranks_of_counts(distinct: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Average ranks from distinct values with frequencies ``n_tied``."""
     keys = list(keys)
-    steps = [i / buckets for i in range(1, buckets)]
-    splits = distinct.groupBy(*keys).agg(F.percentile_approx(value, steps, MEDIAN_ACCURACY).alias("_o_cuts"))
+    splits = distinct.groupBy(*keys).agg(_cut_points(value).alias("_o_cuts"))
     cut = (
         distinct.join(splits, keys) if keys else distinct.withColumn("_o_cuts", splits.scalar())
-    ).withColumn("_o_b", F.size(F.filter("_o_cuts", lambda c: c < F.col(value))))
+    ).withColumn("_o_b", _range_bucket(F.col(value), F.col("_o_cuts")))
     sums = cut.groupBy(*keys, "_o_b").agg(F.sum("n_tied").alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_o_off", F.coalesce(F.sum("_o_n").over(before), F.lit(0))).drop("_o_n")

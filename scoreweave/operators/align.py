@@ -105,9 +105,13 @@ def region_pairs(source: DataFrame, target: DataFrame, on: str = "stimulus_id")
 
 
 def first_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name") -> DataFrame:
-    """The first (lowest ``priority``) prefix of a short rule table that starts each name."""
-    p = F.broadcast(prefixes)
-    hits = names.join(p, F.col(name).startswith(F.col("prefix")))
+    """The first (lowest ``priority``) prefix of a short rule table that starts each name.
+
+    A name's beginnings, one per distinct prefix length, meet the rules in an equi join.
+    """
+    lengths = prefixes.agg(F.collect_set(F.length("prefix"))).scalar()
+    starts = names.withColumn("_len", F.explode(lengths)).where(F.length(name) >= F.col("_len"))
+    hits = starts.withColumn("prefix", F.substring(F.col(name), F.lit(1), F.col("_len"))).join(F.broadcast(prefixes), "prefix")
     return hits.groupBy(name).agg(F.min_by(F.struct("prefix", "groups"), "priority").alias("_r")).select(
         name, "_r.prefix", "_r.groups"
     )

@@ -145,7 +145,7 @@ def moments(df: DataFrame, part: str, x: str, y: str | None = None, shift: np.nd
         tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), nb)
         rows = (
             base.select("part", "x", F.posexplode(cut).alias("cb", "r"))
-            .withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(64)))
+            .withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(tasks)))
             .repartition(tasks, "part", "cb", "salt")
             .sortWithinPartitions("part", "cb")
             .select("part", "cb", "x", "r")

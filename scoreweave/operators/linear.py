@@ -336,6 +336,7 @@ def loo_errors(df: DataFrame, part: str, x: str, y: str, m: Moments, plan: DataF
                 F.slice(A.as_double(y), t0 + 1, t1 - t0).alias("y"),
             ).mapInArrow(_loo_scan(shared, alpha, shift[:d], shift[d + t0 : d + t1], t0), "run string, target int, n long, err array<double>")
             out = part_df if out is None else out.unionByName(part_df)
+    models.unpersist()
     return out.groupBy("run", "target").agg(F.sum("n").alias("n"), A.vector_sum("err").alias("err"))
 
 
@@ -781,6 +782,7 @@ def predict(df: DataFrame, keys: Sequence[str], x: str, weights: DataFrame, dim_
         shared = spark.sparkContext.broadcast(model)
         block = base.mapInArrow(_predict_scan(shared, len(keys), t0), f"{fields}, t0 int, yhat array<double>")
         out = block if out is None else out.unionByName(block)
+    weights.unpersist()
     return out
 
 
