@@ -16,7 +16,8 @@ from ..functions.registry import MetricInput, register
 from ..operators import linear as L
 from ..operators import matching as M
 from ..operators import similarity as S
-from ..operators.gram import Moments, moments
+from ..operators.dual import ridge_dual
+from ..operators.gram import MAX_DIM, Moments, moments
 from ..operators.splits import holdout, kfold, stratified_kfold
 
 
@@ -48,8 +49,13 @@ def _moments(inp: MetricInput, rows: DataFrame, x: str | None = None, y: str | N
 
 @register("ridge")
 def ridge(inp: MetricInput, alphas: Sequence[float] = L.RIDGE_ALPHAS, subsample: int | None = None) -> DataFrame:
-    """Per-target alpha by leave-one-out; optionally a shared alpha searched on few features."""
+    """Per-target alpha by leave-one-out; optionally a shared alpha searched on few features.
+
+    More features than a Gram can hold are solved on the stimulus kernel.
+    """
     rows, plan = parted(inp)
+    if subsample is None and inp.rows.select(F.size(inp.x)).first()[0] > MAX_DIM:
+        return ridge_dual(rows, inp.key, "part", inp.x, inp.y, plan, alphas)
     m = _moments(inp, rows)
     if subsample is not None:
         return L.ridge_subsampled(rows, "part", inp.x, inp.y, m, plan, subsample, alphas)
