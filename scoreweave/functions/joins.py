@@ -14,3 +14,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     The check stops reading after ``max_rows + 1`` rows.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+SMALL_ROWS = 50_000
+
+
+def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A short per-key summary as a broadcast table, computed once; the frame itself if it is longer.
+
+    Joining it costs no shuffle of the other side, so a hot key's rows stay where they are.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import col
+from .joins import small_table
 
 HASH_BUCKET_HEX = 3  # 16 ** 3 equal-probability buckets of a hash order
 MEDIAN_ACCURACY = 10000  # rank error of the sketch that narrows the search: n / accuracy
@@ -70,7 +71,7 @@ def hash_cutoffs(df: DataFrame, strata: Sequence[str], key: Column | str, seed:
     )
     inside = Window.partitionBy(*strata, "_o_b", "_o_end").orderBy("_o_h")
     hits = (
-        narrow.join(wanted, [*strata, "_o_b"])
+        narrow.join(small_table(wanted), [*strata, "_o_b"])
         .withColumn("_o_rank", F.row_number().over(inside) + F.col("_o_off"))
         .where(F.col("_o_rank") == F.col("_o_end"))
     )
@@ -127,7 +128,7 @@ def ordered_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     tagged = df.withColumn("_o_p", probe)
     splits = tagged.groupBy(*keys).agg(_cut_points("_o_p").alias("_o_cuts"))
     cut = (
-        tagged.join(splits, keys) if keys else tagged.withColumn("_o_cuts", splits.scalar())
+        tagged.join(small_table(splits), keys) if keys else tagged.withColumn("_o_cuts", splits.scalar())
     ).withColumn("_o_b", _range_bucket(F.col("_o_p"), F.col("_o_cuts")))
     counts = cut.groupBy(*keys, "_o_b").agg(F.count(F.lit(1)).alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +156,7 @@ def ranks_of_counts(distinct: DataFrame, keys: Sequence[str], value: str, out: s
     keys = list(keys)
     splits = distinct.groupBy(*keys).agg(_cut_points(value).alias("_o_cuts"))
     cut = (
-        distinct.join(splits, keys) if keys else distinct.withColumn("_o_cuts", splits.scalar())
+        distinct.join(small_table(splits), keys) if keys else distinct.withColumn("_o_cuts", splits.scalar())
     ).withColumn("_o_b", _range_bucket(F.col(value), F.col("_o_cuts")))
     sums = cut.groupBy(*keys, "_o_b").agg(F.sum("n_tied").alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +187,7 @@ def grouped_median(
         F.count(F.lit(1)).alias("_o_n"),
     )
     if keys:
-        joined = v.join(band, keys)
+        joined = v.join(small_table(band), keys)
     else:
         joined = v.withColumn("_o_band", band.select("_o_band").scalar()).withColumn("_o_n", band.select("_o_n").scalar())
     # One row per distinct value inside the bracket, and one row (NULL) for everything outside it:
