@@ -8,9 +8,8 @@ from ..functions.columns import r6
 from ..functions.ordering import grouped_median
 from ..operators import regions, windows
 from ..operators.similarity import rank_values
-from ..operators.scoring import score
 from . import query
-from .views import INTERVALS, R, STORIES, intervals, pairs, stories, table
+from .views import INTERVALS, R, STORIES, intervals, stories, table
 
 DAY = 86400.0
 BINNED = f"""{INTERVALS}, b AS (SELECT *, floor((t0 + t1) / 2 / {DAY})::BIGINT AS bin FROM intervals),
@@ -142,6 +141,3 @@ def grouped_medians(spark, d):
 def overall_median(spark, d):
     return grouped_median(table(spark, d, "lineitem"), [], "l_extendedprice", "median").withColumn("median", r6("median", 4))
 
-
-def unit_fold_scores(spark, d):
-    return score(pairs(spark, d), ["label", "unit"], ["pearson"])
