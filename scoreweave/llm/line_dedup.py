@@ -76,6 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = (
         lines.groupBy("_line").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).drop("_n")
     )
+    frequent = frequent.repartition("_keep")  # both sides of the join are shuffled for it, so a hot line's rows can be split
     drops = lines.join(frequent, "_line").where(F.col("_id") != F.col("_keep")).groupBy(F.col("_id").alias("_key")).agg(F.collect_set("_line").alias("_drop"))
     joined = base.join(drops, "_key", "left").drop("_key")
     names = [*rest, "n_lines", "n_dropped"]
