@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import col, settle, texts, words
 
 END = b"\x00\x00\x00\x00"  # id 0 closes a document
-CACHED_WORDS = 400_000  # ids remembered in a Python worker; more are computed again
-SHARE = 1000  # pieces of one length that are numbered together
+CACHED_WORDS = 400_000  # words remembered in a Python worker, twice; others are coded again
+MARKS = b".,;:!?"
+DOCUMENTS = 500  # documents whose words are held at once
+SHARE = 250  # pieces of one length that are numbered together
 
 
 def _reduce(count: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
@@ -153,31 +155,72 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], count: dict[int, int])
     return first, np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _pieces(tokenizer: str, max_len: int, keep_ids: bool):
-    def run(batches):
+class _WordIds:
+    """Ids of words as little-endian bytes, remembered while they are in use.
+
+    The tokenizer sees letters and marks apart and ignores the case of ASCII letters, so a word of letters with closing marks
+    is the ids of both."""
+
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder, known = Tokenizer.from_file(tokenizer), {}
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            parts = [words(t) for t in texts(b.column("_text"))]
-            fresh = list({w for p in parts for w in p if w not in known})
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                fresh = list({w for p in parts for w in p})
-            for i in range(0, len(fresh), 20_000):
-                some = fresh[i : i + 20_000]
-                for w, e in zip(some, coder.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            for doc, p in zip(b.column("_id").to_pylist(), parts):
-                ids = b"".join([known[w] for w in p]) + END
-                for k, at in enumerate(range(0, len(ids), 4 * max_len)):
-                    own = ids[at : at + 4 * max_len]
-                    for c, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        self.coder = Tokenizer.from_file(tokenizer)
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _code(self, wanted: set[bytes]) -> None:
+        """Ids of ``wanted`` as they are."""
+        fresh = []
+        for w in wanted:
+            if w not in self.ids:
+                if w in self.older:
+                    self.ids[w] = self.older[w]
+                else:
+                    fresh.append(w)
+        for w, e in zip(fresh, self.coder.encode_batch([w.decode() for w in fresh], add_special_tokens=False)):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that has the ids of all ``wanted``."""
+        if len(self.ids) > CACHED_WORDS:
+            self.older, self.ids = self.ids, {}
+        whole, split = set(), {}
+        for w in wanted:
+            if w in self.ids:
+                continue
+            if w in self.older:
+                self.ids[w] = self.older[w]
+                continue
+            core = w.lower().rstrip(MARKS)  # bytes: A-Z only
+            if core == w or not core.decode().isalpha():
+                whole.add(w)
+            else:
+                split[w] = (core, w[len(core) :])
+        self._code(whole | {p for parts in split.values() for p in parts if p})
+        for w, (core, marks) in split.items():
+            self.ids[w] = self.ids[core] + (self.ids[marks] if marks else b"")
+        return self.ids
+
+
+def _pieces(tokenizer: str, max_len: int, keep_ids: bool):
+    def run(batches):
+        coder = _WordIds(tokenizer)
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                b = whole.slice(at, DOCUMENTS)
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                parts = [words(t) for t in texts(b.column("_text"))]
+                known = coder.learn({w for p in parts for w in p})
+                for doc, p in zip(b.column("_id").to_pylist(), parts):
+                    ids = b"".join([known[w] for w in p]) + END
+                    for k, start in enumerate(range(0, len(ids), 4 * max_len)):
+                        own = ids[start : start + 4 * max_len]
+                        for c, v in zip(out, (doc, k, start // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None)):
+                            c.append(v)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return run
 
