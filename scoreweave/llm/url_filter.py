@@ -161,6 +161,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: Da
         return judged.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     hosts = pages.select(url_host(url).alias("_host")).where("_host <> ''").distinct()
     listed = listed_hosts(hosts, blocked, entry_col).select("_host", F.lit("block").alias("_said"))
+    listed = listed.repartition(F.xxhash64("_host"))  # both sides of the join are shuffled for it, so a hot host's pages can be split
     out = judged.join(listed, F.col("host") == F.col("_host"), "left")
     return out.withColumn("verdict", F.coalesce("verdict", "_said", F.lit("allow"))).drop("_host", "_said")
 
