@@ -26,8 +26,9 @@ from .common import STEP, col, gram_hashes, id_key, others, settle, texts, word_
 
 WINDOW = 20
 PREFIX = 5
-GROUP_BYTES = 12 << 20  # bytes of corpus text for one group of prefixes
+GROUP_BYTES = 4 << 20  # bytes of corpus text for one group of prefixes
 HOT_SHARE = 4096
+TOGETHER = 5000  # documents whose equal suffixes are combined before they are dealt
 SUFFIX_BYTES = 50  # bytes of text for one sampled suffix, about
 
 
@@ -136,7 +137,7 @@ def _repeated(hot: int):
     return run
 
 
-def _deal_suffixes(buckets: int, window: int, prefix: int, hot: np.ndarray):
+def _deal_suffixes(buckets: int, window: int, prefix: int, hot: np.ndarray, text_col: str):
     """(bucket, _key, _tag, start, n, words): windows that may repeat, n to a suffix, with the words they cover.
 
     Of equal suffixes in a batch the earliest is dealt; later ones are repeats and are passed on without words."""
@@ -154,10 +155,10 @@ def _deal_suffixes(buckets: int, window: int, prefix: int, hot: np.ndarray):
                 yield int(_bucket(gram_hashes(word_hashes(content), window), buckets)[0]), at, 1, b" ".join(content)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             earliest: dict[tuple, list] = {}
             rows = []
-            for key, tag, t, firsts in zip(*(b.column(c).to_pylist() for c in ("_key", "_tag")), texts(b.column("_text")), b.column("_firsts").to_pylist()):
+            for key, tag, t, firsts in zip(*(b.column(c).to_pylist() for c in ("_key", "_tag")), texts(b.column(text_col)), b.column("_firsts").to_pylist()):
                 for bucket, start, n, content in suffixes(t, firsts) if firsts else ():
                     own = (key, start, tag, n)
                     old = earliest.get((bucket, content))
@@ -279,8 +280,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(*[col(c) for c in rest], *place)
     schema = "bucket long, _key long, _tag long, start int, n int, words string"
     on = ["_key", "_tag"]
-    dealt = base.join(marks, on).select("_key", "_tag", col(text_col).cast("string").alias("_text"), "_firsts")
-    dealt = dealt.mapInArrow(_deal_suffixes(buckets, window, PREFIX, hot), schema)
+    # all columns go along, so that this join and the last one share one shuffle of the texts
+    dealt = base.join(marks, on).mapInArrow(_deal_suffixes(buckets, window, PREFIX, hot, text_col), schema)
     gone = dealt.groupBy("bucket").applyInArrow(_subtree(window), "_key long, _tag long, _start array<int>, _n array<int>")
     gone = gone.groupBy(*on).agg(F.collect_list("_start").alias("_starts"), F.collect_list("_n").alias("_sizes"))
     names = [*rest, "n_words", "n_removed"]
