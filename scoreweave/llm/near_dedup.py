@@ -27,8 +27,8 @@ from .components import components
 
 SHINGLE = 5
 FUNCTIONS = 128
-LEAF = 32  # members compared exhaustively
-SURE = 118  # of FUNCTIONS equal: taken as linked while branching, confirmed in the end
+LEAF, LEAF_MOST = 256, 2048  # members compared exhaustively: at the roots, doubling with each level up to the second
+SURE = 106  # of FUNCTIONS equal: taken as linked while branching, confirmed in the end
 _rng = np.random.Generator(np.random.PCG64(20240607))
 FACTORS = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
@@ -79,12 +79,13 @@ def _leaf_pairs(similarity: float, least: int):
             for members in b.column("members").to_pylist():
                 rep, comp, n = (np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n"))
                 sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                i, j = np.nonzero(rep[:, None] < rep[None, :])
-                ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-                i, j = i[ok], j[ok]
-                same = (sk[i] == sk[j]).sum(1)
-                for c, v in zip(found, (rep[i], rep[j], same)):
-                    c.append(v[same >= least])
+                for at in range(0, len(rep), 64):  # some rows against all
+                    r, m = rep[at : at + 64, None], n[at : at + 64, None]
+                    i, j = np.nonzero((r < rep) & (comp[at : at + 64, None] != comp) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9))
+                    i += at
+                    same = (sk[i] == sk[j]).sum(1)
+                    for c, v in zip(found, (rep[i], rep[j], same)):
+                        c.append(v[same >= least])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], ["a", "b", "same"])
 
     return run
@@ -118,9 +119,14 @@ def _confirm(percent: int):
     return run
 
 
-def _candidates(sets: DataFrame, similarity: float, trees: int, bad: DataFrame | None) -> DataFrame:
-    """(a, b, same): pairs of classes found in the trees, ends in different components as known then."""
-    least = int(FUNCTIONS * (similarity - 6 * math.sqrt(similarity * (1 - similarity) / FUNCTIONS)))  # six deviations below the threshold
+def _least(similarity: float) -> int:
+    """Equal functions that a pair must show to be confirmed: 4.5 deviations below the threshold."""
+    return int(FUNCTIONS * (similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / FUNCTIONS)))
+
+
+def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> DataFrame:
+    """(a, b, same): pairs of classes found in the trees, whose ends were not known to be linked already."""
+    least = _least(similarity)
     pairs = "a long, b long, same long"
     token = lambda pos: F.substring("sig", 4 * pos + 1, 4)
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(trees)]))
@@ -133,28 +139,24 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, bad: DataFrame |
         )
         stats = known.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         live = settle(known.join(stats.where("size > 1 and lo < hi").select("node", "size", "pivot"), "node"))
-        small, large = live.where(F.col("size") <= LEAF), live.where(F.col("size") > LEAF)
+        limit = min(LEAF_MOST, LEAF << (level - 1))
+        small, large = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
         brief = sets.select("rep", "n", "sketch")
         leaf = small.join(brief, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
         leaf = leaf.select("members").mapInArrow(_leaf_pairs(similarity, least), pairs)
         star = large.where("rep > pivot").select("rep", "pivot").distinct().join(brief, "rep")
         star = star.join(brief.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "pivot")
         star = star.mapInArrow(_star_pairs(similarity, least), pairs)
-        fresh = leaf.unionByName(star).distinct()
-        if bad is not None:
-            fresh = fresh.join(bad, ["a", "b"], "left_anti")
-        fresh = settle(fresh)
+        fresh = settle(leaf.unionByName(star).distinct())
         found.append(fresh)
         if large.limit(1).count() == 0:
             break
-        union = fresh if len(found) == 1 else found[0]
-        for f in found[1:]:
-            union = union.unionByName(f)
-        label = components(union.where(F.col("same") >= SURE)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        label = _labels(fresh.where(F.col("same") >= sure), label)
         # chosen path: every node picks one function, or two, from its own path
         second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * (1 / similarity - 1))
         picks = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         pos = F.pmod(F.xxhash64("node", F.lit(level), "pick"), F.lit(FUNCTIONS)).cast("int")
+        sets = settle(sets.join(large.select("rep").distinct(), "rep", "left_semi"))  # the rest of the paths needs no others
         nodes = large.select("node", "rep").withColumn("pick", F.explode(picks)).withColumn("pos", pos).join(sets.select("rep", "sig"), "rep")
         nodes = nodes.select("rep", F.xxhash64("node", "pos", token(F.col("pos"))).alias("node"))
     else:  # paths through all functions: what is still together is compared whole
@@ -168,6 +170,38 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, bad: DataFrame |
     return out.groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
+def _labels(links: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(rep, comp): a smaller class that each class is linked with by a few steps; part of the components is enough for pruning."""
+    step = links.select(F.col("b").alias("rep"), F.col("a").alias("comp"))
+    step = step if known is None else step.unionByName(known)
+    step = step.groupBy("rep").agg(F.min("comp").alias("comp"))
+    for _ in range(2):
+        ahead = step.select(F.col("rep").alias("comp"), F.col("comp").alias("ahead"))
+        step = step.join(ahead, "comp", "left").select("rep", F.coalesce("ahead", "comp").alias("comp"))
+    return settle(step)
+
+
+def _checked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ok) by the full sets."""
+    both = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a")
+    both = both.join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b").select("a", "b", "fa", "fb")
+    return settle(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
+
+
+def _confirmed(cand: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links that span the components of the candidates, and the refused pairs.
+
+    The most similar link of every class is confirmed first; then all pairs that still lie in different components."""
+    best = cand.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    first = _checked(best, full, percent)
+    groups = settle(components(first.where("ok")))
+    ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    rest = cand.join(first.select("a", "b"), ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left")
+    second = _checked(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")), full, percent)
+    both = first.unionByName(second)
+    return both.where("ok").select("a", "b"), both.where("not ok").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, recall: float = 0.9999) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -181,51 +215,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_sets = settle(plain.mapInArrow(_sets, "_id long, n long, key binary, sig binary, sketch binary"))
     some = all_sets.where("n > 0")
     rep = some.groupBy("key").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
-    # an id with several texts may stand for several sets; it then belongs to the set of its smallest key and links the others
-    classes = settle(rep)
-    sets = classes.groupBy("rep").agg(F.min(F.struct("key", "n", "sig", "sketch")).alias("s")).select("rep", "s.key", "s.n", "s.sig", "s.sketch")
-    more = classes.join(sets.select("rep", "key"), ["rep", "key"], "left_anti")
-    repeated = more.limit(1).count() > 0
+    sets = classes = settle(rep)
+    repeated = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
     member = some.select("_id", "key").join(classes.select("key", "rep"), "key")
     if repeated:  # rows with one id and different texts: every set stands for itself, the ids are joined at the end
         sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig", "sketch")
         member = some.select("_id", "key").withColumn("rep", F.xxhash64("key"))
     trees, percent = trees_for(similarity, recall), round(100 * similarity)
-    links: DataFrame | None = None
-    bad: DataFrame | None = None
-    full: DataFrame | None = None
-    while True:  # once, unless a link taken as sure is refused
-        cand = settle(_candidates(sets, similarity, trees, bad))
-        ends = cand.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        keys = ends.join(sets.select("rep", "key"), "rep")
-        one = all_sets.join(keys, "key").groupBy("rep").agg(F.min("_id").alias("_id"), F.first("key").alias("key"))
-        chosen = plain.join(one, "_id").select("rep", "key", "_text")
-        full = settle(chosen.mapInArrow(_full_sets_of, "rep long, key binary, full binary").where("full is not null").dropDuplicates(["rep"]).select("rep", "full"))
-        refused = False
-        open_pairs = cand
-        while True:  # the most similar link of each class first; then those that still join components
-            best = open_pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b", "m.same")
-            best = settle(best)
-            checked = best.join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b")
-            checked = settle(checked.select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
-            new = checked.where("ok").select("a", "b")
-            links = new if links is None else settle(links.unionByName(new))
-            no = checked.where("not ok").select("a", "b")
-            sure = best.join(no, ["a", "b"], "left_semi").where(F.col("same") >= SURE).select("a", "b")
-            if sure.limit(1).count():
-                refused, bad = True, (sure if bad is None else bad.unionByName(sure))
-            groups = settle(components(links))
-            ga = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-            gb = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            open_pairs = open_pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left")
-            open_pairs = settle(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "same"))
-            if open_pairs.limit(1).count() == 0:
-                break
-        if not refused:
-            break
+    cand = settle(_candidates(sets, similarity, trees, SURE))
+    links, refused = _confirmed(cand, _full(plain, all_sets, sets, cand), percent)
+    groups = settle(components(links))
+    doubt = refused.join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi")
+    if doubt.limit(1).count():  # pairs taken as linked were not: what hung on them branches again without such pruning
+        assumed = components(cand.where(F.col("same") >= SURE).select("a", "b"))
+        parts = assumed.join(groups.select("node", F.col("component").alias("own")), "node", "left")
+        parts = parts.withColumn("own", F.coalesce("own", "node"))
+        torn = parts.groupBy("component").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("component")
+        again = settle(parts.join(torn, "component").select(F.col("node").alias("rep"), "own", "component"))
+        # small parts are compared exhaustively at once, large ones by trees
+        size = again.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        member_of = again.join(size, "component").join(sets, "rep")
+        groups_of = member_of.where(F.col("size") <= LEAF_MOST).groupBy("component")
+        near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members")
+        more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity)), "a long, b long, same long")
+        large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig", "sketch")
+        if large.limit(1).count():
+            more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1))
+        for x in "ab":
+            more = more.join(again.select(F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x)
+        more = settle(more.where("ca <> cb").select("a", "b", "same").distinct())
+        if more.limit(1).count():
+            fresh = _checked(more, _full(plain, all_sets, sets, more), percent).where("ok").select("a", "b")
+            groups = settle(components(links.unionByName(fresh)))
     return _answer(all_sets, member, groups, repeated, id_col)
 
 
+def _full(plain: DataFrame, all_sets: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rep, full): the sets of all classes in ``pairs``, from the texts."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep", "key"), "rep")
+    one = all_sets.select("_id", "key").join(keys, "key").groupBy("rep", "key").agg(F.min("_id").alias("_id"))
+    found = plain.join(one, "_id").select("rep", "key", "_text").mapInArrow(_full_sets_of, "rep long, key binary, full binary")
+    return settle(found.where("full is not null").select("rep", "full").dropDuplicates(["rep"]))
+
+
 def _full_sets_of(batches):
     """Full sets of texts whose key is the one asked for (an id may hold several texts)."""
     for b in batches:
