@@ -70,8 +70,32 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["_id", "n", "key", "sig", "sketch"])
 
 
-def _leaf_pairs(similarity: float, least: int):
-    """Pairs of a small node from different components whose sizes and sketches allow the similarity."""
+def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
+    """Of pairs (i, j, same): a forest of those at least ``sure``, and all others that join different trees of it."""
+    i, j, same = pairs
+    label, kept = np.arange(n), np.zeros(len(i), bool)
+    strong = same >= sure
+    while True:
+        cross = np.flatnonzero(strong & (label[i] != label[j]))
+        if not len(cross):
+            break
+        _, one = np.unique(np.maximum(label[i[cross]], label[j[cross]]), return_index=True)
+        kept[cross[one]] = True
+        x, y = i[kept], j[kept]
+        while True:
+            low = label.copy()
+            np.minimum.at(low, x, label[y])
+            np.minimum.at(low, y, label[x])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+    return pairs[:, kept | (~strong & (label[i] != label[j]))]
+
+
+def _leaf_pairs(similarity: float, least: int, sure: int):
+    """Pairs of a small node from different components whose sizes and sketches allow the similarity; those that are
+    sure to be linked as a forest, not each with each."""
 
     def run(batches):
         for b in batches:
@@ -79,13 +103,16 @@ def _leaf_pairs(similarity: float, least: int):
             for members in b.column("members").to_pylist():
                 rep, comp, n = (np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n"))
                 sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
+                near: list[np.ndarray] = []
                 for at in range(0, len(rep), 64):  # some rows against all
                     r, m = rep[at : at + 64, None], n[at : at + 64, None]
                     i, j = np.nonzero((r < rep) & (comp[at : at + 64, None] != comp) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9))
                     i += at
                     same = (sk[i] == sk[j]).sum(1)
-                    for c, v in zip(found, (rep[i], rep[j], same)):
-                        c.append(v[same >= least])
+                    near.append(np.stack([i, j, same])[:, same >= least])
+                i, j, same = spanning(np.concatenate(near, 1), len(rep), sure)
+                for c, v in zip(found, (rep[i], rep[j], same)):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], ["a", "b", "same"])
 
     return run
@@ -143,7 +170,7 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
         small, large = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
         brief = sets.select("rep", "n", "sketch")
         leaf = small.join(brief, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
-        leaf = leaf.select("members").mapInArrow(_leaf_pairs(similarity, least), pairs)
+        leaf = leaf.select("members").mapInArrow(_leaf_pairs(similarity, least, sure), pairs)
         star = large.where("rep > pivot").select("rep", "pivot").distinct().join(brief, "rep")
         star = star.join(brief.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "pivot")
         star = star.mapInArrow(_star_pairs(similarity, least), pairs)
@@ -223,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member = some.select("_id", "key").withColumn("rep", F.xxhash64("key"))
     trees, percent = trees_for(similarity, recall), round(100 * similarity)
     cand = settle(_candidates(sets, similarity, trees, SURE))
-    links, refused = _confirmed(cand, _full(plain, all_sets, sets, cand), percent)
+    full = _full(plain, all_sets, sets, cand)
+    links, refused = _confirmed(cand, full, percent)
     groups = settle(components(links))
     doubt = refused.join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi")
     if doubt.limit(1).count():  # pairs taken as linked were not: what hung on them branches again without such pruning
@@ -237,15 +265,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member_of = again.join(size, "component").join(sets, "rep")
         groups_of = member_of.where(F.col("size") <= LEAF_MOST).groupBy("component")
         near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members")
-        more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity)), "a long, b long, same long")
+        more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig", "sketch")
         if large.limit(1).count():
             more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1))
         for x in "ab":
             more = more.join(again.select(F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x)
         more = settle(more.where("ca <> cb").select("a", "b", "same").distinct())
-        if more.limit(1).count():
-            fresh = _checked(more, _full(plain, all_sets, sets, more), percent).where("ok").select("a", "b")
+        if more.limit(1).count():  # their ends are among the candidates' ends
+            fresh = _checked(more, full, percent).where("ok").select("a", "b")
             groups = settle(components(links.unionByName(fresh)))
     return _answer(all_sets, member, groups, repeated, id_col)
 
