@@ -69,7 +69,7 @@ def context_windows(spark, d):
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 7")
 def head_per_story(spark, d):
-    return windows.head_per_key(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 7).select("user_id", "event_id")
+    return windows.head_per_key(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", ["ts", "event_id"], 7).select("user_id", "event_id")
 
 
 @query("SELECT s_suppkey, t, 25 + 25 * t AS t_ms, s_suppkey * 7 + t AS row FROM supplier, (SELECT unnest(range(7)) AS t)")

@@ -16,6 +16,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a NULL key meets a NULL key, so that a NULL group keeps its rows."""
+    named = right.withColumnsRenamed({k: f"_ns_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_ns_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_ns_{k}" for k in keys])
+
+
 SMALL_ROWS = 50_000
 
 

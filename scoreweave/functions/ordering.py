@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import col
-from .joins import small_table
+from .joins import null_safe_join, small_table
 
 HASH_BUCKET_HEX = 3  # 16 ** 3 equal-probability buckets of a hash order
 MEDIAN_ACCURACY = 10000  # rank error of the sketch that narrows the search: n / accuracy
@@ -42,7 +42,7 @@ def hash_row_number(df: DataFrame, keys: Sequence[str], order_hash: str, tie: st
     inside = Window.partitionBy(*keys, "_o_b").orderBy(order_hash, tie)
     numbered = bucketed.withColumn("_o_rn", F.row_number().over(inside))
     return (
-        numbered.join(offsets, [*keys, "_o_b"])
+        null_safe_join(numbered, offsets, [*keys, "_o_b"])
         .withColumn(out, (F.col("_o_rn") + F.col("_o_off")).cast("long"))
         .drop("_o_b", "_o_rn", "_o_off")
     )
@@ -71,7 +71,7 @@ def hash_cutoffs(df: DataFrame, strata: Sequence[str], key: Column | str, seed:
     )
     inside = Window.partitionBy(*strata, "_o_b", "_o_end").orderBy("_o_h")
     hits = (
-        narrow.join(small_table(wanted), [*strata, "_o_b"])
+        null_safe_join(narrow, small_table(wanted), [*strata, "_o_b"])
         .withColumn("_o_rank", F.row_number().over(inside) + F.col("_o_off"))
         .where(F.col("_o_rank") == F.col("_o_end"))
     )
@@ -92,8 +92,7 @@ def range_running_sum(
     offsets = sums.withColumn("_o_off", F.coalesce(F.sum("_o_s").over(before), F.lit(0))).drop("_o_s")
     inside = Window.partitionBy(*keys, "_o_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        v.withColumn("_o_in", F.sum("_o_v").over(inside))
-        .join(offsets, [*keys, "_o_b"])
+        null_safe_join(v.withColumn("_o_in", F.sum("_o_v").over(inside)), offsets, [*keys, "_o_b"])
         .withColumn(out, F.col("_o_in") + F.col("_o_off"))
         .drop("_o_v", "_o_b", "_o_in", "_o_off")
     )
@@ -128,15 +127,14 @@ def ordered_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     tagged = df.withColumn("_o_p", probe)
     splits = tagged.groupBy(*keys).agg(_cut_points("_o_p").alias("_o_cuts"))
     cut = (
-        tagged.join(small_table(splits), keys) if keys else tagged.withColumn("_o_cuts", splits.scalar())
+        null_safe_join(tagged, small_table(splits), keys) if keys else tagged.withColumn("_o_cuts", splits.scalar())
     ).withColumn("_o_b", _range_bucket(F.col("_o_p"), F.col("_o_cuts")))
     counts = cut.groupBy(*keys, "_o_b").agg(F.count(F.lit(1)).alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o_off", F.coalesce(F.sum("_o_n").over(before), F.lit(0))).drop("_o_n")
     inside = Window.partitionBy(*keys, "_o_b").orderBy(*order)
     return (
-        cut.withColumn("_o_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_o_b"])
+        null_safe_join(cut.withColumn("_o_rn", F.row_number().over(inside)), offsets, [*keys, "_o_b"])
         .withColumn(out, (F.col("_o_rn") + F.col("_o_off")).cast("long"))
         .drop("_o_p", "_o_cuts", "_o_b", "_o_rn", "_o_off")
     )
@@ -156,15 +154,14 @@ def ranks_of_counts(distinct: DataFrame, keys: Sequence[str], value: str, out: s
     keys = list(keys)
     splits = distinct.groupBy(*keys).agg(_cut_points(value).alias("_o_cuts"))
     cut = (
-        distinct.join(small_table(splits), keys) if keys else distinct.withColumn("_o_cuts", splits.scalar())
+        null_safe_join(distinct, small_table(splits), keys) if keys else distinct.withColumn("_o_cuts", splits.scalar())
     ).withColumn("_o_b", _range_bucket(F.col(value), F.col("_o_cuts")))
     sums = cut.groupBy(*keys, "_o_b").agg(F.sum("n_tied").alias("_o_n"))
     before = Window.partitionBy(*keys).orderBy("_o_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_o_off", F.coalesce(F.sum("_o_n").over(before), F.lit(0))).drop("_o_n")
     inside = Window.partitionBy(*keys, "_o_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.withColumn("_o_c", F.sum("n_tied").over(inside))
-        .join(offsets, [*keys, "_o_b"])
+        null_safe_join(cut.withColumn("_o_c", F.sum("n_tied").over(inside)), offsets, [*keys, "_o_b"])
         .withColumn(out, F.col("_o_off") + F.col("_o_c") - (F.col("n_tied") - 1) / F.lit(2.0))
         .drop("_o_cuts", "_o_b", "_o_c", "_o_off")
     )
@@ -187,7 +184,7 @@ def grouped_median(
         F.count(F.lit(1)).alias("_o_n"),
     )
     if keys:
-        joined = v.join(small_table(band), keys)
+        joined = null_safe_join(v, small_table(band), keys)
     else:
         joined = v.withColumn("_o_band", band.select("_o_band").scalar()).withColumn("_o_n", band.select("_o_n").scalar())
     # One row per distinct value inside the bracket, and one row (NULL) for everything outside it:

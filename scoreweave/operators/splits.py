@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import checked_broadcast
+from ..functions.joins import checked_broadcast, null_safe_join
 from ..functions.ordering import hash_cutoffs, stable_hash
 from .scoring import can_stratify
 
@@ -13,7 +13,7 @@ from .scoring import can_stratify
 def _attach(df: DataFrame, strata: list[str], cuts: DataFrame) -> DataFrame:
     """Cut points next to every row: literals without strata, else a join with a short table."""
     if strata:
-        return df.join(checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata)
+        return null_safe_join(df, checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata)
     found = cuts.first()  # a few hash strings
     values = found["cuts"] if found is not None else []
     return df.withColumn("_cuts", F.array(*[F.lit(c) for c in values]).cast("array<string>"))
@@ -35,7 +35,7 @@ def _folds(df: DataFrame, key: str, strata: list[str], k: int, seed: int, out: s
     fold = F.size(F.filter("_cuts", lambda c: c < h))
     if strata:
         # a stratum with fewer rows than folds may have no cut at all
-        joined = df.join(checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata, "left")
+        joined = null_safe_join(df, checked_broadcast(cuts.withColumnRenamed("cuts", "_cuts")), strata, "left")
         return joined.withColumn(out, F.coalesce(F.nullif(fold, F.lit(-1)), F.lit(0)).cast("int")).drop("_cuts")
     return _attach(df, strata, cuts).withColumn(out, fold.cast("int")).drop("_cuts")
 
@@ -76,7 +76,7 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> Dat
         return df.withColumn(out, F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(k)).cast("int"))
     plan = group_folds([(r[group], r["n"]) for r in rows], k)
     schema = f"`{group}` {dict(df.dtypes)[group]}, `{out}` int"
-    return df.join(checked_broadcast(df.sparkSession.createDataFrame(plan, schema)), group)
+    return null_safe_join(df, checked_broadcast(df.sparkSession.createDataFrame(plan, schema)), [group])
 
 
 def holdout(df: DataFrame, key: str, fraction: float = 0.1, label: str | None = None, seed: int = 42, out: str = "is_val") -> DataFrame:

@@ -107,9 +107,9 @@ def context_windows(df: DataFrame, key: str, i: str, value: str, size: int, cont
     )
 
 
-def head_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each key in ``order``; numbering is bucketed, so long keys are spread."""
-    return ordered_row_number(df, [key], [order], "_pos").where(F.col("_pos") <= n).drop("_pos")
+def head_per_key(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key in ``order`` (later columns settle ties); numbering is bucketed, so long keys are spread."""
+    return ordered_row_number(df, [key], order, "_pos").where(F.col("_pos") <= n).drop("_pos")
 
 
 def time_bins(df: DataFrame, start: int = 25, stop: int = 200, step: int = 25) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +35,17 @@ def latest_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_features(df: DataFrame, path: str) -> None:
-    """Feature rows (train, test and labels alike) partitioned for layer-wise reads."""
-    df.write.mode("overwrite").partitionBy("model", "layer").parquet(path)
+    """Feature rows (train, test and labels alike) partitioned for layer-wise reads; only the models and layers saved are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "layer").parquet(path)
 
 
 def materialise(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
-    """Read a prepared table if it was written before, otherwise build, write and read it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
-            raise
-    build().write.mode("errorifexists").parquet(path)
+    """Read a prepared table if it was written completely before, otherwise build, write and read it.
+
+    The writer's commit marker tells a finished table; a folder without it is a broken write and is replaced.
+    """
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -217,3 +217,29 @@ def test_grid_distances(spark):
     df = spark.createDataFrame([(0, 17), (5, 7)], "a int, b int")
     got = [tuple(r) for r in df.select(behaviour.chebyshev("a", "b"), behaviour.euclidean("a", "b")).collect()]
     assert got[0] == (1.0, pytest.approx(2**0.5)) and got[1] == (2.0, 2.0)
+
+
+def test_null_groups_keep_their_rows(spark):
+    from scoreweave.functions.ordering import grouped_median, ordered_row_number
+    from scoreweave.operators import splits
+
+    rows = [(i, None if i % 4 == 0 else "ab"[i % 2], float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, label string, v double")
+    held = splits.holdout(df, "k", 0.2, "label")
+    assert held.count() == 40 and held.where("label is null and is_val").count() == 2
+    folds = splits.stratified_kfold(df, "k", "label", 5).where("label is null").groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [2] * 5
+    assert ordered_row_number(df, ["label"], ["v"], "rn").where("label is null").count() == 10
+    medians = {r["label"]: r["m"] for r in grouped_median(df, ["label"], "v", "m").collect()}
+    assert medians == {None: 18.0, "a": 20.0, "b": 20.0}
+
+
+def test_store_keeps_other_models_and_rebuilds_broken_tables(spark, tmp_path):
+    from scoreweave.sources import store
+
+    for model in ("m1", "m2", "m2"):
+        store.save_features(spark.range(3).selectExpr("id", f"'{model}' as model", "'l' as layer"), f"{tmp_path}/f")
+    assert spark.read.parquet(f"{tmp_path}/f").count() == 6
+    (tmp_path / "t").mkdir()
+    assert store.materialise(spark, lambda: spark.range(5), f"{tmp_path}/t").count() == 5
+    assert store.materialise(spark, lambda: spark.range(9), f"{tmp_path}/t").count() == 5
