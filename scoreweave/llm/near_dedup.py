@@ -57,17 +57,38 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(32)).astype("<u4")
 
 
+def _keys(batches):
+    """Id, size of the set, 128-bit key of the set."""
+    for b in batches:
+        n, key = [], []
+        for s in map(shingles, texts(b.column("_text"))):
+            n.append(len(s))
+            key.append(xxhash.xxh3_128_digest(s.tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["_id", "n", "key"])
+
+
 def _sets(batches):
-    """Id, size of the set, 128-bit key of the set, signature, one byte per function as a sketch."""
+    """The same with the signature, for texts with words."""
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [])
-        for t in texts(b.column("_text")):
+        for i, t in zip(b.column("_id").to_pylist(), texts(b.column("_text"))):
             s = shingles(t)
-            sig = signature(s) if len(s) else None
-            for c, v in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), None if sig is None else sig.tobytes(), None if sig is None else sig.astype(np.uint8).tobytes())):
-                c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["_id", "n", "key", "sig", "sketch"])
+            if len(s):
+                for c, v in zip(out, (i, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes())):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["_id", "n", "key", "sig"])
+
+
+def _sketches(batches):
+    """One byte of every function in place of the signature."""
+    for b in batches:
+        sketch = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in b.column("sig").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(sketch, pa.binary())], ["rep", "n", "sketch"])
+
+
+def _brief(sets: DataFrame) -> DataFrame:
+    return sets.select("rep", "n", "sig").mapInArrow(_sketches, "rep long, n long, sketch binary")
 
 
 def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
@@ -168,11 +189,13 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
         live = settle(known.join(stats.where("size > 1 and lo < hi").select("node", "size", "pivot"), "node"))
         limit = min(LEAF_MOST, LEAF << (level - 1))
         small, large = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
-        brief = sets.select("rep", "n", "sketch")
-        leaf = small.join(brief, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
+        # a class meets its sketch or signature once, with the list of its nodes (one for each path that it is on)
+        brief = _brief(sets)
+        leaf = small.groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(brief, "rep")
+        leaf = leaf.withColumn("node", F.explode("nodes")).groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
         leaf = leaf.select("members").mapInArrow(_leaf_pairs(similarity, least, sure), pairs)
-        star = large.where("rep > pivot").select("rep", "pivot").distinct().join(brief, "rep")
-        star = star.join(brief.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "pivot")
+        star = large.where("rep > pivot").groupBy("rep").agg(F.collect_set("pivot").alias("pivots")).join(brief, "rep")
+        star = star.withColumn("pivot", F.explode("pivots")).drop("pivots").join(brief.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "pivot")
         star = star.mapInArrow(_star_pairs(similarity, least), pairs)
         fresh = settle(leaf.unionByName(star).distinct())
         found.append(fresh)
@@ -183,8 +206,8 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
         second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * (1 / similarity - 1))
         picks = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         pos = F.pmod(F.xxhash64("node", F.lit(level), "pick"), F.lit(FUNCTIONS)).cast("int")
-        sets = settle(sets.join(large.select("rep").distinct(), "rep", "left_semi"))  # the rest of the paths needs no others
-        nodes = large.select("node", "rep").withColumn("pick", F.explode(picks)).withColumn("pos", pos).join(sets.select("rep", "sig"), "rep")
+        sets = settle(large.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(sets.drop("nodes"), "rep"))  # the rest of the paths needs no others
+        nodes = sets.select("rep", "sig", F.explode("nodes").alias("node")).withColumn("pick", F.explode(picks)).withColumn("pos", pos)
         nodes = nodes.select("rep", F.xxhash64("node", "pos", token(F.col("pos"))).alias("node"))
     else:  # paths through all functions: what is still together is compared whole
         left = large.select("node", "rep", "comp").join(brief, "rep")
@@ -239,14 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.  An empty table gives an empty table.
     """
     plain = docs.select(id_key(id_col).alias("_id"), col(text_col).cast("string").alias("_text"))
-    all_sets = settle(plain.mapInArrow(_sets, "_id long, n long, key binary, sig binary, sketch binary"))
+    all_sets = settle(plain.mapInArrow(_keys, "_id long, n long, key binary"))
     some = all_sets.where("n > 0")
-    rep = some.groupBy("key").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
-    sets = classes = settle(rep)
+    # signatures are written once per class; the texts are cut into shingles again rather than keep those of every row
+    signed = plain.mapInArrow(_sets, "_id long, n long, key binary, sig binary")
+    sets = classes = settle(signed.groupBy("key").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig")))
     repeated = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
     member = some.select("_id", "key").join(classes.select("key", "rep"), "key")
     if repeated:  # rows with one id and different texts: every set stands for itself, the ids are joined at the end
-        sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig", "sketch")
+        sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig")
         member = some.select("_id", "key").withColumn("rep", F.xxhash64("key"))
     trees, percent = trees_for(similarity, recall), round(100 * similarity)
     cand = settle(_candidates(sets, similarity, trees, SURE))
@@ -263,10 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # small parts are compared exhaustively at once, large ones by trees
         size = again.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         member_of = again.join(size, "component").join(sets, "rep")
-        groups_of = member_of.where(F.col("size") <= LEAF_MOST).groupBy("component")
+        groups_of = member_of.where(F.col("size") <= LEAF_MOST).join(_brief(sets).select("rep", "sketch"), "rep").groupBy("component")
         near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members")
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
-        large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig", "sketch")
+        large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
         if large.limit(1).count():
             more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1))
         for x in "ab":
