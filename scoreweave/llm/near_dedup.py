@@ -8,8 +8,8 @@ What nodes compare are sketches; every link between different components is then
 Independent trees are repeated to the target recall.
 
 Groups of copies do not blow up: equal sets are one class, members of a large node are compared with its
-smallest member at once, nodes whose members share one component are closed, and a link is confirmed only
-while its two ends lie in different components.
+smallest member at once, nodes whose members share one component are closed, a small node gives a forest of its
+pairs first and the others only where confirming the forest leaves their ends in different components.
 """
 
 from __future__ import annotations
@@ -92,31 +92,34 @@ def _brief(sets: DataFrame) -> DataFrame:
 
 
 def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
-    """Of pairs (i, j, same): a forest of those at least ``sure``, and all others that join different trees of it."""
-    i, j, same = pairs
+    """Of pairs (i, j, same): a forest of those at least ``sure``, made of the most similar ones, and a forest of all others
+    over its trees.  Where nothing can be ``sure`` (more than FUNCTIONS), all pairs."""
+    if sure > FUNCTIONS:
+        return pairs
+    i, j, same = pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
     label, kept = np.arange(n), np.zeros(len(i), bool)
-    strong = same >= sure
-    while True:
-        cross = np.flatnonzero(strong & (label[i] != label[j]))
-        if not len(cross):
-            break
-        _, one = np.unique(np.maximum(label[i[cross]], label[j[cross]]), return_index=True)
-        kept[cross[one]] = True
-        x, y = i[kept], j[kept]
+    for part in (same >= sure, same < sure):
         while True:
-            low = label.copy()
-            np.minimum.at(low, x, label[y])
-            np.minimum.at(low, y, label[x])
-            low = low[low]
-            if (low == label).all():
+            cross = np.flatnonzero(part & (label[i] != label[j]))
+            if not len(cross):
                 break
-            label = low
-    return pairs[:, kept | (~strong & (label[i] != label[j]))]
+            _, best = np.unique(np.stack([label[i[cross]], label[j[cross]]], 1).ravel(), return_index=True)
+            kept[cross[best // 2]] = True  # the most similar pair of every tree
+            x, y = i[kept], j[kept]
+            while True:
+                low = label.copy()
+                np.minimum.at(low, x, label[y])
+                np.minimum.at(low, y, label[x])
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+    return pairs[:, kept]
 
 
 def _leaf_pairs(similarity: float, least: int, sure: int):
-    """Pairs of a small node from different components whose sizes and sketches allow the similarity; those that are
-    sure to be linked as a forest, not each with each."""
+    """Pairs of a small node from different components whose sizes and sketches allow the similarity: a forest that
+    spans them, not each with each (all, with ``sure`` above FUNCTIONS)."""
 
     def run(batches):
         for b in batches:
@@ -172,8 +175,9 @@ def _least(similarity: float) -> int:
     return int(FUNCTIONS * (similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / FUNCTIONS)))
 
 
-def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> DataFrame:
-    """(a, b, same): pairs of classes found in the trees, whose ends were not known to be linked already."""
+def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, same): pairs of classes found in the trees, whose ends were not known to be linked already; and the small nodes (node, rep)
+    they were found in.  A small node gives a forest of its pairs; the others are looked at again (``_second_look``)."""
     least = _least(similarity)
     pairs = "a long, b long, same long"
     token = lambda pos: F.substring("sig", 4 * pos + 1, 4)
@@ -181,6 +185,7 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
     nodes = sets.select("rep", roots.alias("node"))
     label = None
     found: list[DataFrame] = []
+    leaves: list[DataFrame] = []
     for level in range(1, FUNCTIONS):
         known = nodes.select("node", "rep", F.col("rep").alias("comp")) if label is None else (
             nodes.join(label, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -189,6 +194,7 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
         live = settle(known.join(stats.where("size > 1 and lo < hi").select("node", "size", "pivot"), "node"))
         limit = min(LEAF_MOST, LEAF << (level - 1))
         small, large = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
+        leaves.append(small.select(F.xxhash64("node", F.lit(level)).alias("node"), "rep"))
         # a class meets its sketch or signature once, with the list of its nodes (one for each path that it is on)
         brief = _brief(sets)
         leaf = small.groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(brief, "rep")
@@ -214,10 +220,23 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> Da
         other = left.select("node", *[F.col(c).alias("p" + c) for c in ("comp", "n", "sketch")], F.col("rep").alias("pivot"))
         rest = left.join(other, "node").where("rep > pivot and comp <> pcomp").select("rep", "n", "sketch", "pivot", "pn", "psketch")
         found.append(settle(rest.mapInArrow(_star_pairs(similarity, least), pairs).distinct()))
-    out = found[0]
+    out, small_nodes = found[0], leaves[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.groupBy("a", "b").agg(F.max("same").alias("same"))
+    for f in leaves[1:]:
+        small_nodes = small_nodes.unionByName(f)
+    return out.groupBy("a", "b").agg(F.max("same").alias("same")), small_nodes
+
+
+def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, same): all untested pairs of the small nodes whose ends still lie in different components after the forests were confirmed."""
+    known = leaves.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
+    known = known.select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
+    torn = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+    again = known.join(torn, "node").groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(_brief(sets), "rep")
+    again = again.withColumn("node", F.explode("nodes")).groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
+    pairs = again.select("members").mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
+    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def _labels(links: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -273,10 +292,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig")
         member = some.select("_id", "key").withColumn("rep", F.xxhash64("key"))
     trees, percent = trees_for(similarity, recall), round(100 * similarity)
-    cand = settle(_candidates(sets, similarity, trees, SURE))
+    cand, leaves = _candidates(sets, similarity, trees, SURE)
+    cand = settle(cand)
     full = _full(plain, all_sets, sets, cand)
     links, refused = _confirmed(cand, full, percent)
     groups = settle(components(links))
+    rest = settle(_second_look(leaves, sets, groups, links.unionByName(refused), similarity))
+    if rest.limit(1).count():  # their ends are among the candidates' ends
+        further, no = _confirmed(rest, full, percent)
+        links, refused = links.unionByName(further), refused.unionByName(no)
+        groups = settle(components(links))
     doubt = refused.join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi")
     if doubt.limit(1).count():  # pairs taken as linked were not: what hung on them branches again without such pruning
         assumed = components(cand.where(F.col("same") >= SURE).select("a", "b"))
@@ -292,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
         if large.limit(1).count():
-            more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1))
+            more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1)[0])
         for x in "ab":
             more = more.join(again.select(F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x)
         more = settle(more.where("ca <> cb").select("a", "b", "same").distinct())

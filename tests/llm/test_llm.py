@@ -182,6 +182,28 @@ def test_near_duplicates_brute_force(spark):
     assert got == dict(enumerate(comp))
 
 
+def test_forest_spans_its_pairs():
+    """As many trees as all pairs give, no more edges than that takes; above FUNCTIONS all pairs stay."""
+    rng = np.random.default_rng(4)
+    for n in (2, 30, 200):
+        i, j = np.triu_indices(n, 1)
+        some = rng.random(len(i)) < 2 / n
+        pairs = np.stack([i, j, rng.integers(73, 129, len(i))])[:, some]
+
+        def parts(p, n=n):
+            comp = list(range(n))
+            for a, b, _ in p.T.tolist():
+                if comp[a] != comp[b]:
+                    comp = [comp[a] if c == comp[b] else c for c in comp]
+            return frozenset(frozenset(k for k in range(n) if comp[k] == c) for c in set(comp))
+
+        forest = near_dedup.spanning(pairs, n, near_dedup.SURE)
+        strong = pairs[:, pairs[2] >= near_dedup.SURE]
+        assert parts(forest) == parts(pairs) and forest.shape[1] == n - len(parts(pairs))
+        assert parts(forest[:, forest[2] >= near_dedup.SURE]) == parts(strong)
+        assert near_dedup.spanning(pairs, n, near_dedup.FUNCTIONS + 1).shape == pairs.shape
+
+
 def test_vectors_brute_force(spark, monkeypatch):
     """Several cells and blocks."""
     monkeypatch.setattr(embed_dup, "BLOCK", 64)
