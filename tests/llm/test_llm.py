@@ -182,6 +182,31 @@ def test_near_duplicates_brute_force(spark):
     assert got == dict(enumerate(comp))
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """Copies whose pairs lie on both sides of the threshold: refused pairs of the forests cost no link."""
+    rnd = random.Random(21)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(80):
+            w = list(base)
+            for _ in range(rnd.choice([3, 4, 5])):
+                w[rnd.randrange(len(w))] = f"e{rnd.random()}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [set(near_dedup.shingles(t.encode()).tolist()) for _, t in rows]
+    comp = list(range(len(rows)))
+    refused = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            refused += 65 * either <= 100 * both < 75 * either
+            if comp[i] != comp[j] and 100 * both >= 75 * either:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert refused > 1000 and got == dict(enumerate(comp))
+
+
 def test_forest_spans_its_pairs():
     """As many trees as all pairs give, no more edges than that takes; above FUNCTIONS all pairs stay."""
     rng = np.random.default_rng(4)
