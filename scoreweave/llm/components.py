@@ -16,16 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     No edges give no rows; loops and repeated edges are ignored.
     """
     links = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    was = None
+    was = _state(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        fresh = settle(small.distinct())
-        now = fresh.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        links = fresh
+        links = settle(small.distinct())
+        now = _state(links)
         if now == was:
             break
         was = now
@@ -33,3 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("a").alias("node"), "component").unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())

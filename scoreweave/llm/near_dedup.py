@@ -119,18 +119,19 @@ def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
 
 def _leaf_pairs(similarity: float, least: int, sure: int):
     """Pairs of a small node from different components whose sizes and sketches allow the similarity: a forest that
-    spans them, not each with each (all, with ``sure`` above FUNCTIONS)."""
+    spans them, not each with each (all, with ``sure`` above FUNCTIONS).  In a part of a large node: its smallest member with the others."""
 
     def run(batches):
         for b in batches:
             found: tuple[list, ...] = ([], [], [])
-            for members in b.column("members").to_pylist():
+            for members, star in zip(b.column("members").to_pylist(), b.column("star").to_pylist()):
                 rep, comp, n = (np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n"))
                 sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
                 near: list[np.ndarray] = []
-                for at in range(0, len(rep), 64):  # some rows against all
-                    r, m = rep[at : at + 64, None], n[at : at + 64, None]
-                    i, j = np.nonzero((r < rep) & (comp[at : at + 64, None] != comp) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9))
+                for at in [rep.argmin()] if star else range(0, len(rep), 64):  # some rows against all
+                    to = at + (1 if star else 64)
+                    r, m = rep[at:to, None], n[at:to, None]
+                    i, j = np.nonzero((r < rep) & (comp[at:to, None] != comp) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9))
                     i += at
                     same = (sk[i] == sk[j]).sum(1)
                     near.append(np.stack([i, j, same])[:, same >= least])
@@ -143,7 +144,7 @@ def _leaf_pairs(similarity: float, least: int, sure: int):
 
 
 def _star_pairs(similarity: float, least: int):
-    """Members of a large node against its smallest member."""
+    """Members of a node with another member beside them."""
 
     def run(batches):
         for b in batches:
@@ -165,7 +166,7 @@ def _confirm(percent: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "ca", "cb")), pa.array(ok, pa.bool_())], ["a", "b", "ca", "cb", "ok"])
 
     return run
 
@@ -182,39 +183,38 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tu
     pairs = "a long, b long, same long"
     token = lambda pos: F.substring("sig", 4 * pos + 1, 4)
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(trees)]))
-    nodes = sets.select("rep", roots.alias("node"))
-    label = None
+    sets = sets.withColumn("comp", F.col("rep"))
+    nodes = sets.select("rep", "comp", roots.alias("node"))
     found: list[DataFrame] = []
     leaves: list[DataFrame] = []
     for level in range(1, FUNCTIONS):
-        known = nodes.select("node", "rep", F.col("rep").alias("comp")) if label is None else (
-            nodes.join(label, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
-        )
-        stats = known.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        live = settle(known.join(stats.where("size > 1 and lo < hi").select("node", "size", "pivot"), "node"))
+        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        live = settle(nodes.join(stats.where("size > 1 and lo < hi").select("node", "size", "pivot"), "node"))
         limit = min(LEAF_MOST, LEAF << (level - 1))
         small, large = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
         leaves.append(small.select(F.xxhash64("node", F.lit(level)).alias("node"), "rep"))
-        # a class meets its sketch or signature once, with the list of its nodes (one for each path that it is on)
+        # a large node is met in parts, its smallest member in all of them
+        parts = F.ceil(F.col("size") / LEAF_MOST)
+        own = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts)))
+        at = F.when(F.col("size") <= limit, F.array("node")).otherwise(F.transform(own, lambda k: F.xxhash64("node", k)))
+        meets = live.withColumn("at", F.explode(at)).select("rep", "comp", F.struct("at", (F.col("size") > limit).alias("star")).alias("at"))
+        # a class meets its sketch once, with the list of its nodes (one for each path that it is on)
         brief = _brief(sets)
-        leaf = small.groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(brief, "rep")
-        leaf = leaf.withColumn("node", F.explode("nodes")).groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
-        leaf = leaf.select("members").mapInArrow(_leaf_pairs(similarity, least, sure), pairs)
-        star = large.where("rep > pivot").groupBy("rep").agg(F.collect_set("pivot").alias("pivots")).join(brief, "rep")
-        star = star.withColumn("pivot", F.explode("pivots")).drop("pivots").join(brief.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "pivot")
-        star = star.mapInArrow(_star_pairs(similarity, least), pairs)
-        fresh = settle(leaf.unionByName(star).distinct())
+        meets = meets.groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("at").alias("at")).join(brief, "rep").withColumn("at", F.explode("at"))
+        meets = meets.groupBy("at").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members")).select("members", "at.star")
+        fresh = settle(meets.mapInArrow(_leaf_pairs(similarity, least, sure), pairs))
         found.append(fresh)
-        if large.limit(1).count() == 0:
+        if large.isEmpty():
             break
-        label = _labels(fresh.where(F.col("same") >= sure), label)
+        label = _labels(fresh.where(F.col("same") >= sure), sets)
         # chosen path: every node picks one function, or two, from its own path
         second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * (1 / similarity - 1))
         picks = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         pos = F.pmod(F.xxhash64("node", F.lit(level), "pick"), F.lit(FUNCTIONS)).cast("int")
-        sets = settle(large.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(sets.drop("nodes"), "rep"))  # the rest of the paths needs no others
-        nodes = sets.select("rep", "sig", F.explode("nodes").alias("node")).withColumn("pick", F.explode(picks)).withColumn("pos", pos)
-        nodes = nodes.select("rep", F.xxhash64("node", "pos", token(F.col("pos"))).alias("node"))
+        sets = large.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(sets.select("rep", "n", "sig"), "rep")  # the rest of the paths needs no others
+        sets = settle(sets.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        nodes = sets.select("rep", "comp", "sig", F.explode("nodes").alias("node")).withColumn("pick", F.explode(picks)).withColumn("pos", pos)
+        nodes = nodes.select("rep", "comp", F.xxhash64("node", "pos", token(F.col("pos"))).alias("node"))
     else:  # paths through all functions: what is still together is compared whole
         left = large.select("node", "rep", "comp").join(brief, "rep")
         other = left.select("node", *[F.col(c).alias("p" + c) for c in ("comp", "n", "sketch")], F.col("rep").alias("pivot"))
@@ -235,40 +235,69 @@ def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, tested:
     torn = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
     again = known.join(torn, "node").groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(_brief(sets), "rep")
     again = again.withColumn("node", F.explode("nodes")).groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
-    pairs = again.select("members").mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
+    pairs = again.select("members", F.lit(False).alias("star")).mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def _labels(links: DataFrame, known: DataFrame | None) -> DataFrame:
+def _labels(links: DataFrame, known: DataFrame) -> DataFrame:
     """(rep, comp): a smaller class that each class is linked with by a few steps; part of the components is enough for pruning."""
-    step = links.select(F.col("b").alias("rep"), F.col("a").alias("comp"))
-    step = step if known is None else step.unionByName(known)
+    step = links.select(F.col("b").alias("rep"), F.col("a").alias("comp")).unionByName(known.where("comp <> rep").select("rep", "comp"))
     step = step.groupBy("rep").agg(F.min("comp").alias("comp"))
     for _ in range(2):
         ahead = step.select(F.col("rep").alias("comp"), F.col("comp").alias("ahead"))
         step = step.join(ahead, "comp", "left").select("rep", F.coalesce("ahead", "comp").alias("comp"))
-    return settle(step)
+    return step
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, component): the roots above all nodes but the roots, in a forest (a, b) that has every b once, under a smaller a.  Steps double each round."""
+    step = settle(parents.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    while True:
+        ahead = step.select(F.col("node").alias("component"), F.col("component").alias("ahead"))
+        step = step.join(ahead, "component", "left")
+        step = settle(step.select("node", F.coalesce("ahead", "component").alias("component"), F.col("ahead").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.select("node", "component")
+        step = step.drop("moved")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component), again without the roots: ``groups`` joined by confirmed links, whose ``ca`` and ``cb`` are the components they lie in."""
+    if links.isEmpty():
+        return groups
+    top = settle(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).where("node <> component"))
+    up = groups.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return settle(up.select("node", F.coalesce("top", "component").alias("component")).unionByName(top))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with those as ``ca`` and ``cb``."""
+    for x in "ab":
+        own = groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        pairs = pairs.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs.where("ca <> cb")
 
 
 def _checked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) by the full sets."""
-    both = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a")
-    both = both.join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b").select("a", "b", "fa", "fb")
-    return settle(both.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
+    """(a, b, ca, cb, ok) by the full sets."""
+    both = pairs.select("a", "b", "ca", "cb").join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a")
+    both = both.join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b").select("a", "b", "ca", "cb", "fa", "fb")
+    return settle(both.mapInArrow(_confirm(percent), "a long, b long, ca long, cb long, ok boolean"))
 
 
-def _confirmed(cand: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links that span the components of the candidates, and the refused pairs.
+def _confirmed(cand: DataFrame, full: DataFrame, percent: int, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component; roots are left out) by the candidates' confirmed links on top of ``groups``, and the tested pairs (a, b, ok).
 
     The most similar link of every class is confirmed first; then all pairs that still lie in different components."""
     best = cand.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    first = _checked(best, full, percent)
-    groups = settle(components(first.where("ok")))
-    ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    rest = cand.join(first.select("a", "b"), ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left")
-    second = _checked(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")), full, percent)
-    both = first.unionByName(second)
-    return both.where("ok").select("a", "b"), both.where("not ok").select("a", "b")
+    if groups is None:
+        first = _checked(best.withColumns({"ca": F.col("a"), "cb": F.col("b")}), full, percent)
+        groups = _roots(first.where("ok"))
+    else:
+        first = _checked(_apart(best, groups), full, percent)
+        groups = _merged(groups, first.where("ok"))
+    second = _checked(_apart(cand.join(first.select("a", "b"), ["a", "b"], "left_anti"), groups), full, percent)
+    return _merged(groups, second.where("ok")), first.unionByName(second).select("a", "b", "ok")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, recall: float = 0.9999) -> DataFrame:
@@ -286,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # signatures are written once per class; the texts are cut into shingles again rather than keep those of every row
     signed = plain.mapInArrow(_sets, "_id long, n long, key binary, sig binary")
     sets = classes = settle(signed.groupBy("key").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig")))
-    repeated = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
+    repeated = not classes.groupBy("rep").count().where("count > 1").isEmpty()
     member = some.select("_id", "key").join(classes.select("key", "rep"), "key")
     if repeated:  # rows with one id and different texts: every set stands for itself, the ids are joined at the end
         sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig")
@@ -295,35 +324,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cand, leaves = _candidates(sets, similarity, trees, SURE)
     cand = settle(cand)
     full = _full(plain, all_sets, sets, cand)
-    links, refused = _confirmed(cand, full, percent)
-    groups = settle(components(links))
-    rest = settle(_second_look(leaves, sets, groups, links.unionByName(refused), similarity))
-    if rest.limit(1).count():  # their ends are among the candidates' ends
-        further, no = _confirmed(rest, full, percent)
-        links, refused = links.unionByName(further), refused.unionByName(no)
-        groups = settle(components(links))
-    doubt = refused.join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi")
-    if doubt.limit(1).count():  # pairs taken as linked were not: what hung on them branches again without such pruning
-        assumed = components(cand.where(F.col("same") >= SURE).select("a", "b"))
-        parts = assumed.join(groups.select("node", F.col("component").alias("own")), "node", "left")
-        parts = parts.withColumn("own", F.coalesce("own", "node"))
-        torn = parts.groupBy("component").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("component")
-        again = settle(parts.join(torn, "component").select(F.col("node").alias("rep"), "own", "component"))
+    groups, tested = _confirmed(cand, full, percent)
+    rest = settle(_second_look(leaves, sets, groups, tested, similarity))
+    if not rest.isEmpty():  # their ends are among the candidates' ends
+        groups, further = _confirmed(rest, full, percent, groups)
+        tested = tested.unionByName(further)
+    doubt = settle(_apart(tested.where("not ok").join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi"), groups))
+    if not doubt.isEmpty():  # pairs taken as linked were not: the components they hold together branch again without such pruning
+        torn = settle(components(doubt.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        inner = groups.withColumnRenamed("component", "own").join(torn.select(F.col("node").alias("own"), "component"), "own")
+        again = settle(inner.select(F.col("node").alias("rep"), "own", "component").unionByName(torn.select(F.col("node").alias("rep"), F.col("node").alias("own"), "component")))
         # small parts are compared exhaustively at once, large ones by trees
         size = again.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         member_of = again.join(size, "component").join(sets, "rep")
         groups_of = member_of.where(F.col("size") <= LEAF_MOST).join(_brief(sets).select("rep", "sketch"), "rep").groupBy("component")
-        near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members")
+        near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members", F.lit(False).alias("star"))
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
-        if large.limit(1).count():
+        if not large.isEmpty():
             more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1)[0])
-        for x in "ab":
-            more = more.join(again.select(F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x)
-        more = settle(more.where("ca <> cb").select("a", "b", "same").distinct())
-        if more.limit(1).count():  # their ends are among the candidates' ends
-            fresh = _checked(more, full, percent).where("ok").select("a", "b")
-            groups = settle(components(links.unionByName(fresh)))
+        more = settle(_apart(more.select("a", "b").distinct(), groups))
+        if not more.isEmpty():
+            groups = _merged(groups, _checked(more, full, percent).where("ok"))
     return _answer(all_sets, member, groups, repeated, id_col)
 
 
