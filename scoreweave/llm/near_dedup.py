@@ -81,14 +81,15 @@ def _sets(batches):
 
 
 def _sketches(batches):
-    """One byte of every function in place of the signature."""
+    """One byte of every function in place of the signature, the last column."""
     for b in batches:
         sketch = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in b.column("sig").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(sketch, pa.binary())], ["rep", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sketch, pa.binary())], [*b.schema.names[:-1], "sketch"])
 
 
-def _brief(sets: DataFrame) -> DataFrame:
-    return sets.select("rep", "n", "sig").mapInArrow(_sketches, "rep long, n long, sketch binary")
+def _brief(sets: DataFrame, *more: str) -> DataFrame:
+    kept = ["rep", "n", *more]
+    return sets.select(*kept, "sig").mapInArrow(_sketches, ", ".join(f"{c} long" for c in kept) + ", sketch binary")
 
 
 def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
@@ -333,12 +334,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not doubt.isEmpty():  # pairs taken as linked were not: the components they hold together branch again without such pruning
         torn = settle(components(doubt.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
         inner = groups.withColumnRenamed("component", "own").join(torn.select(F.col("node").alias("own"), "component"), "own")
-        again = settle(inner.select(F.col("node").alias("rep"), "own", "component").unionByName(torn.select(F.col("node").alias("rep"), F.col("node").alias("own"), "component")))
+        again = inner.select(F.col("node").alias("rep"), "own", "component").unionByName(torn.select(F.col("node").alias("rep"), F.col("node").alias("own"), "component"))
         # small parts are compared exhaustively at once, large ones by trees
         size = again.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        member_of = again.join(size, "component").join(sets, "rep")
-        groups_of = member_of.where(F.col("size") <= LEAF_MOST).join(_brief(sets).select("rep", "sketch"), "rep").groupBy("component")
-        near = groups_of.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members", F.lit(False).alias("star"))
+        member_of = settle(again.join(size, "component").join(sets, "rep").select("rep", "key", "n", "sig", "own", "component", "size"))
+        near = _brief(member_of.where(F.col("size") <= LEAF_MOST), "own", "component").groupBy("component")
+        near = near.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members", F.lit(False).alias("star"))
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
         if not large.isEmpty():
