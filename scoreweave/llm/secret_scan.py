@@ -2,8 +2,9 @@
 
 Every whole text is scanned for three kinds of spans.  Then a worklist unwraps what is encoded: runs with URL escapes, with
 Unicode escapes, base64 runs, and zlib or gzip data inside base64.  Each new layer is scanned and unwrapped
-again until nothing new appears; a layer seen before is not entered again, so cycles end.  Spans found in a layer are
-mapped back to the characters of the original text that encode them.
+again until nothing new appears.  A layer is entered once for every place it comes from: only one with the same text from the
+same characters is not entered again, as it would add the same spans, so cycles end and repeats are all reported.  Spans found
+in a layer are mapped back to the characters of the original text that encode them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import col, others
@@ -55,6 +57,10 @@ class Layer:
     def __init__(self, text: str, lo: np.ndarray, hi: np.ndarray):
         self.text, self.lo, self.hi = text, lo, hi
 
+    def place(self) -> tuple[str, bytes]:
+        """The text and the characters it comes from; all that the spans below this layer depend on."""
+        return self.text, xxhash.xxh3_128_digest(self.lo.tobytes() + self.hi.tobytes())
+
     def from_bytes(self, data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
         """The layer that decoded bytes spell; None if they are no readable UTF-8 text."""
         try:
@@ -135,12 +141,13 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     by = lambda s: (s[0], ORDER[s[2]], s[1])
     base = sorted(scan(text), key=by)
     whole = np.arange(len(text), dtype=np.int64)
-    added, seen, work = set(), {text}, [Layer(text, whole, whole + 1)]
+    top = Layer(text, whole, whole + 1)
+    added, seen, work = set(), {top.place()}, [top]
     while work:
         for layer in work.pop().inner():
-            if layer is None or layer.text in seen:
+            if layer is None or (place := layer.place()) in seen:
                 continue
-            seen.add(layer.text)
+            seen.add(place)
             added.update((int(layer.lo[s]), int(layer.hi[e - 1]), kind) for s, e, kind in scan(layer.text))
             work.append(layer)
     return base, sorted(added - set(base), key=by)
@@ -164,7 +171,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with base_spans and added_spans: (start, end, kind) in code points, end exclusive.
 
     A null text is scanned as an empty one.  A span that a layer finds where the text itself has the same one is not
-    added again; layers whose texts are equal are entered once per document.  Rows are judged one by one, so repeated rows and
+    added again; an encoded secret that stands several times in a text has a span in each place.  Rows are judged one by one, so repeated rows and
     nulls in other columns play no part; columns named base_spans or added_spans are replaced.  No shuffle.
     """
     names = others(docs, "base_spans", "added_spans")
