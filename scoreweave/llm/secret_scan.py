@@ -1,7 +1,9 @@
 """Secrets in texts and in the layers encoded inside them.
 
 Every whole text is scanned for three kinds of spans.  Then a worklist unwraps what is encoded: runs with URL escapes, with
-Unicode escapes, base64 runs, and zlib or gzip data inside base64.  Each new layer is scanned and unwrapped
+Unicode escapes, base64 runs (of one line or wrapped over several), and zlib or gzip data inside base64.  A run is decoded
+from each of its first four letters, since what stands before the encoded part may belong to the same alphabet, and every
+stretch of valid UTF-8 in what comes out is a layer.  Each new layer is scanned and unwrapped
 again until nothing new appears.  A layer is entered once for every place it comes from: only one with the same text from the
 same characters is not entered again, as it would add the same spans, so cycles end and repeats are all reported.  Spans found
 in a layer are mapped back to the characters of the original text that encode them.
@@ -9,7 +11,6 @@ in a layer are mapped back to the characters of the original text that encode th
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
@@ -32,6 +33,14 @@ URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 UNICODE_RUN = re.compile(r"\\u[0-9A-Fa-f]{4}")
 UNICODE_TOKEN = re.compile(r"\S*\\u[0-9A-Fa-f]{4}\S*")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]")
+# the shortest secret (token=123456) has 12 characters, the shortest run of base64 that may hold one 16: shorter layers hold none
+UTF8 = re.compile(
+    rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
 ORDER = {kind: i for i, (kind, *_) in enumerate(KINDS)}
 
 
@@ -47,10 +56,6 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
-
-
 class Layer:
     """A text with, for each character, the first and the last original character (exclusive) it comes from."""
 
@@ -61,18 +66,13 @@ class Layer:
         """The text and the characters it comes from; all that the spans below this layer depend on."""
         return self.text, xxhash.xxh3_128_digest(self.lo.tobytes() + self.hi.tobytes())
 
-    def from_bytes(self, data: bytes, lo: np.ndarray, hi: np.ndarray) -> Layer | None:
-        """The layer that decoded bytes spell; None if they are no readable UTF-8 text."""
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            return None
-        if not _readable(text):
-            return None
-        raw = np.frombuffer(data, np.uint8)
-        first = np.flatnonzero((raw & 0xC0) != 0x80)
-        last = np.append(first[1:], len(raw)) - 1
-        return Layer(text, lo[first], hi[last])
+    def from_bytes(self, data: bytes, lo: np.ndarray, hi: np.ndarray):
+        """The layers that the stretches of valid UTF-8 in decoded bytes spell."""
+        for m in UTF8.finditer(data):
+            raw = np.frombuffer(m.group(), np.uint8)
+            first = np.flatnonzero((raw & 0xC0) != 0x80)
+            last = np.append(first[1:], len(raw)) - 1
+            yield Layer(m.group().decode(), lo[m.start() + first], hi[m.start() + last])
 
     def url(self):
         for m in URL_RUN.finditer(self.text):
@@ -85,7 +85,7 @@ class Layer:
                 at += [(self.lo[i], self.hi[i + step - 1])] * len(new)
                 i += step
             lo, hi = np.array(at, np.int64).T
-            yield self.from_bytes(bytes(data), lo, hi)
+            yield from self.from_bytes(bytes(data), lo, hi)
 
     def unicode(self):
         for m in UNICODE_TOKEN.finditer(self.text):
@@ -97,25 +97,37 @@ class Layer:
                 lo.append(self.lo[i])
                 hi.append(self.hi[i + step - 1])
                 i += step
-            text = "".join(out)
-            yield Layer(text, np.array(lo, np.int64), np.array(hi, np.int64)) if _readable(text) else None
+            yield Layer("".join(out), np.array(lo, np.int64), np.array(hi, np.int64))
 
     def base64(self):
         for m in BASE64_RUN.finditer(self.text):
-            run = m.group().rstrip("=")
+            yield from self.decoded(m.group().rstrip("="), [(m.start(), m.end())])
+        if "\n" in self.text:
+            for m in BASE64_LINES.finditer(self.text):
+                lines = [x.span() for x in LETTERS.finditer(self.text, m.start(), m.end())]
+                if sum(e - s for s, e in lines) >= 16:
+                    yield from self.decoded("".join(self.text[s:e] for s, e in lines), [*lines[:-1], (lines[-1][0], m.end())])
+
+    def decoded(self, letters: str, parts: list[tuple[int, int]]):
+        """Layers in base64 letters that stand in these parts of the text; padding after them belongs to the last part."""
+        letters = letters.replace("-", "+").replace("_", "/")
+        at = None
+        for k in range(4):
+            run = letters[k:]
             run = run[: len(run) - (len(run) % 4 == 1)]  # one letter over encodes nothing
-            try:
-                data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-            except (binascii.Error, ValueError):
+            data = binascii.a2b_base64(run + "=" * (-len(run) % 4))
+            packed, plain = list(_unpack(data)), UTF8.search(data)
+            if not packed and not plain:
                 continue
+            if at is None:
+                at = np.concatenate([np.arange(s, e) for s, e in parts])
             n = np.arange(len(data))
-            first = m.start() + n // 3 * 4 + n % 3
-            packed = _unpack(data)
-            if packed is not None:
-                ends = np.full(len(packed), self.hi[m.end() - 1])
-                yield self.from_bytes(packed, np.full(len(packed), self.lo[m.start()]), ends)
-            else:
-                yield self.from_bytes(data, self.lo[first], self.hi[np.minimum(first + 1, m.end() - 1)])
+            first = k + n // 3 * 4 + n % 3  # letter with the first bits of every byte
+            for start, end, out in packed:
+                lo, hi = self.lo[at[first[start]]], self.hi[at[-1] if end == len(data) else at[first[end - 1] + 1]]
+                yield from self.from_bytes(out, np.full(len(out), lo), np.full(len(out), hi))
+            if plain:
+                yield from self.from_bytes(data, self.lo[at[first]], self.hi[at[np.minimum(first + 1, len(at) - 1)]])
 
     def inner(self):
         """Layers encoded in this one."""
@@ -126,14 +138,40 @@ class Layer:
         yield from self.base64()
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """Contents of zlib or gzip data, else None."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
+def _member(data: memoryview) -> tuple[bytes, memoryview | None]:
+    """Contents of one zlib or gzip member as far as they can be read, and what follows it (None if it has no proper end)."""
+    one = zlib.decompressobj(47)
+    try:
+        out = one.decompress(data)
+        return out, data[len(data) - len(one.unused_data) :] if one.eof else None
+    except zlib.error:
+        one, out = zlib.decompressobj(47), bytearray()
         try:
-            return zlib.decompressobj(47).decompress(data)
+            for i in range(len(data)):
+                out += one.decompress(data[i : i + 1])
         except zlib.error:
-            return None
-    return None
+            pass
+        return bytes(out), None
+
+
+def _unpack(data: bytes):
+    """(start, end, contents) of zlib or gzip data, wherever it starts; members that follow each other are read together."""
+    done = 0
+    for m in PACKED.finditer(data):
+        if m.start() < done:
+            continue
+        out, rest = _member(memoryview(data)[m.start() :])
+        end = len(data)
+        while rest is not None:
+            end = done = len(data) - len(rest)
+            zeros = len(rest) - len(bytes(rest).lstrip(b"\0"))
+            if not PACKED.match(rest, zeros):
+                break
+            more, rest = _member(rest[zeros:])
+            out += more
+            end = len(data)
+        if out:
+            yield m.start(), end, out
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -145,7 +183,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     added, seen, work = set(), {top.place()}, [top]
     while work:
         for layer in work.pop().inner():
-            if layer is None or (place := layer.place()) in seen:
+            if (place := layer.place()) in seen:
                 continue
             seen.add(place)
             added.update((int(layer.lo[s]), int(layer.hi[e - 1]), kind) for s, e, kind in scan(layer.text))

@@ -280,6 +280,28 @@ def test_secret_layers_repeated():
         assert len(own) == 2 * each
 
 
+def test_secret_layers_in_parts():
+    """Encoded parts of a longer run, escapes beside bytes that are no UTF-8, wrapped lines, several members, broken ends."""
+    inner = "token=hunter22"
+    b64 = lambda data: base64.b64encode(data).decode()
+    rnd = random.Random(3)
+    long = ("".join(rnd.choices("abcdefghij klmnop", k=300)) + " " + inner).encode()
+    two = gzip.compress(b"nothing here") + gzip.compress(inner.encode())
+    lines = base64.encodebytes(gzip.compress(long)).decode().strip()
+    assert lines.count("\n") >= 2
+    cases = [f"https://x.com/cb/{b64(inner.encode())}", f"https://x.com/cb/{b64(inner.encode()).rstrip('=')}/next/page", f"id_{b64(inner.encode())}"]
+    cases += [f"{'abcd'[:k]}-{b64(inner.encode())}" for k in range(4)] + [f"https://x.com/{b64(gzip.compress(inner.encode()))}"]
+    cases += ["q=Jos%E9&password%3Dhunter22", f"body:\n\n{lines}", f"body:\n\n{lines}".replace("\n", "\r\n"), b64(two), b64(zlib.compress(inner.encode()) + b"\0" + two)]
+    cases += [b64(b"\x00\x01\xff\xfe" * 8 + inner.encode() + b"\xff\x00"), b64(gzip.compress(inner.encode())[:-6] + b"\xff" * 6)]
+    for case in cases:
+        text = f"é {case} after"
+        own = secret_scan.spans(text)[1]
+        assert len(own) == 1 and text.index(case) <= own[0][0] < own[0][1] <= text.index(case) + len(case), case
+    path = cases[1]  # exactly the letters of the token
+    (s, e, _), = secret_scan.spans(path)[1]
+    assert path[s:e] == b64(inner.encode()).rstrip("=")
+
+
 def test_digest_collisions_are_confirmed():
     array = url_filter.DigestArray([b"a", b"b"], hashed=lambda keys: np.zeros(len(keys), np.uint64))
     assert array.find([b"b", b"c", b"a"]).tolist() == [1, -1, 0]
