@@ -4,7 +4,8 @@ A list of entries is a sorted array of 64-bit xxhash keys with the full strings
 vectorised binary searches, and a hit counts only if the stored string is equal, so equal hashes of
 different strings do no harm.  Rules (host, path prefix) are few and travel with the tasks; a block list may be of
 any size: it is dealt by hash range into shards, every shard's array lies in a memory-mapped file of its
-task and is probed with the distinct hosts whose keys fall into that range.
+task and is probed with the distinct hosts whose keys fall into that range.  Where those are many, they are dealt by host to
+several tasks, each with the shard's entries.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import col, others
 
 MAX_RULES = 100_000  # rules travel with every task; longer lists belong into the block list
 SHARD = 2_000_000  # entries of the block list in one shard
+PROBES = 500_000  # hosts and domains above them that one task looks up in a shard, about
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -137,7 +139,14 @@ def listed_hosts(hosts: DataFrame, blocked: DataFrame, entry_col: str) -> DataFr
     keyed = "_host string, _entry string, _at double"
     entries = entries.mapInArrow(_keyed(lambda e: [e]), keyed).select("_entry", shard.alias("_shard"))
     probes = hosts.mapInArrow(_keyed(suffixes), keyed).select("_host", "_entry", shard.alias("_shard"))
-    pairs = probes.groupBy("_shard").cogroup(entries.groupBy("_shard"))
+    # one row per shard; a domain above very many hosts makes its shard a hot one, so every shard has its own number of tasks
+    tasks = [1] * shards
+    for r in probes.groupBy("_shard").count().collect():
+        tasks[r["_shard"]] = -(-r["count"] // PROBES)
+    dealt = F.element_at(F.array(*[F.lit(n) for n in tasks]), F.col("_shard") + 1)
+    probes = probes.withColumn("_task", F.pmod(F.xxhash64("_host"), dealt))
+    entries = entries.withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), dealt - F.lit(1).cast("long"))))
+    pairs = probes.groupBy("_shard", "_task").cogroup(entries.groupBy("_shard", "_task"))
     return pairs.applyInArrow(_probe_shard, "_host string").distinct()
 
 

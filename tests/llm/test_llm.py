@@ -307,6 +307,24 @@ def test_digest_collisions_are_confirmed():
     assert array.find([b"b", b"c", b"a"]).tolist() == [1, -1, 0]
 
 
+def test_hosts_are_probed_by_many_tasks(spark, monkeypatch):
+    """A short block list, many hosts below one domain: no task takes them all, and the answer is the same."""
+    whole = url_filter._probe_shard
+
+    def probe(hosts, entries):
+        assert hosts.num_rows <= 400, hosts.num_rows
+        return whole(hosts, entries)
+
+    monkeypatch.setattr(url_filter, "_probe_shard", probe)
+    monkeypatch.setattr(url_filter, "PROBES", 200, raising=False)
+    names = [f"h{i}.{'bad' if i % 3 else 'good'}.example.com" for i in range(1500)] + ["bad.example.com", "example.com", "list.ed", "xlist.ed"]
+    for shard, listed in ((url_filter.SHARD, ["bad.example.com", "list.ed"]), (2, ["bad.example.com", "list.ed", *[f"other{i}.org" for i in range(7)]])):
+        monkeypatch.setattr(url_filter, "SHARD", shard)
+        hosts = spark.createDataFrame([(n,) for n in names], "_host string")
+        got = {r["_host"] for r in url_filter.listed_hosts(hosts, spark.createDataFrame([(e,) for e in listed], "host string"), "host").collect()}
+        assert got == {n for n in names if ".bad." in f".{n}." or n == "list.ed"}
+
+
 def test_max_score_ties():
     ids, cand = np.arange(6), np.array([[1, 0], [1, 0], [-3, 2], [1, 0], [0, 9], [1, 0]]).T
     got = topk.max_score(np.array([2, 0]), cand, cand.max(1), cand.min(1), ids, 0, 3, np.arange(6))
