@@ -5,7 +5,7 @@ are dealt by the minwise token of a randomly chosen hash function.  A node with
 its members are dealt again by one or two further functions chosen from the path (one over the
 threshold on average, the chosen-path rate), until nodes are small or all their members are known to belong together.
 What nodes compare are sketches; every link between different components is then confirmed on the full sets.
-Independent trees are repeated to the target recall.
+Independent trees are repeated to the target recall: the deeper the paths went, the more of them.
 
 Groups of copies do not blow up: equal sets are one class, members of a large node are compared with its
 smallest member at once, nodes whose members share one component are closed, a small node gives a forest of its
@@ -34,10 +34,26 @@ FACTORS = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
 
 
-def trees_for(similarity: float, recall: float) -> int:
-    """Trees so that a pair at the threshold meets in one of them with probability ``recall`` even where nodes branch:
-    it survives the first function with probability ``similarity``, and branching keeps two thirds of such pairs."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity * 2 / 3)))
+START = 2 / 3  # of the pairs at the threshold are taken to stay together on the paths of the first trees
+
+
+def branch_share(similarity: float) -> float:
+    """Share of the nodes that pick two functions: one picked function over the threshold on average."""
+    return min(1.0, round(1000 * (1 / similarity - 1)) / 1000)
+
+
+def kept(similarity: float, depth: int) -> float:
+    """Probability that a pair at the threshold is together on some path after ``depth`` times branching."""
+    x, q = 1.0, branch_share(similarity)
+    for _ in range(depth):
+        x = (1 - q) * similarity * x + q * (1 - (1 - similarity * x) ** 2)
+    return x
+
+
+def trees_for(similarity: float, recall: float, share: float = START) -> int:
+    """Trees so that a pair at the threshold meets in one of them with probability ``recall``:
+    it survives the first function with probability ``similarity``, and branching keeps this share of such pairs."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity * share)))
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -177,14 +193,15 @@ def _least(similarity: float) -> int:
     return int(FUNCTIONS * (similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / FUNCTIONS)))
 
 
-def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, same): pairs of classes found in the trees, whose ends were not known to be linked already; and the small nodes (node, rep)
-    they were found in.  A small node gives a forest of its pairs; the others are looked at again (``_second_look``)."""
+def _candidates(sets: DataFrame, similarity: float, trees: range, sure: int) -> tuple[DataFrame, DataFrame, int]:
+    """(a, b, same): pairs of classes found in the trees, whose ends were not known to be linked already (``comp`` of ``sets``, if any);
+    the small nodes (node, rep) they were found in; how often the deepest path branched.  A small node gives a forest of its pairs; the others are looked at again (``_second_look``)."""
     least = _least(similarity)
     pairs = "a long, b long, same long"
     token = lambda pos: F.substring("sig", 4 * pos + 1, 4)
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(trees)]))
-    sets = sets.withColumn("comp", F.col("rep"))
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * (t % FUNCTIONS) + 1, 4)) for t in trees]))
+    if "comp" not in sets.columns:
+        sets = sets.withColumn("comp", F.col("rep"))
     nodes = sets.select("rep", "comp", roots.alias("node"))
     found: list[DataFrame] = []
     leaves: list[DataFrame] = []
@@ -206,10 +223,11 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tu
         fresh = settle(meets.mapInArrow(_leaf_pairs(similarity, least, sure), pairs))
         found.append(fresh)
         if large.isEmpty():
+            depth = level - 1
             break
         label = _labels(fresh.where(F.col("same") >= sure), sets)
         # chosen path: every node picks one function, or two, from its own path
-        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * (1 / similarity - 1))
+        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * branch_share(similarity))
         picks = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         pos = F.pmod(F.xxhash64("node", F.lit(level), "pick"), F.lit(FUNCTIONS)).cast("int")
         sets = large.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(sets.select("rep", "n", "sig"), "rep")  # the rest of the paths needs no others
@@ -217,6 +235,7 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tu
         nodes = sets.select("rep", "comp", "sig", F.explode("nodes").alias("node")).withColumn("pick", F.explode(picks)).withColumn("pos", pos)
         nodes = nodes.select("rep", "comp", F.xxhash64("node", "pos", token(F.col("pos"))).alias("node"))
     else:  # paths through all functions: what is still together is compared whole
+        depth = FUNCTIONS - 1
         left = large.select("node", "rep", "comp").join(brief, "rep")
         other = left.select("node", *[F.col(c).alias("p" + c) for c in ("comp", "n", "sketch")], F.col("rep").alias("pivot"))
         rest = left.join(other, "node").where("rep > pivot and comp <> pcomp").select("rep", "n", "sketch", "pivot", "pn", "psketch")
@@ -226,7 +245,7 @@ def _candidates(sets: DataFrame, similarity: float, trees: int, sure: int) -> tu
         out = out.unionByName(f)
     for f in leaves[1:]:
         small_nodes = small_nodes.unionByName(f)
-    return out.groupBy("a", "b").agg(F.max("same").alias("same")), small_nodes
+    return out.groupBy("a", "b").agg(F.max("same").alias("same")), small_nodes, depth
 
 
 def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
@@ -305,7 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Links join documents whose shingle sets have at least this Jaccard similarity (a whole number of hundredths), confirmed on the full sets;
-    a pair at the threshold is met with probability ``recall``, more similar ones more surely.  Component: the smallest id reachable; kept: the id is it.
+    a pair at the threshold is met with probability ``recall``, however deep the nodes of its family branch (as far as the hash
+    functions are independent), more similar ones more surely.  Component: the smallest id reachable; kept: the id is it.
     Documents without words (null and empty texts) link with nothing.  Rows that share an id are one
     node with the links of all of them.  A null id is a document of its own below all others, returned as null.  Other columns are
     ignored.  An empty table gives an empty table.
@@ -322,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = classes.select(F.xxhash64("key").alias("rep"), "key", "n", "sig")
         member = some.select("_id", "key").withColumn("rep", F.xxhash64("key"))
     trees, percent = trees_for(similarity, recall), round(100 * similarity)
-    cand, leaves = _candidates(sets, similarity, trees, SURE)
+    cand, leaves, depth = _candidates(sets, similarity, range(trees), SURE)
     cand = settle(cand)
     full = _full(plain, all_sets, sets, cand)
     groups, tested = _confirmed(cand, full, percent)
@@ -330,6 +350,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():  # their ends are among the candidates' ends
         groups, further = _confirmed(rest, full, percent, groups)
         tested = tested.unionByName(further)
+    while (needed := trees_for(similarity, recall, kept(similarity, depth))) > trees:  # paths went deeper than the trees so far allow for
+        own = groups.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        known = settle(sets.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        new, leaves, reached = _candidates(known, similarity, range(trees, needed), SURE)
+        new = settle(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        full = full.unionByName(_full(plain, all_sets, sets, new, full))
+        groups, further = _confirmed(new, full, percent, groups)
+        tested = settle(tested.unionByName(further))
+        rest = settle(_second_look(leaves, sets, groups, tested, similarity))
+        if not rest.isEmpty():
+            groups, further = _confirmed(rest, full, percent, groups)
+            tested = tested.unionByName(further)
+        cand, trees, depth = cand.unionByName(new), needed, max(depth, reached)
     doubt = settle(_apart(tested.where("not ok").join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi"), groups))
     if not doubt.isEmpty():  # pairs taken as linked were not: the components they hold together branch again without such pruning
         torn = settle(components(doubt.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
@@ -343,16 +376,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
         if not large.isEmpty():
-            more = more.unionByName(_candidates(settle(large), similarity, trees, FUNCTIONS + 1)[0])
+            large, done = settle(large), 0
+            while done < trees:
+                new, _, depth = _candidates(large, similarity, range(done, trees), FUNCTIONS + 1)
+                more, done = more.unionByName(new), trees
+                trees = max(trees, trees_for(similarity, recall, kept(similarity, depth)))
         more = settle(_apart(more.select("a", "b").distinct(), groups))
         if not more.isEmpty():
             groups = _merged(groups, _checked(more, full, percent).where("ok"))
     return _answer(all_sets, member, groups, repeated, id_col)
 
 
-def _full(plain: DataFrame, all_sets: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rep, full): the sets of all classes in ``pairs``, from the texts."""
+def _full(plain: DataFrame, all_sets: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(rep, full): the sets of all classes in ``pairs`` but those ``known``, from the texts."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep", "key"), "rep")
+    if known is not None:
+        keys = keys.join(known.select("rep"), "rep", "left_anti")
     one = all_sets.select("_id", "key").join(keys, "key").groupBy("rep", "key").agg(F.min("_id").alias("_id"))
     found = plain.join(one, "_id").select("rep", "key", "_text").mapInArrow(_full_sets_of, "rep long, key binary, full binary")
     return settle(found.where("full is not null").select("rep", "full").dropDuplicates(["rep"]))

@@ -229,6 +229,25 @@ def test_forest_spans_its_pairs():
         assert near_dedup.spanning(pairs, n, near_dedup.FUNCTIONS + 1).shape == pairs.shape
 
 
+def test_deep_paths_get_more_trees(spark, monkeypatch):
+    """Trees are added until they give the recall at the depth that paths reached, and what only these find is linked."""
+    survival = [round(near_dedup.kept(0.75, d), 2) for d in (0, 2, 5, 10, 20)]
+    assert survival == [1.0, 0.69, 0.48, 0.32, 0.2]
+    assert [near_dedup.trees_for(0.75, 0.9999, near_dedup.kept(0.75, d)) for d in (0, 2, 5, 10)] == [7, 13, 21, 34]
+    calls = []
+
+    def found(sets, similarity, trees, sure):
+        calls.append(trees)
+        pairs = [(1, 2, 110)] if len(calls) == 2 else []
+        return spark.createDataFrame(pairs, "a long, b long, same long"), spark.createDataFrame([], "node long, rep long"), 5
+
+    monkeypatch.setattr(near_dedup, "_candidates", found)
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "another text")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert calls == [range(0, 14), range(14, 21)]
+
+
 def test_vectors_brute_force(spark, monkeypatch):
     """Several cells and blocks."""
     monkeypatch.setattr(embed_dup, "BLOCK", 64)
