@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = _brief(member_of.where(F.col("size") <= LEAF_MOST), "own", "component").groupBy("component")
         near = near.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members", F.lit(False).alias("star"))
         more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
-        large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "key", "n", "sig")
+        large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "n", "sig", F.col("own").alias("comp"))  # confirmed components stay closed
         if not large.isEmpty():
             large, done = settle(large), 0
             while done < trees:

@@ -248,6 +248,24 @@ def test_deep_paths_get_more_trees(spark, monkeypatch):
     assert calls == [range(0, 14), range(14, 21)]
 
 
+def test_repeat_starts_from_confirmed_components(spark, monkeypatch):
+    """A refused pair that was taken as linked: its large component branches again with what was confirmed closed."""
+    monkeypatch.setattr(near_dedup, "LEAF_MOST", 2)
+    again = []
+
+    def found(sets, similarity, trees, sure):
+        if sure > near_dedup.FUNCTIONS:
+            again.extend((r["rep"], r["comp"]) for r in sets.select("rep", "comp").collect())
+        pairs = [(1, 2, 128), (2, 3, 128), (3, 4, 128)] if sure <= near_dedup.FUNCTIONS else []
+        return spark.createDataFrame(pairs, "a long, b long, same long"), spark.createDataFrame([], "node long, rep long"), 0
+
+    monkeypatch.setattr(near_dedup, "_candidates", found)
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    docs = spark.createDataFrame([(1, x), (2, x + " end"), (3, y), (4, y + " end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert sorted(again) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
 def test_vectors_brute_force(spark, monkeypatch):
     """Several cells and blocks."""
     monkeypatch.setattr(embed_dup, "BLOCK", 64)
