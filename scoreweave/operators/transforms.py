@@ -14,6 +14,7 @@ from ..functions import arrays as A
 from ..functions.columns import MAD_TO_SD, finite_or_zero
 from ..functions.matrices import list_column, list_matrix
 from ..functions.ordering import grouped_median, range_running_sum, stable_hash
+from ..session import cut_lineage
 
 EPS = 1e-8  # fixed value: guard of every normaliser
 
@@ -153,14 +154,15 @@ def random_project(
 
 
 def _random_project_join(df: DataFrame, keys: Sequence[str], vec: str, dim: int, k: int, kind: str, seed: int) -> DataFrame:
-    """The same projection as a join for matrices too large to hold per task."""
-    long = df.select(*keys, F.posexplode(F.col(vec).cast("array<double>")).alias("unit", "v"))
+    """The same projection as a join for matrices too large to hold per task; every row has its own, whatever its keys."""
+    df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    long = df.select("_row", F.posexplode(F.col(vec).cast("array<double>")).alias("unit", "v"))
     entries = projection_entries(df.sparkSession, dim, k, kind, seed)
-    sums = long.join(entries, "unit").groupBy(*keys, "out").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
-    pairs = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("out", "s"))).alias("_p"))
+    sums = long.join(entries, "unit").groupBy("_row", "out").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
+    pairs = sums.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("out", "s"))).alias("_p"))
     fill = F.sequence(F.lit(0), F.lit(k - 1))
     projected = F.transform(fill, lambda o: F.coalesce(F.element_at(F.col("_p"), o), F.lit(0.0)))
-    return df.drop(vec).join(pairs, list(keys), "left").withColumn(vec, projected).drop("_p")
+    return df.drop(vec).join(pairs, "_row", "left").withColumn(vec, projected).drop("_p", "_row")
 
 
 # ---------------------------------------------------------------- layers, sequences, words

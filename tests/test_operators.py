@@ -1,5 +1,8 @@
 """Hand cases, edge cases, storage and streams."""
 
+import random
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreweave.functions import columns as C
 from scoreweave.functions.ordering import grouped_median, hash_row_number, ordered_row_number, range_running_sum, stable_hash
-from scoreweave.operators import align, behaviour, prep, reliability, scoring, splits, tuning, windows
+from scoreweave.operators import align, behaviour, prep, reliability, scoring, splits, transforms, tuning, windows
 from scoreweave.plans import planning, runs
 from scoreweave.sources import store, tables, text
 
@@ -86,6 +89,44 @@ def test_group_folds_take_the_largest_first():
         splits.group_folds([("a", 5)], 3)
 
 
+def test_group_folds_by_sizes():
+    """Folds of whole runs of equal groups are those of the rule taken group by group."""
+    rnd = random.Random(4)
+    for _ in range(300):
+        k, most = rnd.randint(2, 6), rnd.choice([2, 5, 40])
+        counts = [(f"g{i:03}", rnd.choice([1, 1, 1, rnd.randint(1, most), 3 * most])) for i in range(rnd.randint(k, 60))]
+        sizes = sorted(Counter(n for _, n in counts).items(), reverse=True)
+        got = []
+        for (_, c), (_, rounds) in zip(sizes, splits.size_folds(sizes, k)):
+            for (start, folds), (end, _) in zip(rounds, [*rounds[1:], (c, None)]):
+                got += [folds[i % len(folds)] for i in range(end - start)]
+        assert got == [f for _, f in splits.group_folds(counts, k)]
+
+
+def test_grouped_folds_have_one_rule(spark, monkeypatch):
+    """A hot group and more groups than once went to the driver; a NULL group; fewer groups than folds."""
+    monkeypatch.setattr(splits, "MAX_GROUPS", 5, raising=False)
+    rows = [("hot",)] * 40 + [(None,)] * 7 + [(f"g{i}",) for i in range(60)] + [("h",)] * 3 + [("i",)] * 3
+    got = splits.group_kfold(spark.createDataFrame(rows, "g string"), "g", 4).distinct().collect()
+    want = dict(splits.group_folds(list(Counter(g for g, in rows).items()), 4))
+    assert {r["g"]: r["fold"] for r in got} == want and len(got) == len(want)
+    few = splits.group_kfold(spark.createDataFrame([("a",), ("a",), ("b",)], "g string"), "g", 4).collect()
+    assert sorted((r["g"], r["fold"]) for r in few) == [("a", 0), ("a", 0), ("b", 1)]
+    with pytest.raises(ValueError):
+        splits.group_kfold(spark.createDataFrame([("a",)], "g string"), "g", 4)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+def test_projection_of_rows_with_one_key(spark, monkeypatch, kind):
+    """Joined or sent to the tasks, every row has its own projection."""
+    rows = [(1, [1.0, 2.0, 3.0, 4.0]), (1, [5.0, -1.0, 0.0, 2.0]), (2, [0.0, 1.0, 1.0, 0.5]), (None, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+    project = lambda: sorted((str(r["id"]), [round(x, 9) + 0.0 for x in r["vec"]]) for r in transforms.random_project(df, ["id"], "vec", 4, 3, kind).collect())
+    sent = project()
+    monkeypatch.setattr(transforms, "MATRIX_WEIGHTS", 1)
+    assert project() == sent and len(sent) == 4
+
+
 @pytest.mark.parametrize("n,k", [(3, 5), (10, 5), (103, 10)])
 def test_folds_partition_the_rows(spark, n, k):
     df = spark.range(n).withColumn("lab", F.col("id") % 2)
