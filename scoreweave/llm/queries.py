@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dup, line_dedup, mixing, near_dedup, packing, query, secret_scan, substring_dedup, topk, toxicity, url_filter
+from . import (
+    embed_dup, hard_negatives, line_dedup, mixing, near_dedup, packing, periodic_runs, query, secret_scan, spotsigs, substring_dedup, topk, toxicity, url_filter,
+)
 
 # Rules of the query (host, path prefix, verdict)
 RULES = [
@@ -150,3 +154,65 @@ def op9_secret_scan(spark, d):
 def op10_source_mixing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("text")
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For a tenth of the ids the words from some place on become periodic; without an id nothing changes."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a : a + p] * -(-(n - a) // p))[: n - a]]
+
+
+@query()
+def op11_periodic_runs(spark, d):
+    out = periodic_runs.collapse_runs(table(spark, d, "documents").select("doc_id", "text"), edit=periodic_tail)
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    digests = [F.sha2(periodic_runs.listed("runs"), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")]
+    return out.select("doc_id", "n_runs", *best, milli, *digests)
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""")
+def op12_hard_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, d, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def spots_sql(text: str) -> str:
+    """DuckDB expression of the signatures of a text."""
+    common = ", ".join(f"'{w}'" for w in dict.fromkeys(spotsigs.COMMON))
+    units = f"""string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(lower({text}), '{spotsigs.GAP}'), lambda w: w <> ''),
+   lambda w: w || CASE WHEN w IN ({common}) THEN ' ' ELSE chr(10) END), ''), chr(10))[:-2]"""
+    content = f"list_transform({units}, lambda u: string_split(u, ' ')[-1])"
+    chains = f"list_transform(list_zip({content}, ({content})[2:]), lambda z: concat_ws(' ', z[1], z[2]))"
+    spots = f"flatten(list_transform(list_zip({units}, {chains}), lambda z: list_transform(string_split(z[1], ' ')[:-2], lambda a: a || ' ' || z[2])))"
+    return f"list_sort(list_distinct(list_transform(CASE WHEN len({spots}) > 0 THEN {spots} ELSE {chains} END, lambda s: substr(md5(s), 1, 16))))"
+
+
+def likeness_sql(a: str, b: str) -> str:
+    """DuckDB expression of the likeness of two signature lists, pruned by their lengths."""
+    shared = f"len(list_intersect({a}, {b}))"
+    return f"""CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 OR least(len({a}), len({b})) < greatest(len({a}), len({b})) * 0.05::DOUBLE THEN 0.0
+  ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END::DOUBLE"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ n AS (SELECT doc_id, text, length(text) AS n, length(text) // 3 AS e, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS nt FROM t),
+ e AS (SELECT *, substr(text, 1, n - e) || substr(nt, 1, e) AS et FROM n),
+ s AS (SELECT *, {spots_sql('text')} AS a, {spots_sql('et')} AS b, {spots_sql('nt')} AS c FROM e)
+ SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
+  {likeness_sql('a', 'b')} AS near_edited, {likeness_sql('a', 'c')} AS near_next FROM s""")
+def op13_spotsigs(spark, d):
+    out = spotsigs.fingerprints(table(spark, d, "documents").select("doc_id", "text"))
+    prints = [F.array_join("signatures", ",").alias("fingerprint"), F.array_join("edited_signatures", ",").alias("edited_fingerprint")]
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
