@@ -193,9 +193,10 @@ def spots_sql(text: str) -> str:
     common = ", ".join(f"'{w}'" for w in dict.fromkeys(spotsigs.COMMON))
     units = f"""string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(lower({text}), '{spotsigs.GAP}'), lambda w: w <> ''),
    lambda w: w || CASE WHEN w IN ({common}) THEN ' ' ELSE chr(10) END), ''), chr(10))[:-2]"""
-    content = f"list_transform({units}, lambda u: string_split(u, ' ')[-1])"
-    chains = f"list_transform(list_zip({content}, ({content})[2:]), lambda z: concat_ws(' ', z[1], z[2]))"
-    spots = f"flatten(list_transform(list_zip({units}, {chains}), lambda z: list_transform(string_split(z[1], ' ')[:-2], lambda a: a || ' ' || z[2])))"
+    following = f"(list_transform({units}, lambda u: string_split(u, ' ')[-1]))[2:]"
+    spots = f"""list_transform(list_filter(list_zip({units}, {following}), lambda z: contains(z[1], ' ')),
+   lambda z: concat_ws(' ', array_to_string(string_split(z[1], ' ')[-2:], ' '), z[2]))"""
+    chains = f"list_transform(list_zip({units}, {following}), lambda z: concat_ws(' ', z[1], z[2]))"
     return f"list_sort(list_distinct(list_transform(CASE WHEN len({spots}) > 0 THEN {spots} ELSE {chains} END, lambda s: substr(md5(s), 1, 16))))"
 
 

@@ -12,6 +12,7 @@ and texts are shuffled once, into those ranges.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,27 +27,37 @@ COMMON = (
     "al como con del el ella en era es esta fue ha la las lo los más no para pero por que se si sin su sus un una y ya yo"
 ).split()
 GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"  # what separates words: ASCII without letters and digits
-CHAIN = 2
-PART = 32 << 20  # code points in a range of neighbours
+PART = 8 << 20  # code points in a range of neighbours
+EACH = 8  # ranges in a task, so that tasks are even
 FAN = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spot_signatures(text: Column, common: list[str] | tuple = tuple(COMMON)) -> Column:
     """Sorted distinct signatures: 16 hex digits each of md5(anchor, content word, next content word).
 
-    Words are lower-cased.  The last content word has a chain of its own alone.  A text without a common word
-    takes every content word for an anchor; a text without words has no signatures, null is an empty text.
+    The anchor is the last common word right before the content word.  Words are lower-cased; the last content word has no
+    other after it.  A text without a common word before a content word takes every content word for an anchor of the next; a
+    text without content words has no signatures, null is an empty text.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
     marked = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(*common), " ").otherwise("\n"))), "")
-    units = F.split(marked, "\n")  # anchors and the content word they stand before; the last unit has no content word
-    units = F.slice(units, 1, F.size(units) - 1)
-    content = F.transform(units, lambda u: F.substring_index(u, " ", -1))
-    following = F.slice(content, 2, F.greatest(F.size(content), F.lit(1)))
-    chains = F.zip_with(content, following, lambda a, b: F.concat_ws(" ", a, b))
-    anchors = F.transform(units, lambda u: F.slice(F.split(u, " "), 1, F.size(F.split(u, " ")) - 1))
-    spots = F.flatten(F.zip_with(anchors, chains, lambda a, c: F.transform(a, lambda x: F.concat_ws(" ", x, c))))
-    spots = F.when(F.size(spots) > 0, spots).otherwise(chains)
+
+    def of_units(units: Column) -> Column:  # common words and the content word they stand before
+        content = F.transform(units, lambda u: F.substring_index(u, " ", -1))
+        return let(F.slice(content, 2, F.greatest(F.size(units), F.lit(1))), lambda following: of_both(units, following))
+
+    def of_both(units: Column, following: Column) -> Column:
+        spots = F.zip_with(units, following, lambda u, b: F.when(F.instr(u, " ") > 0, F.concat_ws(" ", F.substring_index(u, " ", -2), b)))
+        chains = F.zip_with(units, following, lambda u, b: F.concat_ws(" ", u, b))
+        return let(F.array_compact(spots), lambda x: F.when(F.size(x) > 0, x).otherwise(chains))
+
+    # the part after the last content word has none and is no unit
+    spots = let(F.split(marked, "\n"), lambda units: let(F.slice(units, 1, F.size(units) - 1), of_units))
     return F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.substring(F.md5(s), 1, 16))))
 
 
@@ -62,8 +73,8 @@ def likeness(a: Column, b: Column, least: float = 0.05) -> Column:
         return F.floor(F.ln(n) / F.ln(F.lit(1 / least)) + 1e-9)
 
     far = (part(large) - part(small) > 1) | (small < large * F.lit(least))
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(large == 0, 1.0).when(small == 0, 0.0).when(far, 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    near = let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared))
+    return F.when(large == 0, 1.0).when(small == 0, 0.0).when(far, 0.0).otherwise(near)
 
 
 def _ranges(keys: DataFrame, count: int) -> list[list[tuple]]:
@@ -97,7 +108,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     if not sums["n"]:
         empty = rows.select("_id", "text", F.col("text").alias("next_text"), F.lit(1).cast("long").alias("_times"))
         return empty.select("*", prepare(F.col("text")).alias("_own"), prepare(F.col("text")).alias("_next")) if prepare else empty
-    count = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sums["c"] // PART))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(EACH * tasks, -(-sums["c"] // PART))
     groups = _ranges(keys, min(count, sums["n"]))
     heads = sum(map(len, groups))
     rows = rows.withColumn("_m", F.lit(1).cast("long"))
@@ -111,7 +123,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     home = F.struct(F.col("_range").alias("_range"), F.lit(False).alias("_guest"))
     guest = F.struct(F.pmod(F.col("_range") - 1, F.lit(heads)).alias("_range"), F.lit(True).alias("_guest"))
     rows = rows.withColumn("_to", F.explode(F.when(F.col("_first"), F.array(home, guest)).otherwise(F.array(home))))
-    rows = rows.select("_id", "_h", "text", "_m", "_to._range", "_to._guest").repartition(heads, "_range")
+    rows = rows.select("_id", "_h", "text", "_m", "_to._range", "_to._guest").repartition(max(tasks, heads // EACH), "_range")
     if prepare:
         rows = rows.withColumn("_own", prepare(F.col("text")))
     order = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc(), F.col("_h").desc())

@@ -155,12 +155,7 @@ def brute_spots(text):
     words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split(" ") if w]
     content = [i for i, w in enumerate(words) if w not in spotsigs.COMMON]
     chain = {i: " ".join(words[j] for j in content[k : k + 2]) for k, i in enumerate(content)}
-    spots = []
-    for i, w in enumerate(words):
-        if w in spotsigs.COMMON:
-            then = next((j for j in content if j > i), None)
-            if then is not None:
-                spots.append(f"{w} {chain[then]}")
+    spots = [f"{words[i - 1]} {c}" for i, c in chain.items() if i and words[i - 1] in spotsigs.COMMON]
     return sorted({hashlib.md5(s.encode()).hexdigest()[:16] for s in spots or chain.values()})
 
 
