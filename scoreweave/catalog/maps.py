@@ -9,8 +9,10 @@ from ..functions.registry import MetricInput, get_metric
 from ..operators import linear as L
 from ..operators.align import lag_align
 from ..operators.gram import moments
+from ..operators.prep import kept_features
 from ..operators.regions import spatial_traces
 from ..operators.splits import kfold
+from ..operators.tiles import gram_tiles, ridge_subsampled, ridge_tiles
 from ..plans import runs
 from ..plans.metrics import parted
 from . import query
@@ -83,6 +85,8 @@ def ridge_fixed(spark, d):
 
 
 LOO_ALPHAS = (1.0, 1e4, 1e6)
+KEPT = "ab"[kept_features(2, 1)[0]]  # the feature that a search on one of two features takes
+KEPT_Y = {"a": "ay", "b": "by_"}[KEPT]
 
 
 @query(f"""WITH {TWO}, {sums('s', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
@@ -97,6 +101,22 @@ def ridge_loo_choice(spark, d):
     return fitted(L.ridge_loo(rows, "split", "x", "y", m, L.train_test_design(spark), LOO_ALPHAS))
 
 
+@query(f"WITH {TWO}, {sums('s', "split = 'train'")}, w AS (SELECT *, 1000.0 AS alpha, {solve2('1000')} FROM s), {FIT_SQL}")
+def ridge_tiled(spark, d):
+    """The system of ``ridge_fixed`` in tiles of one feature, eliminated tile by tile."""
+    return fitted(ridge_tiles(gram_tiles(two_features(spark, d), "split", "x", "y", tile=1), L.train_test_design(spark), 1000.0))
+
+
+@query(f"""WITH {TWO}, {sums('s', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
+ e AS (SELECT target, pos, min(alpha) AS alpha, avg(pow((d.y - my - ({KEPT_Y} / ({KEPT}{KEPT} + alpha)) * (d.{KEPT} - m{KEPT})) / (1 - 1 / n - pow(d.{KEPT} - m{KEPT}, 2) / ({KEPT}{KEPT} + alpha)), 2)) AS err
+  FROM s JOIN d USING (target), al WHERE split = 'train' GROUP BY 1, 2),
+ best AS (SELECT min_by(alpha, (m, pos)) AS alpha FROM (SELECT pos, min(alpha) AS alpha, avg(err) AS m FROM e GROUP BY 1)),
+ w AS (SELECT s.*, alpha, {solve2('alpha')} FROM s, best), {FIT_SQL}""")
+def ridge_subsampled_choice(spark, d):
+    """Alpha searched on one of two features, fitted on both in tiles."""
+    return fitted(ridge_subsampled(two_features(spark, d), "split", "x", "y", L.train_test_design(spark), 1, LOO_ALPHAS, tile=1))
+
+
 @query(f"""WITH {TWO}, {sums('s', "split = 'train' AND NOT v")}, {sums('full', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
  g AS (SELECT s.*, alpha, pos, {solve2('alpha')} FROM s, al),
  e AS (SELECT g.target, pos, min(alpha) AS alpha, 1 - sum(pow(d.y - my - wa * (d.a - ma) - wb * (d.b - mb), 2)) / (sum(pow(d.y - my, 2)) + 1e-6) AS r2 FROM g JOIN d USING (target)

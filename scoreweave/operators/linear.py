@@ -132,19 +132,21 @@ def read_blocks(targets: pd.DataFrame, features: pd.DataFrame) -> tuple[np.ndarr
 
 def evaluate(t: Block, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corrected correlation and R2 of predictions x w + b on a block's rows, from its sums."""
-    mp = t.mx @ w + b
     pp = np.maximum(np.einsum("dt,dt->t", w, t.sxx @ w), 0.0)
-    cov = np.einsum("dt,dt->t", w, t.sxy)
-    yy = t.syy
-    res = t.n * (t.my - mp) ** 2 + yy - 2 * cov + pp
+    return scores_from(t.n, t.my, t.mx @ w + b, pp, np.einsum("dt,dt->t", w, t.sxy), t.syy)
+
+
+def scores_from(n: float, my: np.ndarray, mp: np.ndarray, pp: np.ndarray, cov: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corrected correlation and R2 from the means of targets and predictions and their centred sums of products."""
+    res = n * (my - mp) ** 2 + yy - 2 * cov + pp
     with np.errstate(divide="ignore", invalid="ignore"):
         r = cov / np.sqrt(pp * yy)
         sb = np.where(r == -1, np.nan, 2 * r / (1 + r))
         r2 = 1 - res / yy
-    flat = (yy / t.n < VARIANCE_FLOOR) | (pp / t.n < VARIANCE_FLOOR)
-    match = np.sqrt(np.maximum(res, 0) / t.n) <= CLOSE_ATOL + CLOSE_RTOL * np.abs(mp)
+    flat = (yy / n < VARIANCE_FLOOR) | (pp / n < VARIANCE_FLOOR)
+    match = np.sqrt(np.maximum(res, 0) / n) <= CLOSE_ATOL + CLOSE_RTOL * np.abs(mp)
     pearson = np.where(flat, np.where(match, 1.0, 0.0), sb)
-    if t.n < 2:
+    if n < 2:
         pearson = np.full_like(pearson, np.nan)
     return pearson, np.where(np.isfinite(r2), r2, np.nan)
 
@@ -392,22 +394,6 @@ def ridge_loo(
     return ridge(m, plan, loo_choice(loo_errors(df, part, x, y, m, plan, alphas), alphas, shared))
 
 
-def ridge_subsampled(
-    df: DataFrame, part: str, x: str, y: str, m: Moments, plan: DataFrame, k: int, alphas: Sequence[float] = RIDGE_ALPHAS, seed: int = 42
-) -> DataFrame:
-    """Shared alpha searched on ``k`` features, final fit on all of them."""
-    from .gram import moments
-    from .prep import kept_features
-
-    if k >= m.dim_x:
-        return ridge_loo(df, part, x, y, m, plan, alphas, shared=True)
-    keep = kept_features(m.dim_x, k, seed)
-    cols = F.array(*[F.lit(i) for i in keep])
-    small = df.withColumn("_xs", F.transform(cols, lambda i: F.element_at(A.as_double(x), i + 1)))
-    ms = moments(small, part, "_xs", y, shift=np.concatenate([m.shift[keep], m.shift[m.dim_x :]]))
-    return ridge(m, plan, loo_choice(loo_errors(small, part, "_xs", y, ms, plan, alphas), alphas, True))
-
-
 # ---------------------------------------------------------------- sparse, constrained and block maps
 
 

@@ -19,6 +19,7 @@ from ..operators import similarity as S
 from ..operators.dual import ridge_dual
 from ..operators.gram import MAX_DIM, Moments, moments
 from ..operators.splits import holdout, kfold, stratified_kfold
+from ..operators.tiles import ridge_subsampled
 
 
 def parted(inp: MetricInput, with_val: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -51,15 +52,14 @@ def _moments(inp: MetricInput, rows: DataFrame, x: str | None = None, y: str | N
 def ridge(inp: MetricInput, alphas: Sequence[float] = L.RIDGE_ALPHAS, subsample: int | None = None) -> DataFrame:
     """Per-target alpha by leave-one-out; optionally a shared alpha searched on few features.
 
-    More features than a Gram can hold are solved on the stimulus kernel.
+    With ``subsample`` features may be of any number; without, more of them than a Gram can hold are solved on the stimulus kernel.
     """
     rows, plan = parted(inp)
-    if subsample is None and inp.rows.select(F.size(inp.x)).first()[0] > MAX_DIM:
-        return ridge_dual(rows, inp.key, "part", inp.x, inp.y, plan, alphas)
-    m = _moments(inp, rows)
     if subsample is not None:
-        return L.ridge_subsampled(rows, "part", inp.x, inp.y, m, plan, subsample, alphas)
-    return L.ridge_loo(rows, "part", inp.x, inp.y, m, plan, alphas)
+        return ridge_subsampled(rows, "part", inp.x, inp.y, plan, subsample, alphas)
+    if inp.rows.select(F.size(inp.x)).first()[0] > MAX_DIM:
+        return ridge_dual(rows, inp.key, "part", inp.x, inp.y, plan, alphas)
+    return L.ridge_loo(rows, "part", inp.x, inp.y, _moments(inp, rows), plan, alphas)
 
 
 @register("torch_ridge")
