@@ -1,68 +1,88 @@
-"""Streaming twins, run to completion over the events table."""
+"""Streaming twins, run over the given tables in several files with a restart between them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators.gram import cross_correlation
 from ..streaming import online
+from ..streaming.tables import StreamTable, latest
 from . import query
-from .views import PAIRS, R, scratch
+from .views import PAIRS, R, intervals, scratch, table
+from .windows import BINNED, DAY
 
+FILES = 4
 
-def event_stream(spark, d, name="events"):
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(d)
 
+def stream(df: DataFrame, order: str, target: StreamTable, write) -> StreamTable:
+    """Let the rows come in FILES files by ``order``, one a micro-batch: half of them, then, after a restart, the others.
 
-def events(spark, d):
-    return event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    ``write`` makes the writer of a streaming frame; the files lie below the shared folder, each written when its time has come.
+    """
+    spark = df.sparkSession
+    folder, checkpoint = scratch(spark, "arrivals"), scratch(spark, "offsets")
+    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    if low is None:
+        return target
+    place = F.least(F.floor((F.col(order).cast("double") - low) / (high - low or 1.0) * FILES), F.lit(FILES - 1))
+    for k in range(FILES):
+        df.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
+        if k in (FILES // 2 - 1, FILES - 1):
+            rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            write(rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+def summed(df: DataFrame, order: str, name: str, partial, merge, most: int = 3) -> DataFrame:
+    target = StreamTable(df.sparkSession, scratch(df.sparkSession, name), merge, partial(df.limit(0)).schema, most)
+    return stream(df, order, target, lambda rows: online.into(rows, target, partial)).read()
 
 
-def run(df, mode, name):
-    """Run the stream over what is available and return the written table."""
-    out, ck = scratch(df.sparkSession, name), scratch(df.sparkSession, f"{name}-ck")
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True)
-    if mode == "complete":
-        w = w.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out))
-    else:
-        w = w.format("parquet").option("path", out)
-    w.start().awaitTermination()
-    return df.sparkSession.read.parquet(out)
+def events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(f"SELECT user_id, count(*) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std FROM events GROUP BY 1")
+@query(f"SELECT user_id, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std FROM events GROUP BY 1")
 def stream_running_stats(spark, d):
-    out = run(online.running_stats(events(spark, d), ["user_id"], "value"), "complete", "stats")
-    return out.select("user_id", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+    keys = ["user_id"]
+    out = summed(events(spark, d), "ts", "stats", lambda b: online.partial_stats(b, keys, "value"), online.merge_stats(keys))
+    return online.finish_stats(out, keys).select("user_id", "n", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query(f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)
- SELECT epoch(date_trunc('day', ts))::BIGINT AS bin_start, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events
- WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT w FROM w) GROUP BY 1, 2""")
+@query(f"""SELECT epoch(date_trunc('day', ts))::BIGINT AS bin_start, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events GROUP BY 1, 2""")
 def stream_tumbling_bins(spark, d):
-    out = run(online.tumbling_bins(events(spark, d), "ts", "1 day", ["event_type"], "value"), "append", "bins")
-    return out.select(F.unix_timestamp("bin_start").alias("bin_start"), "event_type", "n", r6("total", 4).alias("total"))
+    keys = ["event_type"]
+    out = summed(events(spark, d), "ts", "bins", lambda b: online.partial_windows(b, "ts", "1 day", keys, "value"), online.merge_windows(keys))
+    return out.select(F.unix_timestamp("win_start").alias("bin_start"), "event_type", "n", r6("total", 4).alias("total"))
 
 
-@query(f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events),
- e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + (k + 1) * INTERVAL 6 HOUR AS e, event_type, value FROM events, (SELECT unnest(range(4)) AS k))
- SELECT epoch(e)::BIGINT AS context_end, event_type, count(*) AS n, {R('avg(value)')} AS mean FROM e WHERE e <= (SELECT w FROM w) GROUP BY 1, 2""")
+@query(f"""WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + (k + 1) * INTERVAL 6 HOUR AS e, event_type, value FROM events, (SELECT unnest(range(4)) AS k))
+ SELECT epoch(e)::BIGINT AS context_end, event_type, count(*) AS n, {R('avg(value)')} AS mean FROM e GROUP BY 1, 2""")
 def stream_sliding_context(spark, d):
-    out = run(online.sliding_context(events(spark, d), "ts", "24 hours", "6 hours", ["event_type"], "value"), "append", "context")
-    return out.select(F.unix_timestamp("context_end").alias("context_end"), "event_type", "n", r6("mean").alias("mean"))
+    keys = ["event_type"]
+    out = summed(events(spark, d), "ts", "context", lambda b: online.partial_windows(b, "ts", "24 hours", keys, "value", "6 hours"), online.merge_windows(keys))
+    return online.finish_windows(out).select(F.unix_timestamp("win_end").alias("context_end"), "event_type", "n", r6("mean").alias("mean"))
+
+
+@query(f"""WITH {BINNED}, w AS (SELECT f.story, f.bin, list(word ORDER BY seq) FILTER (word IS NOT NULL) AS w FROM f LEFT JOIN b ON b.story = f.story AND b.bin <= f.bin GROUP BY 1, 2)
+ SELECT story, bin, coalesce(array_to_string(w[-8:], ' '), '') AS tail FROM w""")
+def stream_word_context(spark, d):
+    """The last eight words up to every day of a story, kept by a stateful operator."""
+    words = intervals(spark, d).select("story", "seq", "word", "t0", "t1")
+    target = StreamTable(spark, scratch(spark, "words"), latest("story", "bin"), "story long, bin int, words array<string>", 3)
+    out = stream(words, "seq", target, lambda rows: online.into(online.word_context(rows, "story", DAY, 8), target, mode="update")).read()
+    return out.select("story", F.col("bin").cast("long").alias("bin"), F.array_join("words", " ").alias("tail"))
 
 
 @query(f"""WITH {PAIRS} SELECT a.label::VARCHAR AS part, a.unit AS source, b.unit AS target, {R('corr(a.p, b.y)')} AS r FROM pairs a JOIN pairs b USING (vec_id) GROUP BY 1, 2, 3""")
 def stream_moments(spark, d):
     """Moments merged batch by batch, then scored on demand."""
-    path, ck = scratch(spark, "moments"), scratch(spark, "moments-ck")
     v = F.col("embedding").cast("array<double>")
-    rows = event_stream(spark, d, "embeddings").select(
-        F.col("label").cast("string").alias("part"), F.slice(v, 1, 32).alias("x"), F.slice(v, 33, 32).alias("y"))
-    q = rows.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).foreachBatch(online.merge_moments_into(path, "x", "y", (32, 32)))
-    q.start().awaitTermination()
-    out = cross_correlation(online.read_moments(spark, path, (32, 32)))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("part"), F.slice(v, 1, 32).alias("x"), F.slice(v, 33, 32).alias("y"))
+    target = StreamTable(spark, scratch(spark, "moments"), online.merge_moments, most=3)
+    stream(rows, "vec_id", target, lambda b: online.into(b, target, online.partial_moments("x", "y", (32, 32))))
+    out = cross_correlation(online.read_moments(target, (32, 32)))
     return out.select("part", F.posexplode("r").alias("source", "r"), "target").select(
         "part", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), r6("r").alias("r"))
