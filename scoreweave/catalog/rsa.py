@@ -19,7 +19,6 @@ ZED = f"""v AS (SELECT vec_id, label, embedding[1:32]::DOUBLE[] AS x, embedding[
  z AS (SELECT vec_id, label, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) AS y FROM c)"""
 BY_LABEL = f"""{ZED}, d AS (SELECT p.label, p.vec_id AS i, q.vec_id AS j, 1 - list_dot_product(p.x, q.x) AS a, 1 - list_dot_product(p.y, q.y) AS b
  FROM z p JOIN z q ON p.label = q.label AND p.vec_id < q.vec_id)"""
-ON_GRID = "gr AS (SELECT label, floor(a / 1e-6 + 0.5)::BIGINT AS a, floor(b / 1e-6 + 0.5)::BIGINT AS b FROM d)"
 SQL_COS = "sum(a * b) / sqrt(sum(a * a) * sum(b * b))"
 
 
@@ -49,15 +48,15 @@ def rdm_similarity_whole(spark, d):
     return out.select(r6("corr").alias("corr"), r6("cosine").alias("cosine"))
 
 
-@query(f"""WITH {BY_LABEL}, {ON_GRID}, rk AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY a) + (count(*) OVER (PARTITION BY label, a) - 1) / 2.0::DOUBLE AS a,
-  rank() OVER (PARTITION BY label ORDER BY b) + (count(*) OVER (PARTITION BY label, b) - 1) / 2.0::DOUBLE AS b FROM gr)
+@query(f"""WITH {BY_LABEL}, rk AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY a) + (count(*) OVER (PARTITION BY label, a) - 1) / 2.0::DOUBLE AS a,
+  rank() OVER (PARTITION BY label ORDER BY b) + (count(*) OVER (PARTITION BY label, b) - 1) / 2.0::DOUBLE AS b FROM d)
  SELECT label::BIGINT AS label, {R('corr(a, b)')} AS spearman FROM rk GROUP BY 1""")
 def rdm_spearman(spark, d):
     out = S.rdm_spearman(embedded(spark, d), ["label"])
     return out.select(F.col("label").cast("long").alias("label"), r6("spearman").alias("spearman"))
 
 
-@query(f"""WITH {BY_LABEL}, {ON_GRID}, n AS (SELECT label, row_number() OVER () AS k, a, b FROM gr),
+@query(f"""WITH {BY_LABEL}, n AS (SELECT label, row_number() OVER () AS k, a, b FROM d),
  kk AS (SELECT p.label, sum(sign(p.a - q.a) * sign(p.b - q.b)) AS s, sum((p.a <> q.a)::INT) AS na, sum((p.b <> q.b)::INT) AS nb FROM n p JOIN n q ON p.label = q.label AND p.k < q.k GROUP BY 1)
  SELECT label::BIGINT AS label, {R('s / sqrt(na::DOUBLE * nb)')} AS kendall FROM kk""")
 def rdm_kendall(spark, d):
@@ -147,7 +146,7 @@ def crossnobis_over_time(spark, d):
 WITHIN = f"""{STORIES}, mv AS (SELECT story, t, 'whole' AS mask, x, y FROM stories UNION ALL SELECT story, t, 'early', x, y[1:8] FROM stories),
  mc AS (SELECT story, t, mask, list_transform(x, lambda e: e - list_avg(x)) AS x, list_transform(y, lambda e: e - list_avg(y)) AS y FROM mv),
  mz AS (SELECT story, t, mask, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) AS y FROM mc),
- gr AS (SELECT p.story, p.mask, floor((1 - list_dot_product(p.x, q.x)) / 1e-6 + 0.5) AS a, floor((1 - list_dot_product(p.y, q.y)) / 1e-6 + 0.5) AS b FROM mz p JOIN mz q ON p.story = q.story AND p.mask = q.mask AND p.t < q.t),
+ gr AS (SELECT p.story, p.mask, 1 - list_dot_product(p.x, q.x) AS a, 1 - list_dot_product(p.y, q.y) AS b FROM mz p JOIN mz q ON p.story = q.story AND p.mask = q.mask AND p.t < q.t),
  rk AS (SELECT story, mask, rank() OVER (PARTITION BY story, mask ORDER BY a) + (count(*) OVER (PARTITION BY story, mask, a) - 1) / 2.0::DOUBLE AS a,
   rank() OVER (PARTITION BY story, mask ORDER BY b) + (count(*) OVER (PARTITION BY story, mask, b) - 1) / 2.0::DOUBLE AS b FROM gr),
  sc AS (SELECT story, mask, corr(a, b) AS s FROM rk GROUP BY 1, 2)"""

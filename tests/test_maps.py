@@ -1,6 +1,7 @@
 """Linear maps against closed forms in numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,18 +247,39 @@ def test_similarity_without_pairs(paired, spark):
         assert got["cosine"] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-8)
 
 
-def test_rank_similarities_are_tile_independent(paired):
-    a, b = (np.floor(v / 1e-6 + 0.5) for v in upper())
+def tau_b(a, b):
     s = np.sign(a[:, None] - a[None, :]) * np.sign(b[:, None] - b[None, :])
     ta, tb = (np.abs(np.sign(v[:, None] - v[None, :])).sum() for v in (a, b))
-    tau = s.sum() / np.sqrt(ta * tb)
-    for tile in (17, 1024):
-        assert S.rdm_kendall(paired, [], tile=tile).first()["kendall"] == pytest.approx(tau, abs=1e-9)
-    import pandas as pd
+    return s.sum() / np.sqrt(ta * tb)
 
+
+@pytest.mark.parametrize("tile,pairs", [(17, S.RANGE_PAIRS), (1024, 50), (40, 300)])
+def test_rank_similarities(paired, monkeypatch, tile, pairs):
+    """One task or many ranges, the scores are those of the distances themselves."""
+    monkeypatch.setattr(S, "RANGE_PAIRS", pairs)
+    a, b = upper()
+    assert S.rdm_kendall(paired, [], tile=tile).first()["kendall"] == pytest.approx(tau_b(a, b), abs=1e-9)
     rho = pd.Series(a).rank().corr(pd.Series(b).rank())
-    for tile in (17, 1024):
-        assert S.rdm_spearman(paired, [], tile=tile).first()["spearman"] == pytest.approx(rho, abs=1e-9)
+    assert S.rdm_spearman(paired, [], tile=tile).first()["spearman"] == pytest.approx(rho, abs=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e7])
+def test_ranks_do_not_depend_on_the_scale(spark, monkeypatch, scale):
+    """Whole-number distances with many ties, two keys, one side in other units; a key of two items is left out."""
+    monkeypatch.setattr(S, "RANGE_PAIRS", 40)
+    g = np.random.default_rng(4)
+    rows, want = [], {}
+    for key, n in (("p", 40), ("q", 25), ("small", 2)):
+        x, y = g.integers(0, 3, (n, 2)).astype(float), g.integers(0, 4, (n, 2)).astype(float)
+        rows += [(key, i, float(v @ v) * scale**2, (v * scale).tolist(), float(w @ w), w.tolist()) for i, (v, w) in enumerate(zip(x, y))]
+        at = np.triu_indices(n, 1)
+        want[key] = [((v[:, None] - v[None]) ** 2).sum(-1)[at] for v in (x, y)]
+    paired = spark.createDataFrame(rows, "k string, item int, alpha_a double, p_a array<double>, alpha_b double, p_b array<double>")
+    for fn, name, brute in ((S.rdm_spearman, "spearman", lambda a, b: pd.Series(a).rank().corr(pd.Series(b).rank())), (S.rdm_kendall, "kendall", tau_b)):
+        got = {r["k"]: r[name] for r in fn(paired, ["k"], tile=16).collect()}
+        assert got.keys() == {"p", "q"}
+        for k, v in got.items():
+            assert v == pytest.approx(brute(*want[k]), abs=1e-9)
 
 
 def test_concordance_balance_is_brute_force():
