@@ -70,14 +70,14 @@ def noise_ceiling(spark, d):
     return reliability.noise_ceiling(trials(spark, d), 3).select("unit", r6("ncsnr").alias("ncsnr"), r6("ceiling_pct").alias("ceiling_pct"))
 
 
-@query(f"""WITH {TRIALS}, reps AS (SELECT DISTINCT rep FROM trials), sp AS (SELECT unnest(range(20)) AS split),
+@query(f"""WITH {TRIALS}, reps AS (SELECT DISTINCT rep FROM trials), sp AS (SELECT unnest(range(50)) AS split),
  rk AS (SELECT split, rep, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || split || ':' || rep), rep) AS rk, count(*) OVER (PARTITION BY split) AS n FROM reps, sp),
  m AS (SELECT unit, split, stimulus, avg(CASE WHEN rk <= n // 2 THEN value END) AS y, avg(CASE WHEN rk > n // 2 THEN value END) AS p
   FROM trials JOIN rk USING (rep) GROUP BY 1, 2, 3),
  r AS (SELECT unit, split, coalesce({SQL_R}, 0) AS r FROM m WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)
  SELECT unit, {R('avg(' + sql_sb('r') + ')')} AS consistency FROM r GROUP BY 1""")
 def split_half_consistency(spark, d):
-    return reliability.split_half(trials(spark, d), 20).withColumn("consistency", r6("consistency"))
+    return reliability.split_half(trials(spark, d), 50).withColumn("consistency", r6("consistency"))
 
 
 @query(f"""WITH {TRIALS}, t AS (SELECT *, sum(value) OVER w AS s, count(*) OVER w AS n FROM trials WINDOW w AS (PARTITION BY unit, stimulus)),

@@ -140,6 +140,37 @@ def pls_one_component(spark, d):
     return fitted(L.pls(m, L.holdout_design(spark), [1]))
 
 
+# a target without weights has a flat prediction, which scores 0
+FLAT_FIT = FIT_SQL.replace("sqrt(var_pop(y) * var_pop(wa * a + wb * b)) AS r", "nullif(sqrt(var_pop(y) * var_pop(wa * a + wb * b)), 0) AS r").replace("2 * r / (1 + r)", "coalesce(2 * r / (1 + r), 0)")
+
+
+def one_feature_sql(l1: float) -> str:
+    """One feature makes the sparse maps a soft threshold; the second one is flat."""
+    w = f"sign(ay) * greatest(abs(ay) / n - alpha * {l1}, 0) / (aa / n + alpha * {1 - l1})"
+    return f"""WITH {TWO.replace('l_discount * 100 AS b', '0.0::DOUBLE AS b')}, {sums('s', "split = 'train' AND NOT v")}, {sums('whole', "split = 'train'")},
+ al AS (SELECT unnest([100.0, 1.0, 0.01]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos), g AS (SELECT s.*, alpha, pos, {w} AS wa FROM s, al),
+ e AS (SELECT g.target, pos, min(alpha) AS alpha, 1 - sum(pow(d.y - my - wa * (d.a - ma), 2)) / (sum(pow(d.y - my, 2)) + 1e-6) AS r2 FROM g JOIN d USING (target) WHERE split = 'train' AND v GROUP BY 1, 2),
+ best AS (SELECT max_by(alpha, (m, -pos)) AS alpha FROM (SELECT pos, min(alpha) AS alpha, avg(r2) AS m FROM e GROUP BY 1)),
+ q AS (SELECT whole.*, alpha, {w} AS wa FROM whole, best), w AS (SELECT * REPLACE (wa * (wa * ay) / (wa * wa * aa + 1e-10) AS wa), 0.0::DOUBLE AS wb FROM q), {FLAT_FIT}"""
+
+
+def one_feature(spark, d, l1):
+    rows = two_features(spark, d).withColumn("x", F.array(F.col("x")[0], F.lit(0.0)))
+    part = F.when(F.col("split") == "test", "test").when(F.col("v"), "val").otherwise("fit")
+    m = moments(rows.withColumn("part", part), "part", "x", "y", parts=3)
+    return fitted(L.elastic_net(m, L.holdout_design(spark), (0.01, 1.0, 100.0), l1))
+
+
+@query(one_feature_sql(1.0))
+def lasso_one_feature(spark, d):
+    return one_feature(spark, d, 1.0)
+
+
+@query(one_feature_sql(0.5))
+def elastic_net_one_feature(spark, d):
+    return one_feature(spark, d, 0.5)
+
+
 # ---------------------------------------------------------------- full maps on the embeddings
 
 

@@ -397,35 +397,60 @@ def ridge_loo(
 # ---------------------------------------------------------------- sparse, constrained and block maps
 
 
-def fista(sxx, sxy, n, alpha, l1_ratio, w0, max_iter, tol):
-    """Accelerated proximal gradient for (1/2n)|y - xw|^2 + alpha (l1 |w|_1 + (1 - l1)/2 |w|^2)."""
+def sparse_gap(f: Block, w: np.ndarray, alpha: float, l1_ratio: float) -> np.ndarray:
+    """How far (1/2n)|y - xw|^2 + alpha (l1 |w|_1 + (1 - l1)/2 |w|^2) is from its least value at most, per target: the duality gap."""
     lam1, lam2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    step = 1.0 / (np.linalg.eigvalsh(sxx)[-1] / n + lam2 + 1e-30)
-    w, look, t = w0.copy(), w0.copy(), 1.0
-    for _ in range(max_iter):
-        z = look - step * ((sxx @ look - sxy) / n + lam2 * look)
+    xw, ww = f.sxx @ w, (w * w).sum(0)
+    left = np.maximum(f.syy - 2 * (w * f.sxy).sum(0) + (w * xw).sum(0), 0.0) + f.n * lam2 * ww  # |residual|^2, the squared penalty as extra rows
+    steep = np.abs(f.sxy - xw - f.n * lam2 * w).max(axis=0, initial=0.0)
+    s = np.minimum(1.0, f.n * lam1 / np.maximum(steep, 1e-300))
+    primal = left / 2 + f.n * lam1 * np.abs(w).sum(0)
+    return (primal - s * (f.syy - (w * f.sxy).sum(0)) + s * s * left / 2) / f.n
+
+
+def sparse_fit(f: Block, alpha: float, l1_ratio: float, start: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Accelerated proximal gradient; every target goes on until its own duality gap is below ``tol`` of its variance.
+
+    Momentum restarts per target, so targets do not influence one another.  A target also stops when a thousand steps have not
+    lowered its gap: it is as exact as doubles allow.
+    """
+    lam1, lam2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    sxx, sxy = f.sxx, f.sxy
+    step = 1.0 / (np.linalg.eigvalsh(sxx)[-1] / f.n + lam2 + 1e-30)
+    w = start.copy()
+    limit = tol * f.syy / (2 * f.n)
+    gap = sparse_gap(f, w, alpha, l1_ratio)
+    live = np.flatnonzero(gap > limit)
+    look, t, best, since = w[:, live], np.ones(len(live)), gap[live], 0
+    while len(live):
+        z = look - step * ((sxx @ look - sxy[:, live]) / f.n + lam2 * look)
         new = np.sign(z) * np.maximum(np.abs(z) - lam1 * step, 0.0)
-        moved = np.linalg.norm(new - w) / (np.linalg.norm(new) + 1e-10)
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, w, t = new + (t - 1) / t_next * (new - w), new, t_next
-        if moved < tol:
-            break
+        back = ((look - new) * (new - w[:, live])).sum(0) > 0
+        t_next = np.where(back, 1.0, (1 + np.sqrt(1 + 4 * t * t)) / 2)
+        look = new + np.where(back, 0.0, (t - 1) / t_next) * (new - w[:, live])
+        w[:, live], t, since = new, t_next, since + 1
+        if since % 10:
+            continue
+        part = Block(f.n, f.sx, f.xx, f.sy[live], f.yy[live], f.xy[:, live])
+        gap = sparse_gap(part, new, alpha, l1_ratio)
+        go = gap > limit[live]
+        if since % 1000 == 0:
+            go &= gap < best
+            best = np.minimum(best, gap)
+        live, look, t, best = live[go], look[:, go], t[go], best[go]
     return w
 
 
-def elastic_net(
-    m: Moments, plan: DataFrame, alphas: Sequence[float], l1_ratio: float = 1.0, max_iter: int = 5000, tol: float = 1e-4
-) -> DataFrame:
+def elastic_net(m: Moments, plan: DataFrame, alphas: Sequence[float], l1_ratio: float = 1.0, tol: float = 1e-12) -> DataFrame:
     """Lasso (l1_ratio 1) or elastic net: descending alphas with warm starts on the hold-out, shared
     choice, refit on everything, then each target's weights rescaled to undo the shrinkage."""
     desc = sorted(alphas, reverse=True)
 
     def search(run, ids, parts, shift, targets):
         f, v, out = parts["fit"], parts["val"], []
-        sxx, sxy = f.sxx, f.sxy
-        w = np.zeros_like(sxy)
+        w = np.zeros_like(f.xy)
         for pos, a in enumerate(desc):
-            w = fista(sxx, sxy, f.n, a, l1_ratio, w, max_iter, tol)
+            w = sparse_fit(f, a, l1_ratio, w, tol)
             b = intercept(f, w)
             out.append(grid_rows(run, ids, pos, a, val_r2(v, w, b), evaluate(v, w, b)[0]))
         return pd.concat(out)
@@ -438,7 +463,7 @@ def elastic_net(
         sxx, sxy = f.sxx, f.sxy
         w = np.zeros_like(sxy)
         for step in [s for s in desc if s >= a]:
-            w = fista(sxx, sxy, f.n, step, l1_ratio, w, max_iter, tol)
+            w = sparse_fit(f, step, l1_ratio, w, tol)
         w = w * ((w * sxy).sum(axis=0) / ((w * (sxx @ w)).sum(axis=0) + 1e-10))
         return weight_rows(run, ids, w, intercept(f, w), shift, a, parts.get("test"))
 

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import scale, total, vector_sum
 from ..functions.columns import nan_to_null, pearson, spearman_brown
 from ..functions.joins import checked_broadcast
 from ..functions.ordering import grouped_median, hash_row_number, stable_hash
+from ..session import cut_lineage
 from .align import trim_to_common_length
 
+FLAT = 1e-24  # variance, as a share of the squared mean, that is rounding alone
 RELIABLE = 0.15  # fixed value: ceiling above which a unit counts as reliable
 
 
@@ -66,22 +69,51 @@ def trial_halves(trials: DataFrame, n_splits: int, seed: int) -> DataFrame:
     return ranked.select("split", "rep", F.when(F.col("_rk") <= F.floor(size / 2), 1).otherwise(2).alias("half"))
 
 
+def half_members(trials: DataFrame, n_splits: int, seed: int) -> DataFrame:
+    """(rep, member): for every split 1.0 where the repetition is in the first half, else 0.0, as one array."""
+    first = F.array_sort(F.collect_list(F.struct("split", (F.col("half") == 1).cast("double").alias("one"))))
+    return trial_halves(trials, n_splits, seed).groupBy("rep").agg(F.transform(first, lambda s: s["one"]).alias("member"))
+
+
 def split_half(trials: DataFrame, n_splits: int = 50, seed: int = 42, per_split: bool = False) -> DataFrame:
-    """Mean corrected half-to-half correlation over random halvings of the trial axis."""
-    halves = checked_broadcast(trial_halves(trials, n_splits, seed))
-    means = (
-        trials.join(halves, "rep")
-        .groupBy("unit", "split", "stimulus")
-        .agg(
-            F.avg(F.when(F.col("half") == 1, F.col("value"))).alias("h1"),
-            F.avg(F.when(F.col("half") == 2, F.col("value"))).alias("h2"),
-        )
+    """Mean corrected half-to-half correlation over random halvings of the trial axis.
+
+    A trial carries its halves in all splits as one array, so no trial is copied: one aggregate per (unit, stimulus) forms the half
+    sums of all splits, and two per unit the means and the products around them.  A cell without a value in a half is left out of that split.
+    """
+    value = F.col("value").cast("double")
+    members = trials.where(value.isNotNull()).join(checked_broadcast(half_members(trials, n_splits, seed)), "rep")
+    cells = members.groupBy("unit", "stimulus").agg(
+        vector_sum(scale("member", value)).alias("s1"), vector_sum("member").alias("n1"), F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")
     )
-    r = means.groupBy("unit", "split").agg(F.coalesce(pearson("h1", "h2"), F.lit(0.0)).alias("r"))
-    scored = r.withColumn("consistency", spearman_brown("r"))
+
+    def halves(s1: Column, n1: Column) -> Column:
+        whole = (n1 > 0) & (n1 < F.col("n"))
+        h1, h2 = F.coalesce(F.try_divide(s1, n1), F.lit(0.0)), F.coalesce(F.try_divide(F.col("s") - s1, F.col("n") - n1), F.lit(0.0))
+        return F.struct(whole.cast("double").alias("k"), F.when(whole, h1).otherwise(0.0).alias("h1"), F.when(whole, h2).otherwise(0.0).alias("h2"))
+
+    cells = cut_lineage(cells.select("unit", "stimulus", F.zip_with("s1", "n1", halves).alias("h")))
+    means = cells.groupBy("unit").agg(*[vector_sum(F.col("h")[c]).alias(c) for c in ("k", "h1", "h2")])
+    means = means.select("unit", "k", *[F.zip_with(c, "k", lambda x, k: F.coalesce(F.try_divide(x, k), F.lit(0.0))).alias(f"m{c}") for c in ("h1", "h2")])
+
+    def apart(h: Column, m: Column) -> Column:
+        a, b = h["k"] * (h["h1"] - m["mh1"]), h["k"] * (h["h2"] - m["mh2"])
+        return F.struct((a * b).alias("ab"), (a * a).alias("aa"), (b * b).alias("bb"))
+
+    around = cells.join(means, "unit").withColumn("p", F.zip_with("h", F.arrays_zip("mh1", "mh2"), apart))
+    sums = around.groupBy("unit").agg(*[vector_sum(F.col("p")[c]).alias(c) for c in ("ab", "aa", "bb")])
+
+    def corrected(s: Column) -> Column:
+        # a half that is constant but for rounding has no correlation
+        flat = (s["aa"] <= FLAT * s["k"] * s["mh1"] * s["mh1"]) | (s["bb"] <= FLAT * s["k"] * s["mh2"] * s["mh2"])
+        r = F.coalesce(F.when(~flat, F.try_divide(s["ab"], F.sqrt(s["aa"] * s["bb"]))), F.lit(0.0))
+        return spearman_brown(r)
+
+    scored = sums.join(means, "unit").select("unit", F.transform(F.arrays_zip("ab", "aa", "bb", "k", "mh1", "mh2"), lambda s: F.when(s["k"] > 0, corrected(s))).alias("c"))
     if per_split:
-        return scored.select("unit", "split", "consistency")
-    return scored.groupBy("unit").agg(F.avg("consistency").alias("consistency"))
+        return scored.select("unit", F.posexplode("c").alias("split", "consistency")).where("consistency is not null")
+    there = F.filter("c", lambda x: x.isNotNull())
+    return scored.select("unit", F.try_divide(total(there), F.size(there)).alias("consistency"))
 
 
 def one_vs_all(trials: DataFrame, per_trial: bool = False) -> DataFrame:

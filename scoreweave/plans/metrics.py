@@ -69,13 +69,13 @@ def holdout_ridge(inp: MetricInput, alphas: Sequence[float] = L.RIDGE_ALPHAS) ->
 
 
 @register("torch_lasso")
-def lasso(inp: MetricInput, alphas: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), **kw) -> DataFrame:
+def lasso(inp: MetricInput, alphas: Sequence[float] = L.RIDGE_ALPHAS, **kw) -> DataFrame:
     rows, plan = parted(inp, with_val=True)
     return L.elastic_net(_moments(inp, rows), plan, alphas, 1.0, **kw)
 
 
 @register("torch_elastic")
-def elastic(inp: MetricInput, alphas: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), **kw) -> DataFrame:
+def elastic(inp: MetricInput, alphas: Sequence[float] = L.RIDGE_ALPHAS, **kw) -> DataFrame:
     rows, plan = parted(inp, with_val=True)
     return L.elastic_net(_moments(inp, rows), plan, alphas, 0.5, **kw)
 

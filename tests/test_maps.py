@@ -94,18 +94,49 @@ def test_blocks_of_targets_and_runs_give_the_same_errors(rows, spark, monkeypatc
 
 def test_lasso_satisfies_optimality_and_rescaling(rows, spark):
     m = gram.moments(rows, "part", "x", "y")
-    w, b, got = weights(L.elastic_net(m, L.holdout_design(spark), [0.5], 1.0, max_iter=20000, tol=1e-12))
+    w, b, got = weights(L.elastic_net(m, L.holdout_design(spark), [0.5], 1.0))
     xt, yt = X[PART != "test"], Y[PART != "test"]
     xc, yc = xt - xt.mean(0), yt - yt.mean(0)
     for j in range(T):
         assert (w[:, j] @ xc.T @ yc[:, j]) == pytest.approx(w[:, j] @ xc.T @ xc @ w[:, j], rel=1e-6)
-    raw = L.fista(xc.T @ xc, xc.T @ yc, len(xc), 0.5, 1.0, np.zeros((D, T)), 20000, 1e-13)
+    block = L.Block(len(xt), xt.sum(0), xt.T @ xt, yt.sum(0), (yt * yt).sum(0), xt.T @ yt)
+    raw = L.sparse_fit(block, 0.5, 1.0, np.zeros((D, T)))
+    assert (L.sparse_gap(block, raw, 0.5, 1.0) <= 1e-11 * block.syy).all()
     grad = (xc.T @ xc @ raw - xc.T @ yc) / len(xc)
     active = np.abs(raw) > 1e-9
     np.testing.assert_allclose(grad[active], -0.5 * np.sign(raw[active]), atol=1e-6)
     assert (np.abs(grad[~active]) <= 0.5 + 1e-6).all()
 
 
+@pytest.mark.parametrize("l1", [1.0, 0.5])
+def test_sparse_weights_do_not_depend_on_the_block(rows, spark, monkeypatch, l1):
+    """All 21 alphas; alone in a block or with all others a target has the same weights."""
+    m = gram.moments(rows, "part", "x", "y")
+    whole = weights(L.elastic_net(m, L.holdout_design(spark), L.RIDGE_ALPHAS, l1))
+    monkeypatch.setattr(L, "TARGET_BLOCK", 1)
+    alone = weights(L.elastic_net(m, L.holdout_design(spark), L.RIDGE_ALPHAS, l1))
+    np.testing.assert_allclose(whole[0], alone[0], rtol=1e-9, atol=1e-12)
+    assert [r["alpha"] for r in whole[2]] == [r["alpha"] for r in alone[2]]
+
+
+def test_elastic_net_optimality_on_correlated_features():
+    """Also with nearly equal features, where plain steps are slow; the gap is a bound, and zero weights stay zero above the largest correlation."""
+    g = np.random.default_rng(1)
+    base = g.normal(size=(80, 3))
+    x = np.hstack([base, base + 1e-3 * g.normal(size=(80, 3))])
+    y = x @ g.normal(size=(6, 4)) + g.normal(size=(80, 4))
+    f = L.Block(80, x.sum(0), x.T @ x, y.sum(0), (y * y).sum(0), x.T @ y)
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    for alpha in (1e-4, 0.1):
+        w = L.sparse_fit(f, alpha, 0.5, np.zeros((6, 4)))
+        grad = (xc.T @ (xc @ w - yc)) / 80 + alpha * 0.5 * w
+        on = w != 0
+        np.testing.assert_allclose(grad[on], -alpha * 0.5 * np.sign(w[on]), atol=1e-6)
+        assert (np.abs(grad[~on]) <= alpha * 0.5 + 1e-6).all()
+    top = np.abs(xc.T @ yc).max() / 80
+    assert (L.sparse_fit(f, top * 1.001, 1.0, np.zeros((6, 4))) == 0).all()
+
+
 def test_constrained_and_block_ridge(rows, spark):
     sub = rows.withColumn("y", F.slice("y", 1, 3))
     m = gram.moments(sub, "part", "x", "y")

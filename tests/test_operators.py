@@ -53,6 +53,25 @@ def test_reliability_hand_cases(spark):
     assert reliability.one_vs_all(t).first()["consistency"] == pytest.approx(2 * r / (1 + r))
 
 
+def test_split_half_copies_no_trial(spark):
+    """Cells that lack a half, NULL values, a flat unit; against pandas split by split."""
+    rng = random.Random(3)
+    rows = [(u, s, r, None if rng.random() < 0.1 else (7.25 if u == 2 else rng.gauss(s, 2.0))) for u in range(3) for s in range(9) for r in range(6) if rng.random() < 0.6]
+    t = spark.createDataFrame(rows, "unit int, stimulus int, rep int, value double")
+    halves = {(r["split"], r["rep"]): r["half"] for r in reliability.trial_halves(t, 8, 42).collect()}
+    got = {(r["unit"], r["split"]): r["consistency"] for r in reliability.split_half(t, 8, per_split=True).collect()}
+    pdf, want = pd.DataFrame(rows, columns=["unit", "stimulus", "rep", "value"]), {}
+    for split in range(8):
+        pdf["half"] = [halves[split, r] for r in pdf["rep"]]
+        for unit, g in pdf.dropna().groupby("unit"):
+            cell = g.pivot_table(index="stimulus", columns="half", values="value").dropna()
+            r = 0.0 if unit == 2 else cell[1].corr(cell[2])
+            want[unit, split] = 2 * r / (1 + r)
+    assert got == pytest.approx(want, abs=1e-9)
+    mean = {r["unit"]: r["consistency"] for r in reliability.split_half(t, 8).collect()}
+    assert mean[0] == pytest.approx(sum(v for (u, _), v in want.items() if u == 0) / 8)
+
+
 def test_circular_variance_hand_cases(spark):
     peak = [(1, a * 22.5, 5.0 if a == 3 else 0.0) for a in range(8)] + [(2, a * 22.5, 4.0) for a in range(8)]
     df = spark.createDataFrame(peak, "unit int, angle double, response double")
