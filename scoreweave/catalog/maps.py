@@ -292,6 +292,24 @@ def _labelled(spark, d):
     return table(spark, d, "labels").join(doc, "doc_id").select("doc_id", vec.alias("x"), F.col("quality").alias("label"), "toxic")
 
 
+@query(f"""WITH RECURSIVE r AS (SELECT l_quantity AS x, l_extendedprice > 40000 AS y FROM lineitem), m AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM r),
+ d AS (SELECT (x - m) / s AS x, y::INT::DOUBLE AS y FROM r, m),
+ it AS (SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL
+  SELECT i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) FROM (
+   SELECT i, w, b, w / 10 + sum((p - y) * x) AS gw, sum(p - y) AS gb, 1 / 10 + sum(p * (1 - p) * x * x) AS hww, sum(p * (1 - p)) AS hbb, sum(p * (1 - p) * x) AS hwb
+   FROM (SELECT it.*, d.x, d.y, 1 / (1 + exp(-(w * d.x + b))) AS p FROM it, d WHERE i < 30) GROUP BY i, w, b))
+ SELECT {R('w')} AS w, {R('b')} AS b, (SELECT count(*) FROM d WHERE (it.w * x + it.b > 0) = (y = 1)) AS n_right FROM it WHERE i = 30""")
+def logistic_one_feature(spark, d):
+    """A classifier of one feature, whose Newton steps SQL can take."""
+    from ..operators.classify import classify, fit_classifier
+
+    li = table(spark, d, "lineitem")
+    rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array("l_quantity").alias("x"), (F.col("l_extendedprice") > 40000).cast("int").alias("label"))
+    fit = fit_classifier(rows, "id", "x", "label", [10.0])
+    right = classify(rows, fit, ["label"], "x").agg(F.count_if(F.col("pred") == F.col("label")).alias("n_right"))
+    return right.select(r6(F.lit(float(fit.w[0, 0]))).alias("w"), r6(F.lit(float(fit.w[1, 0]))).alias("b"), "n_right")
+
+
 @query()
 def logistic_probe(spark, d):
     """Behavioural probe: C by 5-fold accuracy, then scores against both targets on the held-out rows."""
@@ -300,7 +318,7 @@ def logistic_probe(spark, d):
     from ..operators.splits import holdout
 
     rows = holdout(_labelled(spark, d), "doc_id", 0.2, "label")
-    fit = fit_classifier(rows.where(~F.col("is_val")), "doc_id", "x", "label", (1e-2, 1.0, 100.0), 5)
+    fit = fit_classifier(rows.where(~F.col("is_val")), "doc_id", "x", "label")
     pred = classify(rows.where("is_val"), fit, ["doc_id", "label", "toxic"], "x").withColumn("all", F.lit("all"))
     out = dual_scores(pred, ["all"], "pred", "label", "toxic")
     return out.select(*[r6(c).alias(c) for c in out.columns if c.endswith(("accuracy", "kappa", "macro"))])

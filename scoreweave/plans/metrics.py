@@ -174,7 +174,7 @@ def loss_regressor(inp: MetricInput, loss: str = "mse", weight: float = 0.5) ->
 
 
 @register("online_linear_classifier")
-def linear_classifier(inp: MetricInput, label: str = "label", c_grid: Sequence[float] = (1.0,)) -> DataFrame:
+def linear_classifier(inp: MetricInput, label: str = "label", c_grid: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)) -> DataFrame:
     """Accuracy, F1 and kappa of a linear classifier on the test rows."""
     from ..operators.classify import classify, fit_classifier
     from ..operators.scoring import classification_scores

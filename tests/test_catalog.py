@@ -4,9 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from scoreweave import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+catalog.load()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def duck():
 
 
 def test_registry_is_consistent():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert len(QUERIES) > 150
 
 
@@ -25,6 +27,6 @@ def test_matches_sql(spark, duck, name):
     assert diff in ("", "no rows"), diff
 
 
-@pytest.mark.parametrize("name", ["ridge_leave_one_out", "one_to_one_matching", "map_predictions", "versa", "scoring_run"])
+@pytest.mark.parametrize("name", ["ridge_leave_one_out", "one_to_one_matching", "map_predictions", "versa", "scoring_run", "logistic_probe", "linear_classifier", "lasso", "ridge_subsampled_search"])
 def test_returns_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
