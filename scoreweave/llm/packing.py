@@ -10,6 +10,7 @@ piece finds its place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -155,6 +156,11 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], count: dict[int, int])
     return first, np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer sees letters only: composed and lower-cased, some letters end in a mark that would join the marks behind."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class _WordIds:
     """Ids of words as little-endian bytes, remembered while they are in use.
 
@@ -193,7 +199,7 @@ class _WordIds:
                 self.ids[w] = self.older[w]
                 continue
             core = w.lower().rstrip(MARKS)  # bytes: A-Z only
-            if core == w or not core.decode().isalpha():
+            if core == w or not (core.isalpha() or _letters(core.decode())):
                 whole.add(w)
             else:
                 split[w] = (core, w[len(core) :])
