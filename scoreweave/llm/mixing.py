@@ -17,6 +17,7 @@ from .common import col, others, settle
 
 HALVINGS = 40
 ADDED = ("epoch", "block", "n_tokens")
+OWN = ("_source", "_passes", "_whole", "_border", "_run")
 FEW_SOURCES = 4000  # decisions on so many sources (8 KB each) are broadcast, more are joined; the rows are the same
 
 
@@ -87,12 +88,12 @@ def mix_sources(
     ``repeats``: most passes over a source; ``budget``: tokens of the mix as a multiple of those given, or None for
     the smallest budget that takes every document at least once (then nothing is left out, rarer sources are repeated).
     A null source is a source of its own; a null or empty text counts one token; a null id is hashed like an empty one;
-    repeated rows lie in one block and are taken in turn.  Columns epoch, block, n_tokens, _source are replaced.  An empty table
+    repeated rows lie in one block and are taken in turn.  Columns epoch, block, n_tokens are replaced, columns named like those of OWN go.  An empty table
     gives an empty table.
     """
     key = F.coalesce(F.concat(F.lit("="), col(source_col).cast("string")), F.lit(""))
     ident = F.coalesce(col(id_col).cast("string"), F.lit(""))
-    rest = others(docs, *ADDED, "_source")
+    rest = others(docs, *ADDED, *OWN)
     block = F.pmod(_hash(F.lit(seed), ident), F.lit(blocks))
     rows = docs.select(*[col(c) for c in rest], count_tokens(col(text_col)).alias("n_tokens"), key.alias("_source"), block.alias("block"))
     sums = settle(rows.groupBy("_source", "block").agg(F.sum("n_tokens").alias("_in_block")))

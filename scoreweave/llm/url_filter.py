@@ -156,12 +156,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: Da
     ``rules``: (host, path prefix, verdict), at most MAX_RULES; a rule fits its host and all subdomains.
     Pages without a rule are blocked if their host or a domain above it stands in ``blocked``, else allowed.
     Null urls and those without :// have an empty host and path, fit no rule and are allowed.  Among equally
-    long rules the first wins; repeated rows are judged alike; columns named host, path, rule, verdict or _host are replaced.
+    long rules the first wins; repeated rows are judged alike; columns named host, path, rule, verdict are replaced, _host and _said go.
     An empty table gives an empty table, an empty list blocks nothing.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules; put more into the block list")
-    rest = others(pages, "host", "path", "rule", "verdict", "_host")
+    rest = others(pages, "host", "path", "rule", "verdict", "_host", "_said")
     url = col(url_col).cast("string")
     named = pages.select(*[col(c) for c in rest], url_host(url).alias("host"), url_path(url).alias("path"))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in named.schema.fields)
