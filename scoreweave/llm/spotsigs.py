@@ -29,6 +29,7 @@ COMMON = (
 GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"  # what separates words: ASCII without letters and digits
 PART = 8 << 20  # code points in a range of neighbours
 EACH = 8  # ranges in a task, so that tasks are even
+MOST = 16_384  # ranges whose first keys the driver holds; in a larger table they are longer, and their tasks spill
 FAN = 256
 
 
@@ -110,7 +111,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         return empty.select("*", prepare(F.col("text")).alias("_own"), prepare(F.col("text")).alias("_next")) if prepare else empty
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(EACH * tasks, -(-sums["c"] // PART))
-    groups = _ranges(keys, min(count, sums["n"]))
+    groups = _ranges(keys, min(count, sums["n"], MOST))
     heads = sum(map(len, groups))
     rows = rows.withColumn("_m", F.lit(1).cast("long"))
     if sums["m"] > 1:  # repeated rows: one stands for all, so a hot row never meets itself
@@ -123,7 +124,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     home = F.struct(F.col("_range").alias("_range"), F.lit(False).alias("_guest"))
     guest = F.struct(F.pmod(F.col("_range") - 1, F.lit(heads)).alias("_range"), F.lit(True).alias("_guest"))
     rows = rows.withColumn("_to", F.explode(F.when(F.col("_first"), F.array(home, guest)).otherwise(F.array(home))))
-    rows = rows.select("_id", "_h", "text", "_m", "_to._range", "_to._guest").repartition(max(tasks, heads // EACH), "_range")
+    rows = rows.select("_id", "_h", "text", "_m", "_to._range", "_to._guest").repartition(max(tasks, heads if heads >= MOST else heads // EACH), "_range")
     if prepare:
         rows = rows.withColumn("_own", prepare(F.col("text")))
     order = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc(), F.col("_h").desc())

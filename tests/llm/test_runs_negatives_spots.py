@@ -6,9 +6,11 @@ from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from scoreweave.llm import hard_negatives, periodic_runs, queries, spotsigs
+from scoreweave.llm import hard_negatives, mixing, packing, periodic_runs, queries, spotsigs, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -173,6 +175,8 @@ def test_spots_brute_force(spark, monkeypatch, part):
     """Neighbours across many ranges, repeated rows, ids without a text and texts without an id; clashing columns."""
     monkeypatch.setattr(spotsigs, "PART", part)
     monkeypatch.setattr(spotsigs, "FAN", 3)
+    if part == 40:
+        monkeypatch.setattr(spotsigs, "MOST", 11)
     rnd = random.Random(4)
     vocabulary = ["the", "of", "is", "une", "der", "Haus,", "été", "cat.", "RUNS", "x1", "ñ-o", "y"]
     rows = [(rnd.choice([i, i, 7]), " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(40)))) for i in range(-20, 60)]
@@ -208,3 +212,28 @@ def test_spots_tell_edits_from_strangers(spark):
     long = [r for r in rows if r["n_chars"] > 300]
     assert sum(r["near_edited"] > r["near_next"] for r in long) / len(long) > 0.98
     assert sum(r["near_edited"] for r in long) / len(long) > 0.4 > sum(r["near_next"] for r in long) / len(long)
+
+
+def test_packing_words_of_any_script():
+    """Word by word or whole, the ids are the tokenizer's: letters that end in marks once composed or lower-cased, capitals, signs."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = Tokenizer.from_file(path)
+    rnd = random.Random(11)
+    signs = ["İ", "I", "ı", "Σ", "ς", "ß", "ﬁ", "é", "e\u0301", "\u0958", "क", "़", "漢", "ά", "A", "z", "'", "s", "9", "-", "😀", "\u0130\u0307"]
+    texts = ["bu TARİHİ. TURİZMİ, İ!"] + ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 6))) + rnd.choice(["", ".", "?!", ",;", ":", "..."]) for _ in range(3000)]
+    own = packing._WordIds(path)
+    for t in texts:
+        words = t.encode().split()
+        known = own.learn(set(words))
+        assert np.frombuffer(b"".join(known[w] for w in words), "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids, t
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}", 1) for i in range(30)], "doc_id long, text string, source string, epoch int")
+    names = ["_passes", "_whole", "_border", "_run", "_source", "Block"]
+    mixed = mixing.mix_sources(docs.selectExpr("*", *[f"'x' AS {n}" for n in names]))
+    assert {r["doc_id"] for r in mixed.collect()} == set(range(30)) and "Block" not in mixed.columns
+    pages = spark.createDataFrame([(1, "https://ads.example.com/fr/x"), (2, None)], "page_id long, url string")
+    hosts = spark.createDataFrame([("example.com",)], "host string")
+    out = url_filter.filter_urls(pages.selectExpr("*", *[f"1 AS {n}" for n in ("_said", "_host", "Rule", "_entry", "_shard")]), [], hosts).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "allow"}
