@@ -13,7 +13,7 @@ from scoreweave.llm.common import shared_folder
 from scoreweave.llm.queries import TOKENIZER, categories, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-ORACLE_SQL = None  # the packing stage depends on a tokenizer; tests compare all stages with brute force
+ORACLE_SQL = None  # the classifier and the tokenizer have no SQL; tests run all stages and test their operators apart
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
