@@ -9,7 +9,8 @@ Independent trees are repeated to the target recall: the deeper the paths went,
 
 Groups of copies do not blow up: equal sets are one class, members of a large node are compared with its
 smallest member at once, nodes whose members share one component are closed, a small node gives a forest of its
-pairs first and the others only where confirming the forest leaves their ends in different components.
+pairs first; where confirming the forest leaves ends in different components, its members in doubt meet again with their full sets
+and the node's task gives a forest of confirmed links.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .components import components
 SHINGLE = 5
 FUNCTIONS = 128
 LEAF, LEAF_MOST = 256, 2048  # members compared exhaustively: at the roots, doubling with each level up to the second
+TOGETHER = 2_000_000  # shingles of members that meet in one task with their full sets
 SURE = 106  # of FUNCTIONS equal: taken as linked while branching, confirmed in the end
 _rng = np.random.Generator(np.random.PCG64(20240607))
 FACTORS = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
@@ -134,32 +136,140 @@ def spanning(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
     return pairs[:, kept]
 
 
+def _fixed(column: pa.Array) -> np.ndarray:
+    """Bytes of a binary column whose values are equally long, one row each."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+
+
+def _near(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, rows: range, similarity: float, least: int) -> np.ndarray:
+    """(i, j, same): pairs of ``rows`` with larger ids of other components, where sizes and sketches allow the similarity."""
+    at = slice(rows.start, rows.stop)
+    i, j = np.nonzero((rep[at, None] < rep) & (comp[at, None] != comp) & (np.minimum(n[at, None], n) >= similarity * np.maximum(n[at, None], n) - 1e-9))
+    i += rows.start
+    same = (sk[i] == sk[j]).sum(1)
+    return np.stack([i, j, same])[:, same >= least]
+
+
 def _leaf_pairs(similarity: float, least: int, sure: int):
     """Pairs of a small node from different components whose sizes and sketches allow the similarity: a forest that
-    spans them, not each with each (all, with ``sure`` above FUNCTIONS).  In a part of a large node: its smallest member with the others."""
+    spans them, not each with each.  In a part of a large node: its smallest member with the others."""
 
     def run(batches):
         for b in batches:
+            lists = b.column("members")
+            rep, comp, n, sk = lists.flatten().flatten()
+            rep, comp, n, sk = rep.to_numpy(), comp.to_numpy(), n.to_numpy(), _fixed(sk)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
             found: tuple[list, ...] = ([], [], [])
-            for members, star in zip(b.column("members").to_pylist(), b.column("star").to_pylist()):
-                rep, comp, n = (np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n"))
-                sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                near: list[np.ndarray] = []
-                for at in [rep.argmin()] if star else range(0, len(rep), 64):  # some rows against all
-                    to = at + (1 if star else 64)
-                    r, m = rep[at:to, None], n[at:to, None]
-                    i, j = np.nonzero((r < rep) & (comp[at:to, None] != comp) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9))
-                    i += at
-                    same = (sk[i] == sk[j]).sum(1)
-                    near.append(np.stack([i, j, same])[:, same >= least])
-                i, j, same = spanning(np.concatenate(near, 1), len(rep), sure)
-                for c, v in zip(found, (rep[i], rep[j], same)):
+            for lo, hi, star in zip([0, *ends[:-1]], ends, b.column("star").to_pylist()):
+                own = [x[lo:hi] for x in (rep, comp, n, sk)]
+                low = int(own[0].argmin())
+                blocks = [range(low, low + 1)] if star else [range(k, min(k + 64, hi - lo)) for k in range(0, hi - lo, 64)]  # some rows against all
+                pairs = np.concatenate([_near(*own, rows, similarity, least) for rows in blocks], 1)
+                i, j, same = spanning(pairs, hi - lo, min(sure, FUNCTIONS))
+                for c, v in zip(found, (own[0][i], own[0][j], same)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], ["a", "b", "same"])
 
     return run
 
 
+def _runs(batches, key: str):
+    """Tables of rows with equal ``key``, of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and last != k[lo]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = k[lo]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+OPEN = "node long, rep long, comp long, n long, sketch binary"
+
+
+def _open_members(similarity: float, least: int):
+    """Members of a node that may be linked with a member of another component: those that need their full sets."""
+
+    def run(batches):
+        for b in _runs(batches, "node"):
+            own = [b.column(c).to_numpy() for c in ("rep", "comp", "n")] + [_fixed(b.column("sketch"))]
+            asked = np.zeros(b.num_rows, bool)
+            for k in range(0, b.num_rows, 64):
+                i, j, _ = _near(*own, range(k, min(k + 64, b.num_rows)), similarity, least)
+                asked[i] = asked[j] = True
+            if asked.any():
+                yield b.filter(pa.array(asked))
+
+    return run
+
+
+class _Overlap:
+    """Sizes of intersections between the full sets of a node's members."""
+
+    def __init__(self, column: pa.Array):
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+        self.owner = None
+
+    def _post(self) -> None:
+        """Postings: the members that hold a shingle, those of one shingle together."""
+        size = [len(s) for s in self.sets]
+        every, self.ids = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.from_ = np.concatenate([[0], np.cumsum(size)])
+        order = np.argsort(self.ids, kind="stable")
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=len(every)))])
+
+    def __call__(self, i: int, js: np.ndarray) -> np.ndarray:
+        if len(js) <= 8 and self.owner is None:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in js])
+        if self.owner is None:
+            self._post()
+        own = self.ids[self.from_[i] : self.from_[i + 1]]
+        start, many = self.first[own], self.first[own + 1] - self.first[own]
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sets))[js]
+
+
+def _node_links(similarity: float, least: int, percent: int):
+    """(a, b, ca, cb): confirmed links that join the components of a node's members, a forest of them; every pair in doubt is decided on the full sets."""
+
+    def run(batches):
+        for b in _runs(batches, "key"):
+            rep, comp, n, part = (b.column(c).to_numpy() for c in ("rep", "comp", "n", "part"))
+            sk, mixed, both = _fixed(b.column("sketch")), b.column("mixed").to_numpy(zero_copy_only=False), _Overlap(b.column("full"))
+            label = np.unique(comp, return_inverse=True)[1]
+            links = []
+            for k in range(0, len(rep), 64):
+                i, j, _ = _near(rep, comp, n, sk, range(k, min(k + 64, len(rep))), similarity, least)
+                fits = ~(mixed[i] & (part[i] == part[j]))
+                i, j = i[fits], j[fits]
+                for x in np.unique(i).tolist():
+                    js = j[i == x]
+                    js = js[label[js] != label[x]]
+                    if not len(js):
+                        continue
+                    shared = both(x, js)
+                    for y in js[100 * shared >= percent * (n[x] + n[js] - shared)].tolist():
+                        if label[x] != label[y]:
+                            links.append((x, y))
+                            label[label == label[y]] = label[x]
+            if links:
+                x, y = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rep[x], rep[y], comp[x], comp[y])], ["a", "b", "ca", "cb"])
+
+    return run
+
+
 def _star_pairs(similarity: float, least: int):
     """Members of a node with another member beside them."""
 
@@ -248,15 +358,29 @@ def _candidates(sets: DataFrame, similarity: float, trees: range, sure: int) ->
     return out.groupBy("a", "b").agg(F.max("same").alias("same")), small_nodes, depth
 
 
-def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, same): all untested pairs of the small nodes whose ends still lie in different components after the forests were confirmed."""
+def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
+    """(node, component): ``groups`` joined by all links in the small nodes that the confirmed forests left out.
+
+    Nodes whose members still lie in different components are compared again by sketches; members in doubt meet in the node with their full
+    sets, and its task confirms pairs and gives a forest of links, so no pair leaves a node unconfirmed.  A node with more than ``TOGETHER`` shingles
+    is dealt in parts, every two of which meet."""
     known = leaves.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
     known = known.select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
     torn = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
     again = known.join(torn, "node").groupBy("rep").agg(F.min("comp").alias("comp"), F.collect_set("node").alias("nodes")).join(_brief(sets), "rep")
-    again = again.withColumn("node", F.explode("nodes")).groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("members"))
-    pairs = again.select("members", F.lit(False).alias("star")).mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    again = again.select(F.explode("nodes").alias("node"), "rep", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node")
+    asked = settle(again.mapInArrow(_open_members(similarity, _least(similarity)), OPEN))
+    if asked.isEmpty():
+        return groups
+    parts = asked.groupBy("node").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts"))
+    dealt = asked.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("node", F.least("part", "with"), F.greatest("part", "with"))
+    # two parts that meet leave pairs inside a part to the part's own meeting
+    dealt = dealt.select(key.alias("key"), "rep", "comp", "n", "sketch", "part", (F.col("part") != F.col("with")).alias("mixed"))
+    dealt = dealt.join(full, "rep").repartition("key").sortWithinPartitions("key")
+    links = dealt.mapInArrow(_node_links(similarity, _least(similarity), round(100 * similarity)), "a long, b long, ca long, cb long")
+    return _merged(groups, settle(links))
 
 
 def _labels(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -346,10 +470,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cand = settle(cand)
     full = _full(plain, all_sets, sets, cand)
     groups, tested = _confirmed(cand, full, percent)
-    rest = settle(_second_look(leaves, sets, groups, tested, similarity))
-    if not rest.isEmpty():  # their ends are among the candidates' ends
-        groups, further = _confirmed(rest, full, percent, groups)
-        tested = tested.unionByName(further)
+    groups = _second_look(leaves, sets, groups, full, similarity)  # members in doubt are among the candidates' ends
     while (needed := trees_for(similarity, recall, kept(similarity, depth))) > trees:  # paths went deeper than the trees so far allow for
         own = groups.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         known = settle(sets.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
@@ -358,10 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = full.unionByName(_full(plain, all_sets, sets, new, full))
         groups, further = _confirmed(new, full, percent, groups)
         tested = settle(tested.unionByName(further))
-        rest = settle(_second_look(leaves, sets, groups, tested, similarity))
-        if not rest.isEmpty():
-            groups, further = _confirmed(rest, full, percent, groups)
-            tested = tested.unionByName(further)
+        groups = _second_look(leaves, sets, groups, full, similarity)
         cand, trees, depth = cand.unionByName(new), needed, max(depth, reached)
     doubt = settle(_apart(tested.where("not ok").join(cand.where(F.col("same") >= SURE), ["a", "b"], "left_semi"), groups))
     if not doubt.isEmpty():  # pairs taken as linked were not: the components they hold together branch again without such pruning
@@ -370,20 +488,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = inner.select(F.col("node").alias("rep"), "own", "component").unionByName(torn.select(F.col("node").alias("rep"), F.col("node").alias("own"), "component"))
         # small parts are compared exhaustively at once, large ones by trees
         size = again.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        member_of = settle(again.join(size, "component").join(sets, "rep").select("rep", "key", "n", "sig", "own", "component", "size"))
-        near = _brief(member_of.where(F.col("size") <= LEAF_MOST), "own", "component").groupBy("component")
-        near = near.agg(F.collect_list(F.struct("rep", F.col("own").alias("comp"), "n", "sketch")).alias("members")).select("members", F.lit(False).alias("star"))
-        more = near.mapInArrow(_leaf_pairs(similarity, _least(similarity), FUNCTIONS + 1), "a long, b long, same long")
+        member_of = settle(again.join(size, "component").join(sets, "rep").select("rep", "n", "sig", "own", "component", "size"))
+        small = member_of.where(F.col("size") <= LEAF_MOST).select(F.col("component").alias("node"), "rep")
         large = member_of.where(F.col("size") > LEAF_MOST).select("rep", "n", "sig", F.col("own").alias("comp"))  # confirmed components stay closed
+        groups = _second_look(small, sets, groups, full, similarity)
         if not large.isEmpty():
             large, done = settle(large), 0
             while done < trees:
-                new, _, depth = _candidates(large, similarity, range(done, trees), FUNCTIONS + 1)
-                more, done = more.unionByName(new), trees
+                new, leaves, depth = _candidates(large, similarity, range(done, trees), FUNCTIONS + 1)
+                groups, _ = _confirmed(settle(new), full, percent, groups)
+                groups, done = _second_look(leaves, sets, groups, full, similarity), trees
                 trees = max(trees, trees_for(similarity, recall, kept(similarity, depth)))
-        more = settle(_apart(more.select("a", "b").distinct(), groups))
-        if not more.isEmpty():
-            groups = _merged(groups, _checked(more, full, percent).where("ok"))
     return _answer(all_sets, member, groups, repeated, id_col)
 
 

@@ -390,3 +390,26 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     docs = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert 0 < len({r["doc_id"] for r in rows}) and {r["doc_id"] for r in rows} <= docs
+
+
+def test_nodes_settle_doubt_in_parts(spark, monkeypatch):
+    """Branching nodes of real sets, members in doubt dealt in many parts: the same components as comparing all pairs."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "LEAF_MOST", 32)
+    monkeypatch.setattr(near_dedup, "TOGETHER", 2_000)
+    rnd = random.Random(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rnd.choice([2, 3, 4])):
+            w[rnd.randrange(len(w))] = f"e{rnd.random()}"
+        rows.append((len(rows), " ".join(w)))
+    sets = [set(near_dedup.shingles(t.encode()).tolist()) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp)) and 1 < len(set(comp)) < len(rows)
