@@ -194,21 +194,28 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-OPEN = "node long, rep long, comp long, n long, sketch binary"
+OPEN = "node long, rep long, comp long, n long, sketch binary, low long"
 
 
 def _open_members(similarity: float, least: int):
-    """Members of a node that may be linked with a member of another component: those that need their full sets."""
+    """Members of a node that may be linked with a member of another component, so that they need their full sets,
+    each with the smallest member that a chain of such pairs leads to."""
 
     def run(batches):
         for b in _runs(batches, "node"):
             own = [b.column(c).to_numpy() for c in ("rep", "comp", "n")] + [_fixed(b.column("sketch"))]
+            blocks = [range(k, min(k + 64, b.num_rows)) for k in range(0, b.num_rows, 64)]
+            i, j, _ = np.concatenate([_near(*own, rows, similarity, least) for rows in blocks], 1)
+            if not len(i):
+                continue
+            low, was = own[0].copy(), None
+            while was is None or (low != was).any():
+                was = low.copy()
+                np.minimum.at(low, j, low[i])
+                np.minimum.at(low, i, low[j])
             asked = np.zeros(b.num_rows, bool)
-            for k in range(0, b.num_rows, 64):
-                i, j, _ = _near(*own, range(k, min(k + 64, b.num_rows)), similarity, least)
-                asked[i] = asked[j] = True
-            if asked.any():
-                yield b.filter(pa.array(asked))
+            asked[i] = asked[j] = True
+            yield b.append_column("low", pa.array(low)).filter(pa.array(asked))
 
     return run
 
@@ -361,9 +368,9 @@ def _candidates(sets: DataFrame, similarity: float, trees: range, sure: int) ->
 def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
     """(node, component): ``groups`` joined by all links in the small nodes that the confirmed forests left out.
 
-    Nodes whose members still lie in different components are compared again by sketches; members in doubt meet in the node with their full
-    sets, and its task confirms pairs and gives a forest of links, so no pair leaves a node unconfirmed.  A node with more than ``TOGETHER`` shingles
-    is dealt in parts, every two of which meet."""
+    Nodes whose members still lie in different components are compared again by sketches.  Members in doubt meet with their full sets, once if
+    the chains of doubtful pairs that hold them span at most ``LEAF_MOST`` members, else in each of their nodes; the task confirms pairs and gives
+    a forest of links, so no pair leaves it unconfirmed.  Where more than ``TOGETHER`` shingles meet, they are dealt in parts, every two of which meet."""
     known = leaves.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
     known = known.select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
     torn = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
@@ -372,6 +379,11 @@ def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, full: Da
     asked = settle(again.mapInArrow(_open_members(similarity, _least(similarity)), OPEN))
     if asked.isEmpty():
         return groups
+    chains = components(asked.select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+    spans = chains.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= LEAF_MOST)
+    short = chains.join(spans, "component").select(F.col("node").alias("rep"), F.xxhash64("component", F.lit("chain")).alias("chain"))
+    asked = asked.join(short, "rep", "left").withColumn("node", F.coalesce("chain", "node"))
+    asked = settle(asked.select("node", "rep", "comp", "n", "sketch").dropDuplicates(["node", "rep"]))
     parts = asked.groupBy("node").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts"))
     dealt = asked.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
