@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries built and run inside leave no shuffle files behind once they end.
+
+    For many rounds that each end in ``settle``: the next round reads checkpoints.  A frame built inside is not to be run twice outside."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def others(df: DataFrame, *taken: str) -> list[str]:
     """Columns whose names, compared as Spark does, are none of ``taken``."""
     low = {t.lower() for t in taken}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, gram_hashes, id_key, mix, settle, texts, word_hashes, words
+from .common import col, gram_hashes, id_key, mix, settle, short_shuffles, texts, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -466,6 +466,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node with the links of all of them.  A null id is a document of its own below all others, returned as null.  Other columns are
     ignored.  An empty table gives an empty table.
     """
+    with short_shuffles(docs.sparkSession):
+        found = _groups(docs, id_col, text_col, similarity, recall)
+    return _answer(*found, id_col)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Sets of all rows, classes of their members, components of the classes, and whether rows share an id."""
     plain = docs.select(id_key(id_col).alias("_id"), col(text_col).cast("string").alias("_text"))
     all_sets = settle(plain.mapInArrow(_keys, "_id long, n long, key binary"))
     some = all_sets.where("n > 0")
@@ -511,7 +518,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 groups, _ = _confirmed(settle(new), full, percent, groups)
                 groups, done = _second_look(leaves, sets, groups, full, similarity), trees
                 trees = max(trees, trees_for(similarity, recall, kept(similarity, depth)))
-    return _answer(all_sets, member, groups, repeated, id_col)
+    return all_sets, member, groups, repeated
 
 
 def _full(plain: DataFrame, all_sets: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
