@@ -15,6 +15,7 @@ from ..operators.splits import kfold
 from ..operators.tiles import gram_tiles, ridge_subsampled, ridge_tiles
 from ..plans import runs
 from ..plans.metrics import parted
+from ..sources.store import latest_scores
 from . import query
 from .views import PAIRS, R, halves, scratch, stories, table, vectors
 
@@ -171,6 +172,116 @@ def elastic_net_one_feature(spark, d):
     return one_feature(spark, d, 0.5)
 
 
+# ---------------------------------------------------------------- the other maps on two features
+
+
+def masked_sql(wa: str, wb: str, per_target: bool) -> str:
+    """Hold-out choice of alpha and refit where a target may use one feature only; one alpha for all targets or each its own."""
+    w = f"CASE WHEN {wa} THEN ay / (aa + alpha) ELSE 0.0 END AS wa, CASE WHEN {wb} THEN by_ / (bb + alpha) ELSE 0.0 END AS wb"
+    best = "SELECT target, max_by(alpha, (r2, -pos)) AS alpha FROM e GROUP BY 1" if per_target else "SELECT max_by(alpha, (m, -pos)) AS alpha FROM (SELECT pos, min(alpha) AS alpha, avg(r2) AS m FROM e GROUP BY 1)"
+    join = "whole JOIN best USING (target)" if per_target else "whole, best"
+    return f"""WITH {TWO}, {sums('s', "split = 'train' AND NOT v")}, {sums('whole', "split = 'train'")}, al AS (SELECT unnest([1.0, 1e4, 1e6]::DOUBLE[]) AS alpha, unnest([0, 1, 2]) AS pos),
+ g AS (SELECT s.*, alpha, pos, {w} FROM s, al),
+ e AS (SELECT g.target, pos, min(alpha) AS alpha, 1 - sum(pow(d.y - my - wa * (d.a - ma) - wb * (d.b - mb), 2)) / (sum(pow(d.y - my, 2)) + 1e-6) AS r2 FROM g JOIN d USING (target)
+  WHERE split = 'train' AND v GROUP BY 1, 2),
+ best AS ({best}), w AS (SELECT *, {w} FROM {join}), {FIT_SQL}"""
+
+
+def held_out_moments(spark, d):
+    part = F.when(F.col("split") == "test", "test").when(F.col("v"), "val").otherwise("fit")
+    return moments(two_features(spark, d).withColumn("part", part), "part", "x", "y", parts=3)
+
+
+HALVES_OF_TWO = {"first": (0, 1), "second": (1, 2)}
+
+
+@query(masked_sql("target = 1", "target = 0", False))
+def ridge_constrained_choice(spark, d):
+    """Feature i never serves target i; one alpha."""
+    return fitted(L.constrained_ridge(held_out_moments(spark, d), L.holdout_design(spark), LOO_ALPHAS, block_size=2))
+
+
+@query(masked_sql("target = 1", "target = 0", True))
+def ridge_exclusion_choice(spark, d):
+    return fitted(L.block_ridge(held_out_moments(spark, d), L.holdout_design(spark), HALVES_OF_TWO, 2, "exclusion", LOO_ALPHAS))
+
+
+@query(masked_sql("target = 0", "target = 1", True))
+def ridge_selection_choice(spark, d):
+    return fitted(L.block_ridge(held_out_moments(spark, d), L.holdout_design(spark), HALVES_OF_TWO, 2, "selection", LOO_ALPHAS))
+
+
+@query(f"WITH {TWO}, {sums('s', "split = 'train'")}, w AS (SELECT *, 2.0 AS alpha, {solve2('0.0')} FROM s), {FIT_SQL}")
+def pls_two_components(spark, d):
+    """As many components as features: least squares, whatever the targets."""
+    return fitted(L.pls(held_out_moments(spark, d), L.holdout_design(spark), [2]))
+
+
+# features and responses change sides
+BACK = TWO.replace("l_quantity AS a, l_discount * 100 AS b", "l_extendedprice / 1000 AS a, l_tax * 100 AS b").replace("[l_extendedprice / 1000, l_tax * 100]", "[l_quantity, l_discount * 100]")
+FIXED = f"""{sums('s', "split = 'train'")}, w AS (SELECT *, 1000.0 AS alpha, {solve2('1000')} FROM s), {FIT_SQL}"""
+
+
+@query(f"""SELECT 'source_to_target' AS direction, target, alpha, r2, pearson FROM (WITH {TWO}, {FIXED})
+ UNION ALL SELECT 'target_to_source', target, alpha, r2, pearson FROM (WITH {BACK}, {FIXED})""")
+def bidirectional_fixed(spark, d):
+    out = get_metric("bidirectional")(MetricInput(two_features(spark, d), split="split"), alphas=(1000.0,))
+    return out.select("direction", F.col("target").cast("long").alias("target"), "alpha", r6("r2").alias("r2"), r6("pearson").alias("pearson"))
+
+
+@query(f"SELECT target, alpha, w0, w1, b, r2, pearson FROM (WITH {BACK}, {FIXED})")
+def inverse_fixed(spark, d):
+    return fitted(get_metric("inverse_ridge")(MetricInput(two_features(spark, d), split="split"), alphas=(1000.0,)))
+
+
+@query(f"SELECT 0::BIGINT AS unit, target AS t, alpha, r2, pearson FROM (WITH {TWO}, {FIXED})")
+def temporal_fixed(spark, d):
+    """Two targets are one unit at two times."""
+    out = get_metric("temporal_ridge")(MetricInput(two_features(spark, d), split="split"), n_times=2, alphas=(1000.0,))
+    return out.select(F.col("unit").cast("long").alias("unit"), F.col("t").cast("long").alias("t"), "alpha", r6("r2").alias("r2"), r6("pearson").alias("pearson"))
+
+
+@query(f"""WITH {FOLD_SQL}, p AS (SELECT vec_id, s, t, embedding[i]::DOUBLE AS a, embedding[j]::DOUBLE AS y FROM embeddings, (VALUES ('A', 'A', 1, 33), ('A', 'B', 1, 34), ('B', 'A', 2, 33)) AS q(s, t, i, j)),
+ k AS (SELECT unnest(range(5)) AS run),
+ w AS (SELECT run, s, t, avg(a) AS ma, avg(y) AS my, covar_pop(a, y) * count(*) / (var_pop(a) * count(*) + 10) AS wa FROM p JOIN f USING (vec_id), k WHERE fold <> run GROUP BY ALL),
+ te AS (SELECT run, s, t, 1 - sum(pow(y - (my + wa * (a - ma)), 2)) / (var_pop(y) * count(*)) AS r2, covar_pop(y, wa * a) / sqrt(var_pop(y) * var_pop(wa * a)) AS r
+  FROM w JOIN p USING (s, t) JOIN f USING (vec_id) WHERE fold = run GROUP BY ALL)
+ SELECT s AS source_region, t AS target_region, run::VARCHAR AS run, {R('r2')} AS r2, {R('2 * r / (1 + r)')} AS pearson FROM te""")
+def region_to_region(spark, d):
+    """Regions of one unit each, so that the map between subjects has a closed form."""
+
+    def side(start):
+        v = vectors(spark, d)
+        return v.select("vec_id", F.explode(F.array(*[F.struct(F.lit(n).alias("region"), F.slice("vec", start + i, 1).alias("vec")) for i, n in enumerate("AB")])).alias("z")).select("vec_id", "z.*")
+
+    out = runs.assembly_to_assembly(side(1), side(33), "vec_id", [("A", "A"), ("A", "B"), ("B", "A")], "ridge", 5, alphas=(10.0,))
+    return out.select("source_region", "target_region", "run", r6("r2").alias("r2"), r6("pearson").alias("pearson"))
+
+
+LAYERS = """d AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, embedding[1]::DOUBLE * scale AS a, embedding[2]::DOUBLE AS b,
+  unnest([embedding[33], embedding[34]])::DOUBLE AS y, unnest([0, 1]) + 10 * layer AS target FROM embeddings, (SELECT unnest([0, 1]) AS layer, unnest([1.0, 0.05]::DOUBLE[]) AS scale))"""
+
+
+@query(f"""WITH {LAYERS}, {FIXED.split(chr(10) + ' SELECT target::BIGINT')[0].replace('1000', '10')},
+ c AS (SELECT CASE WHEN target < 10 THEN 'one' ELSE 'two' END AS layer, 2 * r / (1 + r) AS p, r2, CASE target % 10 WHEN 0 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS ceiling FROM te),
+ m AS (SELECT layer, unnest(['final_unceiled_pearson', 'final_pearson', 'final_unceiled_r2', 'final_r2']) AS stat, unnest([p, p / ceiling, r2, r2 / ceiling]) AS v FROM c)
+ SELECT 'model' AS model, layer, 'two_layers' AS benchmark, 'ridge' AS metric, stat, {R('median(v)')} AS value FROM m GROUP BY layer, stat""")
+def benchmark_run(spark, d):
+    """A benchmark from its configuration: two layers, four units of which region and ceiling leave two; scores come back from the store."""
+    v, x = vectors(spark, d), F.col("vec")
+    layers = F.array(*[F.struct(F.lit(name).alias("layer"), F.array(x[0] * scale, x[1]).alias("x")) for name, scale in (("one", 1.0), ("two", 0.05))])
+    features = v.select("vec_id", F.explode(layers).alias("z")).select("vec_id", "z.*")
+    y = F.array(x[40], x[32], x[41], x[33])
+    responses = v.select("vec_id", F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train").alias("split"), y.alias("y"))
+    units = spark.createDataFrame([(0, "V2"), (1, "V1"), (2, "V1"), (3, "V1"), (3, "V2")], "unit int, region string")
+    ceilings = spark.createDataFrame([(0, 0.9), (1, 0.8), (2, 0.05), (3, 0.5)], "unit int, ceiling double")
+    bench = runs.register_benchmark(runs.Benchmark(
+        "two_layers", "vectors", ("V1",), "split", ceiling_threshold=0.1, params={"ridge": {"alphas": (10.0,)}}, key="vec_id"))
+    path = scratch(spark, "bench")
+    runs.run_benchmark(bench, features, runs.Assembly(responses, units, ceilings), "model", path)
+    return latest_scores(spark, path).select("model", "layer", "benchmark", "metric", "stat", r6("value").alias("value"))
+
+
 # ---------------------------------------------------------------- full maps on the embeddings
 
 

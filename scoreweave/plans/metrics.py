@@ -176,15 +176,50 @@ def loss_regressor(inp: MetricInput, loss: str = "mse", weight: float = 0.5) ->
 @register("online_linear_classifier")
 def linear_classifier(inp: MetricInput, label: str = "label", c_grid: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)) -> DataFrame:
     """Accuracy, F1 and kappa of a linear classifier on the test rows."""
-    from ..operators.classify import classify, fit_classifier
     from ..operators.scoring import classification_scores
 
+    return classification_scores(_classified(inp, label, c_grid), [], label, "pred")
+
+
+def _classified(inp: MetricInput, label: str, c_grid: Sequence[float]) -> DataFrame:
+    """(key, label, pred) of the test rows, by a linear classifier fitted on the others."""
+    from ..operators.classify import classify, fit_classifier
+
     split = inp.split or "_split"
     rows = inp.rows if inp.split else holdout(inp.rows, inp.key, 0.1, label, out="_v").withColumn(
         "_split", F.when(F.col("_v"), "test").otherwise("train"))
     fitted = fit_classifier(rows.where(F.col(split) == "train"), inp.key, inp.x, label, c_grid)
     test = rows.where(F.col(split) == "test")
-    return classification_scores(classify(test, fitted, [inp.key, label], inp.x), [], label, "pred")
+    return classify(test, fitted, [inp.key, label], inp.x)
+
+
+C_GRID = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
+
+
+@register("physion_contact_prediction")
+@register("physion_contact_detection")
+def contact_agreement(inp: MetricInput, human: DataFrame, label: str = "label", c_grid: Sequence[float] = C_GRID) -> DataFrame:
+    """Agreement of the classifier's choices with people's, scenario by scenario: mean kappa, its spread, accuracy.
+
+    ``human``: stimulus, scenario, participant, response, ord.  The two names differ by the human table that they are given.
+    """
+    from ..operators.align import attach_scenario
+    from ..operators.behaviour import model_human_kappa
+
+    key = F.col(inp.key)
+    model = _classified(inp, label, c_grid).select(key.alias("stimulus"), F.col("pred").alias("choice"), F.col(label).alias("label"), key.alias("ord"))
+    return model_human_kappa(attach_scenario(model, human, "stimulus"), human)
+
+
+@register("physion_placement_prediction")
+@register("physion_placement_detection")
+def placement_agreement(inp: MetricInput, human: DataFrame, label: str = "label", c_grid: Sequence[float] = C_GRID, grid: int = 16) -> DataFrame:
+    """Exact and distance-based agreement of classifier, people and truth on the cells of a square grid.  ``human``: stimulus, choice, ord."""
+    from ..operators.behaviour import grid_accuracy
+
+    key = F.col(inp.key)
+    model = _classified(inp, label, c_grid).select(key.alias("stimulus"), F.col("pred").alias("choice"), F.col(label).alias("contacts"), key.alias("ord"))
+    return grid_accuracy(model, human, "stimulus", "ord", grid)
 
 
 @register("orientation_selectivity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,8 +13,9 @@ from ..functions import arrays as A
 from ..functions.ordering import grouped_median
 from ..functions.registry import MetricInput, get_metric
 from ..operators import linear as L
-from ..operators.align import apply_ceiling
+from ..operators.align import align, apply_ceiling
 from ..operators.gram import moments
+from ..operators.prep import mask_by_ceiling
 from ..operators.splits import group_kfold
 from ..session import cut_lineage
 from ..sources.store import append_scores
@@ -30,7 +32,19 @@ class Benchmark:
     stratify: str | None = None
     ceiling_threshold: float | None = None
     metrics: tuple[str, ...] = ("ridge",)
-    params: dict = field(default_factory=dict)
+    params: dict = field(default_factory=dict)  # keyword arguments by metric name
+    key: str = "stimulus_id"
+    folds: int = 10
+
+
+@dataclass(frozen=True)
+class Assembly:
+    """What was measured: (key, y and the columns that split and stratify), one (unit, region) row for every region
+    a unit lies in, and (unit, ceiling).  A unit is its position in ``y``, from 0."""
+
+    responses: DataFrame
+    units: DataFrame | None = None
+    ceilings: DataFrame | None = None
 
 
 BENCHMARKS: dict[str, Benchmark] = {}
@@ -65,16 +79,68 @@ def score_run(inp: MetricInput, metric: str, model: str, layer: str, benchmark:
     scores = cut_lineage(get_metric(metric)(inp, **params))
     if "pearson" in scores.columns:
         table = roll(scores, inp.ceiling, metric)
-    else:
-        table = scores.agg(F.avg("score").alias("value")).select(
-            F.lit(metric).alias("metric"), F.lit("final_score").alias("stat"), "value"
-        )
+    else:  # one score, or one for each method: the mean over runs
+        stat = F.concat(F.lit("final_"), F.col("method")) if "method" in scores.columns else F.lit("final_score")
+        table = scores.groupBy(stat.alias("stat")).agg(F.avg("score").alias("value")).select(F.lit(metric).alias("metric"), "stat", "value")
     out = table.select(F.lit(model).alias("model"), F.lit(layer).alias("layer"), F.lit(benchmark).alias("benchmark"), "*")
     if path is not None:
         append_scores(out, path)
     return out
 
 
+def measured(b: Benchmark, assembly: Assembly) -> tuple[DataFrame, DataFrame | None]:
+    """Responses cut to the units of the benchmark's regions whose ceiling passes, and the ceilings by position in the cut vector.
+
+    The chosen positions are one array per query, gathered from every response vector.
+    """
+    responses, ceilings = assembly.responses, assembly.ceilings
+    if not b.regions and b.ceiling_threshold is None:
+        return responses, None if ceilings is None else ceilings.select(F.col("unit").alias("target"), "ceiling")
+    units = assembly.units.where(F.col("region").isin(*b.regions)) if b.regions else ceilings
+    units = units.select("unit").distinct()
+    if b.ceiling_threshold is not None:
+        units = mask_by_ceiling(units, ceilings, b.ceiling_threshold)
+    units = cut_lineage(units)
+    if units.isEmpty():
+        raise ValueError(f"no unit of {b.name} lies in {b.regions} above ceiling {b.ceiling_threshold}")
+    listed = units.agg(F.sort_array(F.collect_list("unit")).alias("units"))
+    responses = responses.withColumn("_units", listed.scalar())
+    responses = responses.withColumn("y", F.transform("_units", lambda u: F.get("y", u.cast("int")))).drop("_units")
+    if ceilings is not None:
+        ceilings = listed.select(F.posexplode("units").alias("target", "unit")).join(ceilings, "unit").select("target", "ceiling")
+    return responses, ceilings
+
+
+def run_benchmark(b: Benchmark, features: DataFrame, assembly: Assembly, model: str, path: str | None = None) -> DataFrame:
+    """Every layer of ``features`` (layer, key, x) under every metric of the benchmark, as (model, layer, benchmark, metric, stat, value).
+
+    Unknown metrics raise before anything runs.  A metric that fails among others is warned of and the others go on; a single one raises.
+    """
+    for metric in b.metrics:
+        get_metric(metric)
+    responses, ceilings = measured(b, assembly)
+    wanted = [b.key, "y", *dict.fromkeys(c for c in (b.split, b.stratify) if c)]
+    out = None
+    for layer in sorted(r["layer"] for r in features.select("layer").distinct().collect()):
+        one = features.where(F.col("layer") == layer).select(b.key, "x")
+        rows = cut_lineage(align(one, responses.select(*wanted), [b.key]))  # read by all metrics, several times by each
+        inp = MetricInput(rows, b.key, split=b.split, stratify=b.stratify, ceiling=ceilings, folds=b.folds)
+        for metric in b.metrics:
+            try:
+                table = cut_lineage(score_run(inp, metric, model, layer, b.name, **b.params.get(metric, {})))
+            except Exception as failure:
+                if len(b.metrics) == 1:
+                    raise
+                warnings.warn(f"{metric} failed on {layer}: {failure}", stacklevel=2)
+                continue
+            out = table if out is None else out.unionByName(table)
+    if out is None:
+        raise ValueError(f"{b.name}: no layer, or no metric that ran")
+    if path is not None:
+        append_scores(out, path)
+    return out
+
+
 def assembly_to_assembly(source: DataFrame, target: DataFrame, key: str, regions: Sequence[tuple[str, str]], metric: str = "ridge", folds: int = 10, **params) -> DataFrame:
     """One subject's responses predict another's, for every listed (source, target) region pair.
 

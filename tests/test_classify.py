@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from scoreweave.functions.registry import MetricInput, get_metric
 from scoreweave.operators import classify as C
 
 
@@ -74,3 +75,16 @@ def test_odd_rows(spark):
     assert (one.predict(x) == 7).all()
     with pytest.raises(ValueError, match="no rows"):
         C.fit_classifier(odd, "id", "x", "label")
+
+
+def test_agreement_with_people_by_name(spark):
+    """Separable classes: the choices are the labels, so kappa and distances follow from the human table alone."""
+    rows = spark.createDataFrame([(i, "test" if i % 2 else "train", [float(i % 4 > 1) * 4 - 2], int(i % 4 > 1)) for i in range(80)], "stimulus_id long, split string, x array<double>, label int")
+    human = [(i, "s", "p", int(i % 4 > 1) if i % 8 != 1 else 1, 0) for i in range(80)]
+    people = spark.createDataFrame(human, "stimulus long, scenario string, participant string, response int, ord int")
+    inp = MetricInput(rows, split="split")
+    got = get_metric("physion_contact_prediction")(inp, human=people).first()
+    # 40 test rows, half of each class; people say 1 for 10 of the 20 rows of class 0
+    assert got["accuracy"] == 1 and got["n_scenarios"] == 1 and got["center"] == pytest.approx(0.5)
+    place = get_metric("physion_placement_detection")(inp, human=people.withColumnRenamed("response", "choice")).first()
+    assert place["accuracy_model_gt"] == 1 and place["accuracy_model_human"] == pytest.approx(0.75) and place["chebyshev_distance_human_gt"] == pytest.approx(0.25)

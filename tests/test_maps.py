@@ -339,3 +339,32 @@ def test_invariances(rows):
     perfect = MetricInput(rows.select("id", "x", F.transform("x", lambda v: 2 * v + 1).alias("y")), key="id", folds=4)
     for r in get_metric("ridge")(perfect, alphas=(1e-10,)).collect():
         assert r["pearson"] == pytest.approx(1, abs=1e-6) and r["r2"] == pytest.approx(1, abs=1e-6)
+
+
+def test_benchmark_cuts_units_and_goes_on_after_a_failure(rows, spark):
+    from scoreweave.plans import runs
+
+    units = spark.createDataFrame([(0, "V1"), (1, "V2"), (2, "V1"), (4, "V1")], "unit int, region string")
+    ceilings = spark.createDataFrame([(0, 0.9), (1, 0.9), (2, 0.05), (4, 0.5)], "unit int, ceiling double")
+    made = runs.Assembly(rows.select("id", "split", "y"), units, ceilings)
+    features = rows.select(F.lit("top").alias("layer"), "id", "x")
+    bench = runs.Benchmark("b", "a", ("V1",), "split", ceiling_threshold=0.1, metrics=("ridge", "temporal_ridge", "rsa"),
+                           params={"ridge": {"alphas": (7.0,)}, "rsa": {"methods": ("corr",)}}, key="id")
+    cut, c = runs.measured(bench, made)
+    np.testing.assert_allclose(cut.where("id = 3").first()["y"], Y[3, [0, 4]])
+    assert {(r["target"], r["ceiling"]) for r in c.collect()} == {(0, 0.9), (1, 0.5)}
+    with pytest.warns(UserWarning, match="temporal_ridge failed"):  # its n_times is not given
+        got = {(r["metric"], r["stat"]): r["value"] for r in runs.run_benchmark(bench, features, made, "m").collect()}
+    train, test = PART != "test", PART == "test"
+    w, b = solve(X[train], Y[train][:, [0, 4]], 7.0)
+    p = X[test] @ w + b
+    s = [corrected(Y[test][:, j], p[:, k]) for k, j in enumerate((0, 4))]
+    assert got["ridge", "final_unceiled_pearson"] == pytest.approx(np.median(s), abs=1e-8)
+    assert got["ridge", "final_pearson"] == pytest.approx(np.median([s[0] / 0.9, s[1] / 0.5]), abs=1e-8)
+    iu = np.triu_indices(test.sum(), 1)
+    want = np.corrcoef(rdm(X[test])[iu], rdm(Y[test][:, [0, 4]])[iu])[0, 1]
+    assert got["rsa", "final_corr"] == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError, match="no unit"):
+        runs.measured(runs.Benchmark("b", "a", ("V9",)), made)
+    with pytest.raises(KeyError):
+        runs.run_benchmark(runs.Benchmark("b", "a", metrics=("nothing",)), features, made, "m")
