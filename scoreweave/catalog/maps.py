@@ -241,23 +241,6 @@ def temporal_fixed(spark, d):
     return out.select(F.col("unit").cast("long").alias("unit"), F.col("t").cast("long").alias("t"), "alpha", r6("r2").alias("r2"), r6("pearson").alias("pearson"))
 
 
-@query(f"""WITH {FOLD_SQL}, p AS (SELECT vec_id, s, t, embedding[i]::DOUBLE AS a, embedding[j]::DOUBLE AS y FROM embeddings, (VALUES ('A', 'A', 1, 33), ('A', 'B', 1, 34), ('B', 'A', 2, 33)) AS q(s, t, i, j)),
- k AS (SELECT unnest(range(5)) AS run),
- w AS (SELECT run, s, t, avg(a) AS ma, avg(y) AS my, covar_pop(a, y) * count(*) / (var_pop(a) * count(*) + 10) AS wa FROM p JOIN f USING (vec_id), k WHERE fold <> run GROUP BY ALL),
- te AS (SELECT run, s, t, 1 - sum(pow(y - (my + wa * (a - ma)), 2)) / (var_pop(y) * count(*)) AS r2, covar_pop(y, wa * a) / sqrt(var_pop(y) * var_pop(wa * a)) AS r
-  FROM w JOIN p USING (s, t) JOIN f USING (vec_id) WHERE fold = run GROUP BY ALL)
- SELECT s AS source_region, t AS target_region, run::VARCHAR AS run, {R('r2')} AS r2, {R('2 * r / (1 + r)')} AS pearson FROM te""")
-def region_to_region(spark, d):
-    """Regions of one unit each, so that the map between subjects has a closed form."""
-
-    def side(start):
-        v = vectors(spark, d)
-        return v.select("vec_id", F.explode(F.array(*[F.struct(F.lit(n).alias("region"), F.slice("vec", start + i, 1).alias("vec")) for i, n in enumerate("AB")])).alias("z")).select("vec_id", "z.*")
-
-    out = runs.assembly_to_assembly(side(1), side(33), "vec_id", [("A", "A"), ("A", "B"), ("B", "A")], "ridge", 5, alphas=(10.0,))
-    return out.select("source_region", "target_region", "run", r6("r2").alias("r2"), r6("pearson").alias("pearson"))
-
-
 LAYERS = """d AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, embedding[1]::DOUBLE * scale AS a, embedding[2]::DOUBLE AS b,
   unnest([embedding[33], embedding[34]])::DOUBLE AS y, unnest([0, 1]) + 10 * layer AS target FROM embeddings, (SELECT unnest([0, 1]) AS layer, unnest([1.0, 0.05]::DOUBLE[]) AS scale))"""
 
