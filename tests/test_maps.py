@@ -313,6 +313,30 @@ def test_ranks_do_not_depend_on_the_scale(spark, monkeypatch, scale):
             assert v == pytest.approx(brute(*want[k]), abs=1e-9)
 
 
+@pytest.mark.parametrize("name", ["spearman", "kendall"])
+def test_rank_similarities_in_rounds(spark, paired, monkeypatch, name):
+    """Keys that take rounds of their own, one of them several turns, and small ones parted by hash; no checkpoint holds the distances of both sides."""
+    monkeypatch.setattr(S, "RANGE_PAIRS", 200)
+    monkeypatch.setattr(S, "ROUND_PAIRS", 700)
+    a, b = upper()
+    whole = tau_b(a, b) if name == "kendall" else pd.Series(a).rank().corr(pd.Series(b).rank())
+    ids = [r["item"] for r in paired.select("item").orderBy("item").collect()]
+    two = paired.withColumn("k", F.lit("all")).unionByName(paired.where(F.col("item").isin(ids[:8])).withColumn("k", F.lit("few")))
+    rows = []
+    kept = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: (rows.append(df.columns), kept(df))[1])
+    got = {r["k"]: r[name] for r in getattr(S, "rdm_" + name)(two, ["k"], tile=17).collect()}
+    assert got["all"] == pytest.approx(whole, abs=1e-9) and set(got) == {"all", "few"}
+    assert not any({"x", "y"} <= set(c) for c in rows)
+
+
+@pytest.mark.parametrize("kind,width", [(float, S.WIDTH), (np.int64, 8)])
+def test_packed_values_come_back(kind, width):
+    g = np.random.default_rng(5)
+    v = S._settled(g.normal(size=999) * 10.0 ** g.integers(-200, 200, 999), np.full(999, 1e-290)) if kind is float else g.integers(-(1 << 40), 1 << 40, 999)
+    assert (S._unpacked([S._packed(v[:400], width), S._packed(v[400:], width)], [400, 599], kind, width) == v).all()
+
+
 def test_concordance_balance_is_brute_force():
     g = np.random.default_rng(3)
     a, b, n = g.integers(0, 40, 2000), g.integers(0, 50, 2000), g.integers(1, 4, 2000)
