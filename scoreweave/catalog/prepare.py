@@ -112,8 +112,8 @@ def region_affixes(spark, d):
 def reliability_mask(spark, d):
     li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "unit")
     train = li.groupBy("unit").agg(F.avg("l_discount").alias("ceiling"))
-    test = li.groupBy("unit").agg((F.avg("l_tax") + (0.049 - 0.0395)).alias("ceiling"))
-    kept = prep.mask_by_ceiling(li, train, 0.049, test_ceilings=test)
+    test = li.groupBy("unit").agg(F.avg("l_tax").alias("ceiling"))
+    kept = prep.mask_by_ceiling(li, train, 0.049, test_ceilings=test, test_threshold=0.0395)
     return kept.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_quantity")).alias("mean"))
 
 

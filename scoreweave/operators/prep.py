@@ -30,6 +30,8 @@ VISUAL_REGIONS = ("V1", "V2", "V3", "V4", "V1d", "V2d", "V1v", "V3d", "V2v", "V3
 # Reliability thresholds used by the data sets.
 CEILING_THRESHOLDS = {"story": 0.15, "images": 0.2, "videos": 0.0, "recordings": -1000.0}
 
+CEILING_DIGITS = 12  # fixed value
+
 
 def split_filter(stimuli: DataFrame, train: bool, intra: bool = False, behaviour: DataFrame | None = None) -> DataFrame:
     """Rows of one split; a test split also needs behaviour for the stimulus (semi join)."""
@@ -150,18 +152,21 @@ def select_roi_affix(df: DataFrame, column: str, names: Sequence[str]) -> DataFr
 
 def mask_by_ceiling(
     responses: DataFrame, ceilings: DataFrame, threshold: float, keys: Sequence[str] = ("unit",),
-    inclusive: bool = False, test_ceilings: DataFrame | None = None,
+    inclusive: bool = False, test_ceilings: DataFrame | None = None, test_threshold: float | None = None,
 ) -> DataFrame:
-    """Responses of the units whose ceiling passes, in train and (where given) test alike."""
+    """Responses of the units whose ceiling passes, in train and (where given) test alike.
+
+    A ceiling counts to ``CEILING_DIGITS`` decimals, so that one equal to the threshold does not pass by the order of its sum.
+    """
     keys = list(keys)
 
-    def passing(c: DataFrame) -> DataFrame:
-        ok = F.col("ceiling") >= threshold if inclusive else F.col("ceiling") > threshold
-        return c.where(ok).select(*keys).distinct()
+    def passing(c: DataFrame, least: float) -> DataFrame:
+        value = F.round("ceiling", CEILING_DIGITS)
+        return c.where(value >= least if inclusive else value > least).select(*keys).distinct()
 
-    keep = passing(ceilings)
+    keep = passing(ceilings, threshold)
     if test_ceilings is not None:
-        keep = keep.join(passing(test_ceilings), keys, "left_semi")
+        keep = keep.join(passing(test_ceilings, threshold if test_threshold is None else test_threshold), keys, "left_semi")
     return responses.join(keep, keys, "left_semi")
 
 

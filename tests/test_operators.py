@@ -20,6 +20,17 @@ def one(spark, rows, fn):
     return df.agg(fn("y", "p").alias("v")).first()["v"]
 
 
+def test_a_ceiling_on_the_threshold_does_not_pass_by_rounding(spark):
+    """0.1 + 0.2 is 0.3 here in whatever order it was added up; each side has its own threshold."""
+    c = spark.createDataFrame([("on", 0.1 + 0.2), ("above", 0.31), ("below", 0.29)], "unit string, ceiling double")
+    t = spark.createDataFrame([("on", 0.7), ("above", 0.1 + 0.7), ("below", 0.9)], "unit string, ceiling double")
+    names = lambda df: sorted(r["unit"] for r in df.collect())
+    assert names(prep.mask_by_ceiling(c.select("unit"), c, 0.3)) == ["above"]
+    assert names(prep.mask_by_ceiling(c.select("unit"), c, 0.3, inclusive=True)) == ["above", "on"]
+    assert names(prep.mask_by_ceiling(c.select("unit"), c, 0.2, test_ceilings=t, test_threshold=0.8)) == ["below"]
+    assert names(prep.mask_by_ceiling(c.select("unit"), c, 0.2, inclusive=True, test_ceilings=t, test_threshold=0.8)) == ["above", "below"]
+
+
 def test_corrected_pearson_guards(spark):
     f = C.corrected_pearson
     assert one(spark, [(2.0, 2.0), (2.0, 2.0)], f) == 1.0
