@@ -1,4 +1,4 @@
-"""Streaming twins, run over the given tables in several files with a restart between them."""
+"""Streaming twins, run over the given tables in several arrivals with a restart between them."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ FILES = 4
 
 
 def stream(df: DataFrame, order: str, target: StreamTable, write) -> StreamTable:
-    """Let the rows come in FILES files by ``order``, one a micro-batch: half of them, then, after a restart, the others.
+    """Let the rows come in FILES arrivals by ``order``, each a micro-batch; the stream stops after each and is started again for the next.
 
-    ``write`` makes the writer of a streaming frame; the files lie below the shared folder, each written when its time has come.
+    ``write`` makes the writer of a streaming frame; the files lie below the shared folder, as many per arrival as tasks write, each
+    written when its time has come.
     """
     spark = df.sparkSession
     folder, checkpoint = scratch(spark, "arrivals"), scratch(spark, "offsets")
@@ -28,10 +29,9 @@ def stream(df: DataFrame, order: str, target: StreamTable, write) -> StreamTable
         return target
     place = F.least(F.floor((F.col(order).cast("double") - low) / (high - low or 1.0) * FILES), F.lit(FILES - 1))
     for k in range(FILES):
-        df.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
-        if k in (FILES // 2 - 1, FILES - 1):
-            rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-            write(rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        df.where(F.coalesce(place, F.lit(0)) == k).write.mode("append").parquet(folder)
+        rows = spark.readStream.schema(df.schema).parquet(folder)
+        write(rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return target
 
 

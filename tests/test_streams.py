@@ -130,3 +130,15 @@ def test_word_context(spark, tmp_path):
     spark.createDataFrame(words[:1], schema).coalesce(1).write.mode("append").parquet(folder)
     with pytest.raises(PySparkException, match="comes after word"):
         run(spark, folder, checkpoint, schema, lambda df: online.into(online.word_context(df, "story", 1.0, 4), t, mode="update"))
+
+
+def test_arrivals_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """An arrival is one micro-batch however many files it has, and no task writes all of it."""
+    from scoreweave.catalog import streams
+
+    monkeypatch.setattr(streams, "scratch", lambda s, name: str(tmp_path / name))
+    df = spark.range(400).withColumn("v", F.lit(1.0)).repartition(4)
+    t = StreamTable(spark, str(tmp_path / "t"), latest("id"), "id long, v double", 9)
+    streams.stream(df, "id", t, lambda rows: online.into(rows, t))
+    assert len(list((tmp_path / "arrivals").glob("part-*.parquet"))) == 4 * streams.FILES
+    assert t.read().count() == 400 and len(t.manifest()[1]) == streams.FILES
