@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.matrices import list_matrix
+from ..functions.matrices import list_column, list_matrix
 from ..session import cut_lineage
 from .splits import kfold
 
@@ -102,15 +102,20 @@ def _scan(fits: dict[int, Linear], own):
                 at = np.isin(part, list(fit.parts)) == own
                 if at.any():
                     loss, grad, hess = _sums(fit, x[at], y[at])
-                    got = held.setdefault(i, [0.0, 0.0, 0.0])
-                    held[i] = [got[0] + loss, got[1] + grad, got[2] + hess]
-        rows = [(i, h[0], h[1].tolist(), h[2].ravel().tolist()) for i, h in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], ["i", "loss", "g", "h"])
+                    if i not in held:
+                        held[i] = [loss, grad, hess]
+                    else:
+                        held[i][0] += loss
+                        held[i][1] += grad
+                        held[i][2] += hess
+        while held:  # one candidate at a time, as arrays: a list of Python numbers takes four times the room
+            i, (loss, grad, hess) = held.popitem()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([loss], pa.float64()), list_column(grad[None]), list_column(hess.reshape(1, -1))], ["i", "loss", "g", "h"])
 
     return run
 
 
-TYPES = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
 SUMS = "i int, loss double, g array<double>, h array<double>"
 
 

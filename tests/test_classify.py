@@ -88,3 +88,22 @@ def test_agreement_with_people_by_name(spark):
     assert got["accuracy"] == 1 and got["n_scenarios"] == 1 and got["center"] == pytest.approx(0.5)
     place = get_metric("physion_placement_detection")(inp, human=people.withColumnRenamed("response", "choice")).first()
     assert place["accuracy_model_gt"] == 1 and place["accuracy_model_human"] == pytest.approx(0.75) and place["chebyshev_distance_human_gt"] == pytest.approx(0.25)
+
+
+def test_a_scan_hands_on_one_candidate_at_a_time():
+    """Sums of two batches, one row each: no more than one candidate's Hessian is copied at once."""
+    import pyarrow as pa
+
+    from scoreweave.functions.matrices import list_column
+    from scoreweave.operators import classify as K
+
+    g = np.random.default_rng(3)
+    x, y, part = g.normal(size=(30, 4)), np.arange(30) % 3.0, np.arange(30) % 2
+    fits = {i: K.Linear(1.0, frozenset({0, 1} - {i}), np.arange(3.0), np.zeros(4), np.ones(4), 15, np.zeros((5, 3))) for i in (0, 1)}
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(part[at]), list_column(x[at]), pa.array(y[at])], ["part", "x", "y"])
+    got = list(K._scan(fits, True)(iter([batch(slice(0, 11)), batch(slice(11, 30))])))
+    assert [b.num_rows for b in got] == [1, 1]
+    for b in got:
+        r = b.to_pylist()[0]
+        loss, grad, hess = K._sums(fits[r["i"]], x[part != r["i"]], y[part != r["i"]])
+        assert np.allclose(r["loss"], loss) and np.allclose(r["g"], grad) and np.allclose(r["h"], hess.ravel())
