@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..functions.joins import checked_broadcast
 from ..operators import scoring, transforms
 from . import query
 from .views import R, STORIES, stories, table, vectors
@@ -107,20 +108,33 @@ def pool_concatenated(spark, d):
  SELECT doc_id, word_idx::BIGINT AS word_idx, count(*) AS n_pieces, round(avg(length(word)), 6) AS mean_len FROM s GROUP BY 1, 2""")
 def pool_subwords(spark, d):
     """Runs of words opened by a capital play the part of words; their words play the pieces."""
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    w = w.withColumn("vec", F.array(F.length("word").cast("double")))
-    start = (F.col("pos") == 0) | F.col("word").rlike("^[A-Z]")
-    out = transforms.pool_words(w, "doc_id", "pos", "vec", start)
+    out = _pooled(spark, d)
     return out.select("doc_id", F.col("word_idx").cast("long").alias("word_idx"), "n_pieces", F.round(F.col("vec")[0], 6).alias("mean_len"))
 
 
+def _pooled(spark, d, last=False):
+    """Texts are pooled where they lie; those that share an id are one text to the SQL, so their words are brought together."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = F.split("text", " ")
+    lengths = F.transform(words, lambda w: F.array(F.length(w).cast("double")))
+    starts = F.transform(words, lambda w, i: (i == 0) | w.rlike("^[A-Z]"))
+    twice = docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if twice.isEmpty():
+        return transforms.pool_texts(docs, "doc_id", lengths, starts, last)
+    twice = checked_broadcast(twice)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    shared = docs.join(twice, same, "left_semi")
+    out = transforms.pool_texts(docs.join(twice, same, "left_anti"), "doc_id", lengths, starts, last)
+    w = shared.select("doc_id", F.posexplode(words).alias("pos", "word")).withColumn("vec", F.array(F.length("word").cast("double")))
+    rest = transforms.pool_words(w, "doc_id", "pos", "vec", (F.col("pos") == 0) | F.col("word").rlike("^[A-Z]"))
+    names = ["doc_id", "word_idx", "vec"] if last else ["doc_id", "word_idx", "vec", "n_pieces"]
+    return out.select(*names).unionByName((transforms.last_word(rest, "doc_id", "vec") if last else rest).select(*names))
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
  s AS (SELECT *, sum(CASE WHEN pos = 0 OR regexp_matches(word, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS word_idx FROM w),
  p AS (SELECT doc_id, word_idx, avg(length(word)) AS m FROM s GROUP BY 1, 2)
  SELECT doc_id, max(word_idx)::BIGINT AS word_idx, round(max_by(m, word_idx), 6) AS mean_len FROM p GROUP BY 1""")
 def last_subword(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    w = w.withColumn("vec", F.array(F.length("word").cast("double")))
-    start = (F.col("pos") == 0) | F.col("word").rlike("^[A-Z]")
-    out = transforms.last_word(transforms.pool_words(w, "doc_id", "pos", "vec", start), "doc_id", "vec")
+    out = _pooled(spark, d, last=True)
     return out.select("doc_id", F.col("word_idx").cast("long").alias("word_idx"), F.round(F.col("vec")[0], 6).alias("mean_len"))

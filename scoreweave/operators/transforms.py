@@ -218,6 +218,44 @@ def pool_words(tokens: DataFrame, key: str, order: str, vec: str, is_start: Colu
     )
 
 
+TEXTS = 500  # texts whose pieces are held at once
+
+
+def pool_texts(texts: DataFrame, key: str, vecs: Column, starts: Column, last: bool = False) -> DataFrame:
+    """``pool_words`` for texts that hold their pieces in arrays, (key, word_idx, vec, n_pieces): no piece is a row and nothing is shuffled.
+
+    Every row is a text of its own, so ``key`` must be unique.  ``last`` gives the last word only.  A null or empty text has no words.
+    """
+    rows = texts.select(F.col(key), vecs.alias("v"), F.transform(starts, lambda s: F.coalesce(s, F.lit(False))).alias("s")).where(F.size("v") > 0)
+
+    def pool(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                opens = b.column(2).flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(b.column(2).value_lengths().to_numpy())
+                begin = np.concatenate([[0], ends[:-1]])
+                m = list_matrix(b.column(1).flatten())
+                if len(m) != len(opens):
+                    raise ValueError("as many starts as pieces are needed")
+                cut = opens.copy()
+                cut[begin] = True
+                first = np.flatnonzero(cut)
+                n = np.diff(np.append(first, len(opens)))
+                mean = np.add.reduceat(m, first, axis=0) / n[:, None]
+                text = np.searchsorted(ends, first, "right")
+                seen = np.cumsum(opens)
+                index = seen[first] - (seen[begin] - opens[begin])[text]
+                if last:
+                    keep = np.flatnonzero(np.append(text[1:] != text[:-1], True))
+                    text, index, mean, n = text[keep], index[keep], mean[keep], n[keep]
+                own = b.column(0).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([own, pa.array(index.astype(np.int64)), list_column(mean), pa.array(n.astype(np.int64))], [key, "word_idx", "vec", "n_pieces"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return rows.mapInArrow(pool, f"`{key}` {kind}, word_idx long, vec array<double>, n_pieces long")
+
+
 def last_word(words: DataFrame, key: str, vec: str) -> DataFrame:
     """The last word represents the text."""
     return words.groupBy(key).agg(F.max_by(vec, "word_idx").alias(vec), F.max("word_idx").alias("word_idx"))
