@@ -1,9 +1,10 @@
 """Ridge for any number of features: the Gram as square tiles, solved by block elimination.
 
-No task ever holds more than a few tiles.  One scan makes the tiles: every row's [x | y] is cut into blocks, and the
-rows of a pair of blocks are multiplied in one place.  A run's training Gram is the sum of its parts' tiles.  The system
-(S + alpha I) W = X'Y is then eliminated block row by block row, for all runs at once: factor the tile on the diagonal, scale its row,
-subtract the row's products from the tiles below.  Substitution backwards gives the weights in blocks.
+No task ever holds more than a few tiles.  One scan makes the tiles: every row's [x | y] is cut into blocks, narrow
+ones are taken together in spans of at most TILE columns, and the rows of a pair of spans are multiplied in one place; rows of one span are
+multiplied where they lie.  A run's training Gram is the sum of its parts' tiles.  The system (S + alpha I) W = X'Y is then eliminated
+block row by block row, for all runs at once: factor the tile on the diagonal, scale its row, subtract the row's products from the tiles
+below.  Substitution backwards gives the weights in blocks.
 Test scores follow from the test tiles: the prediction variance is the sum of w_i' S_ij w_j over all tiles.
 """
 
@@ -14,18 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.matrices import list_matrix
 from ..session import cut_lineage
-from .gram import moments
+from .gram import TASK_BYTES, moments
 from .linear import RIDGE_ALPHAS, loo_choice, loo_errors, nan_free, scores_from
 from .prep import kept_features
 
 TILE = 1024  # columns of a block: a tile is at most 8 MB
 PILOT = 1 << 21  # numbers read to estimate the shift
 TILES = "part string, i int, j int, n long, s array<double>, ss array<double>, m array<double>"
+FIELDS = pa.schema([("part", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), *[(c, pa.list_(pa.float64())) for c in ("s", "ss", "m")]])
 NONE = [0.0]  # stands where a tile has no sums or no products of its own
 
 
@@ -66,59 +70,108 @@ def _shift(df: DataFrame, x: str, y: str) -> tuple[int, int, np.ndarray]:
     return size["d"], size["t"], np.where(np.isfinite(means), means, 0.0)
 
 
-def _multiply(shifts: dict[int, np.ndarray], nx: int) -> Callable:
-    """Sums of the rows of one (part, i, j) after another; rows come sorted by those."""
+def _held(tiles: TileMoments) -> tuple[int, list[int], list[tuple[int, int]]]:
+    """Blocks that a task takes together on each side, the first column of every block, and the pairs of such spans that have products."""
+    per = max(1, TILE // tiles.tile)
+    nx, ny = tiles.nx, tiles.ny
+    first = [k * tiles.tile for k in range(nx)] + [tiles.dim_x + k * tiles.tile for k in range(ny)] + [tiles.dim_x + tiles.dim_y]
+    spans = -(-(nx + ny) // per)
+    # targets meet features only; a span of targets alone meets itself, for its sums
+    return per, first, [(i, j) for i in range(spans) for j in range(i, spans) if i == j or i * per < nx]
+
+
+def _multiply(tiles: TileMoments, per: int, first: list[int], pairs: list[tuple[int, int]]) -> Callable:
+    """Sums of the rows of every (part, pair of spans) of a task, cut into tiles; they are handed on early where many parts would outgrow the task."""
+    nx, dim_x, shift, count = tiles.nx, tiles.dim_x, tiles.shift, tiles.nx + tiles.ny
+
+    def cut(part: str, pair: int, n: int, s: np.ndarray, ss: np.ndarray, m: np.ndarray):
+        i0, j0 = (k * per for k in pairs[pair])
+        for i in range(i0, min(i0 + per, count)):
+            own = slice(first[i] - first[i0], first[i + 1] - first[i0])
+            for j in range(max(i, j0), min(j0 + per, count)) if i < nx else [i] if i0 == j0 else []:
+                right = slice(first[j] - first[j0], first[j + 1] - first[j0])
+                sums = (s[own], ss[own]) if i == j else (NONE, NONE)
+                yield part, i, j, n, *sums, m[own, right].ravel() if i < nx else NONE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def emit():
+            for (part, pair), sums in held.items():
+                for row in cut(part, pair, *sums):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, FIELDS)], schema=FIELDS)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            labels, which = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            codes, names = labels.indices.to_numpy(), labels.dictionary.to_pylist()
+            for p in np.unique(which):
+                i, j = (k * per for k in pairs[p])
+                left, right = (slice(first[k], first[min(k + per, count)]) for k in (i, j))
+                of_pair = which == p
+                a = _columns(b.column(2), of_pair, left, shift)
+                c = a if i == j else _columns(b.column(3), of_pair, right, shift)
+                code = codes[of_pair]
+                features = max(0, min(left.stop, dim_x) - left.start)
+                for k in np.unique(code):
+                    rows = code == k
+                    x, y = a[rows], c[rows]
+                    got = held.get((names[k], int(p)))
+                    if got is None:
+                        new = 8 * features * y.shape[1]
+                        if held and size + new > TASK_BYTES:
+                            yield from emit()
+                            held.clear()
+                            size = 0
+                        got = held[names[k], int(p)] = [0, np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros((features, y.shape[1]))]
+                        size += new
+                    got[0] += len(x)
+                    if i == j:
+                        got[1] += x.sum(0)
+                        got[2] += (x * x).sum(0)
+                    if features:
+                        got[3] += x[:, :features].T @ y
+        yield from emit()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, None
+    return run
 
-        def row():
-            return pd.DataFrame([(key[2], key[0], key[1], *held[:1], *[h.ravel() for h in held[1:]])], columns=["part", "i", "j", "n", "s", "ss", "m"])
 
-        for pdf in frames:
-            for now, rows in pdf.groupby(["i", "j", "part"], sort=False):
-                if now != key:
-                    if key is not None:
-                        yield row()
-                    key, held = now, [0, np.array(NONE), np.array(NONE), np.array(NONE)]
-                i, j = int(now[0]), int(now[1])
-                a = np.stack(rows["a"]) - shifts[i]
-                held[0] += len(a)
-                if i == j:
-                    held[1], held[2] = held[1] + a.sum(0), held[2] + (a * a).sum(0)
-                if i < nx:
-                    held[3] = held[3] + (a.T @ (a if i == j else np.stack(rows["b"]) - shifts[j]))
-        if key is not None:
-            yield row()
-
-    return run
+def _columns(lists: pa.Array, rows: np.ndarray, span: slice, shift: np.ndarray) -> np.ndarray:
+    if not rows.all():
+        lists = lists.take(pa.array(np.flatnonzero(rows)))
+    m = list_matrix(lists)
+    if m.shape[1] != span.stop - span.start:
+        raise ValueError("vectors differ in length")
+    return m - shift[span]
 
 
 def gram_tiles(df: DataFrame, part: str, x: str, y: str, tile: int = TILE) -> TileMoments:
     """One scan of the rows.  A row with a null vector, or a null or non-finite entry, takes no part."""
     d, t, shift = _shift(df, x, y)
     out = TileMoments(df, d, t, tile, shift)
-    nx, ny = out.nx, out.ny
+    per, first, pairs = _held(out)
     whole = F.concat(A.as_double(x), A.as_double(y))
     fine = F.forall(whole, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    base = df.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), A.as_double(x).alias("x"), A.as_double(y).alias("y"), fine.alias("_fine"))
-    base = base.where("_fine").drop("_fine")
-
-    def block(k: Column) -> Column:
-        ahead = F.slice(F.col("x"), k * tile + 1, F.lit(tile))
-        return F.when(k < nx, ahead).otherwise(F.slice(F.col("y"), F.greatest(k - nx, F.lit(0)) * tile + 1, F.lit(tile)))
-
-    # features meet features of the same and later blocks and all targets; target blocks meet themselves
-    first = F.explode(F.sequence(F.lit(0), F.lit(nx + ny - 1)))
-    second = F.explode(F.when(F.col("i") < nx, F.sequence(F.col("i"), F.lit(nx + ny - 1))).otherwise(F.array("i")))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-tasks // (nx * (nx + 1) // 2 + nx * ny)))
-    salt = F.pmod(F.xxhash64("x") + F.spark_partition_id(), F.lit(salts))
-    rows = base.withColumn("salt", salt).select("*", first.alias("i")).select("*", second.alias("j"))
-    rows = rows.select("part", "i", "j", "salt", block(F.col("i")).alias("a"), F.when(F.col("i") != F.col("j"), block(F.col("j"))).alias("b"))
-    rows = rows.repartition(tasks, "i", "j", "salt").sortWithinPartitions("i", "j", "part").drop("salt")
-    shifts = {k: out.shift_of(k) for k in range(nx + ny)}
-    partial = rows.mapInPandas(_multiply(shifts, nx), TILES)
+    rows = df.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), whole.alias("w"), fine.alias("_fine")).where("_fine")
+    if len(pairs) == 1:  # nothing but sums is shuffled
+        rows = rows.select("part", F.lit(0).alias("pair"), F.col("w").alias("a"), F.lit(None).cast("array<double>").alias("b"))
+    else:
+
+        def columns(side: int) -> Column:
+            span = F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair")) * per
+            starts = F.array(*[F.lit(c) for c in first])
+            return F.slice("w", F.get(starts, span) + 1, F.get(starts, F.least(span + per, F.lit(len(first) - 1))) - F.get(starts, span))
+
+        same = F.get(F.array(*[F.lit(i == j) for i, j in pairs]), F.col("pair"))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, -(-tasks // len(pairs)))
+        salt = F.pmod(F.xxhash64("w") + F.spark_partition_id(), F.lit(salts))
+        rows = rows.withColumn("salt", salt).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))))
+        rows = rows.select("part", "pair", "salt", columns(0).alias("a"), F.when(~same, columns(1)).alias("b"))
+        rows = rows.repartition(tasks, "pair", "salt").sortWithinPartitions("pair", "part").drop("salt")
+    partial = rows.mapInArrow(_multiply(out, per, first, pairs), TILES)
     sums = [A.vector_sum(c).alias(c) for c in ("s", "ss", "m")]
     out.df = cut_lineage(partial.groupBy("part", "i", "j").agg(F.sum("n").alias("n"), *sums))
     return out

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from scoreweave.operators import linear as L
+from scoreweave.operators import tiles as T
 from scoreweave.operators.gram import moments
 from scoreweave.operators.tiles import gram_tiles, ridge_subsampled, ridge_tiles
+from scoreweave.session import cut_lineage
 
 
 def frame(spark, x, y, part):
@@ -83,3 +85,23 @@ def test_subsampled_search_takes_the_best_alpha(spark):
     for t, r in got.items():
         assert r["alpha"] == want[t]["alpha"]
         np.testing.assert_allclose(r["w"], want[t]["w"], atol=1e-9)
+
+
+def test_rows_of_narrow_blocks_stay_where_they_lie(spark, monkeypatch):
+    """Blocks that fit one span are summed before the shuffle: no row travels by block."""
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(50, 3)) + 4.0, rng.normal(size=(50, 2))
+    rows = frame(spark, x, y, np.arange(50) % 5)
+    plans = []
+    monkeypatch.setattr(T, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    tiles = gram_tiles(rows, "part", "x", "y", 1)
+    assert len(plans) == 1 and "salt" not in plans[0]
+    got = {(r["part"], r["i"], r["j"]): r for r in tiles.df.collect()}
+    both = np.hstack([x, y]) - tiles.shift
+    for p in range(5):
+        own = both[np.arange(50) % 5 == p]
+        for i in range(3):
+            for j in range(i, 5):
+                assert got[str(p), i, j]["m"] == pytest.approx([own[:, i] @ own[:, j]]) and got[str(p), i, j]["n"] == 10
+        assert got[str(p), 4, 4]["s"] == pytest.approx([own[:, 4].sum()]) and got[str(p), 4, 4]["ss"] == pytest.approx([(own[:, 4] ** 2).sum()])
+    assert len(got) == 5 * (3 + 2 + 1 + 3 * 2 + 2)
