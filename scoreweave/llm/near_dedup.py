@@ -28,7 +28,8 @@ from .components import components
 
 SHINGLE = 5
 FUNCTIONS = 128
-LEAF, LEAF_MOST = 256, 2048  # members compared exhaustively: at the roots, doubling with each level up to the second
+LEAF, LEAF_MOST = 1024, 2048  # members compared exhaustively: at the roots, doubling with each level up to the second
+CHAIN = 8192  # members in doubt that meet once, however many nodes they share
 TOGETHER = 2_000_000  # shingles of members that meet in one task with their full sets
 SURE = 106  # of FUNCTIONS equal: taken as linked while branching, confirmed in the end
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -142,12 +143,18 @@ def _fixed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
 
 
-def _near(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, rows: range, similarity: float, least: int) -> np.ndarray:
-    """(i, j, same): pairs of ``rows`` with larger ids of other components, where sizes and sketches allow the similarity."""
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal bytes of every two sketches: eight at a time are added as one number, no byte of which overflows."""
+    eights = (a == b).view(np.uint64)
+    return ((eights.sum(1, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def _near(order: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, rows: range, similarity: float, least: int) -> np.ndarray:
+    """(i, j, same): pairs of ``rows`` with later ones of other components, where sizes and sketches allow the similarity."""
     at = slice(rows.start, rows.stop)
-    i, j = np.nonzero((rep[at, None] < rep) & (comp[at, None] != comp) & (np.minimum(n[at, None], n) >= similarity * np.maximum(n[at, None], n) - 1e-9))
+    i, j = np.nonzero((order[at, None] < order) & (comp[at, None] != comp) & (np.minimum(n[at, None], n) >= similarity * np.maximum(n[at, None], n) - 1e-9))
     i += rows.start
-    same = (sk[i] == sk[j]).sum(1)
+    same = _equal(sk[i], sk[j])
     return np.stack([i, j, same])[:, same >= least]
 
 
@@ -166,8 +173,12 @@ def _leaf_pairs(similarity: float, least: int, sure: int):
                 own = [x[lo:hi] for x in (rep, comp, n, sk)]
                 low = int(own[0].argmin())
                 blocks = [range(low, low + 1)] if star else [range(k, min(k + 64, hi - lo)) for k in range(0, hi - lo, 64)]  # some rows against all
-                pairs = np.concatenate([_near(*own, rows, similarity, least) for rows in blocks], 1)
-                i, j, same = spanning(pairs, hi - lo, min(sure, FUNCTIONS))
+                pairs = np.empty((3, 0), np.int64)
+                for rows in blocks:  # a forest of the pairs so far and the next ones: never all pairs at once
+                    more = _near(*own, rows, similarity, least)
+                    if more.shape[1]:
+                        pairs = spanning(np.concatenate([pairs, more], 1), hi - lo, min(sure, FUNCTIONS))
+                i, j, same = pairs
                 for c, v in zip(found, (own[0][i], own[0][j], same)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in found], ["a", "b", "same"])
@@ -204,17 +215,20 @@ def _open_members(similarity: float, least: int):
     def run(batches):
         for b in _runs(batches, "node"):
             own = [b.column(c).to_numpy() for c in ("rep", "comp", "n")] + [_fixed(b.column("sketch"))]
-            blocks = [range(k, min(k + 64, b.num_rows)) for k in range(0, b.num_rows, 64)]
-            i, j, _ = np.concatenate([_near(*own, rows, similarity, least) for rows in blocks], 1)
-            if not len(i):
+            pairs, asked = np.empty((3, 0), np.int64), np.zeros(b.num_rows, bool)
+            for k in range(0, b.num_rows, 64):  # a forest of the pairs holds the same chains
+                more = _near(*own, range(k, min(k + 64, b.num_rows)), similarity, least)
+                if more.shape[1]:
+                    asked[more[:2].ravel()] = True
+                    pairs = spanning(np.concatenate([pairs, more], 1), b.num_rows, 0)
+            if not asked.any():
                 continue
+            i, j, _ = pairs
             low, was = own[0].copy(), None
             while was is None or (low != was).any():
                 was = low.copy()
                 np.minimum.at(low, j, low[i])
                 np.minimum.at(low, i, low[j])
-            asked = np.zeros(b.num_rows, bool)
-            asked[i] = asked[j] = True
             yield b.append_column("low", pa.array(low)).filter(pa.array(asked))
 
     return run
@@ -254,10 +268,12 @@ def _node_links(similarity: float, least: int, percent: int):
         for b in _runs(batches, "key"):
             rep, comp, n, part = (b.column(c).to_numpy() for c in ("rep", "comp", "n", "part"))
             sk, mixed, both = _fixed(b.column("sketch")), b.column("mixed").to_numpy(zero_copy_only=False), _Overlap(b.column("full"))
-            label = np.unique(comp, return_inverse=True)[1]
+            label, size = np.unique(comp, return_inverse=True, return_counts=True)[1:]
+            order = np.empty(len(rep), np.int64)
+            order[np.lexsort((rep, label, size[label]))] = np.arange(len(rep))  # members of small components ask those of large ones
             links = []
             for k in range(0, len(rep), 64):
-                i, j, _ = _near(rep, comp, n, sk, range(k, min(k + 64, len(rep))), similarity, least)
+                i, j, _ = _near(order, comp, n, sk, range(k, min(k + 64, len(rep))), similarity, least)
                 fits = ~(mixed[i] & (part[i] == part[j]))
                 i, j = i[fits], j[fits]
                 for x in np.unique(i).tolist():
@@ -369,7 +385,7 @@ def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, full: Da
     """(node, component): ``groups`` joined by all links in the small nodes that the confirmed forests left out.
 
     Nodes whose members still lie in different components are compared again by sketches.  Members in doubt meet with their full sets, once if
-    the chains of doubtful pairs that hold them span at most ``LEAF_MOST`` members, else in each of their nodes; the task confirms pairs and gives
+    the chains of doubtful pairs that hold them span at most ``CHAIN`` members, else in each of their nodes; the task confirms pairs and gives
     a forest of links, so no pair leaves it unconfirmed.  Where more than ``TOGETHER`` shingles meet, they are dealt in parts, every two of which meet."""
     known = leaves.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left")
     known = known.select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -380,7 +396,7 @@ def _second_look(leaves: DataFrame, sets: DataFrame, groups: DataFrame, full: Da
     if asked.isEmpty():
         return groups
     chains = components(asked.select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
-    spans = chains.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= LEAF_MOST)
+    spans = chains.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= CHAIN)
     short = chains.join(spans, "component").select(F.col("node").alias("rep"), F.xxhash64("component", F.lit("chain")).alias("chain"))
     asked = asked.join(short, "rep", "left").withColumn("node", F.coalesce("chain", "node"))
     asked = settle(asked.select("node", "rep", "comp", "n", "sketch").dropDuplicates(["node", "rep"]))
