@@ -10,6 +10,7 @@ piece finds its place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -24,7 +25,7 @@ from .common import col, settle, texts, words
 
 END = b"\x00\x00\x00\x00"  # id 0 closes a document
 CACHED_WORDS = 400_000  # words remembered in a Python worker, twice; others are coded again
-MARKS = b".,;:!?"
+MARKS = b".,;:!?#$%&*"
 DOCUMENTS = 500  # documents whose words are held at once
 SHARE = 250  # pieces of one length that are numbered together
 
@@ -156,24 +157,47 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], count: dict[int, int])
     return first, np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _letters(word: str) -> bool:
-    """Whether the tokenizer sees letters only: composed and lower-cased, some letters end in a mark that would join the marks behind."""
-    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_other = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _own)}  # bytes that a byte-level model does not write as themselves
+LETTERS = {chr(c): "".join(chr(_other.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
+LATIN = "\u0250"  # below it composing and lower case are the same in every Unicode version
+PROBES = (b"word", "na\u00efvet\u00e9".encode(), "\u0142\u00e0n".encode(), "ouanqu\u00ea\u00ff".encode())
+
+
+def _letters(word: str) -> str | None:
+    """The word as the tokenizer sees it, if that is letters only: composed and lower-cased, some letters end in a mark that would join the marks behind."""
+    if not word.isalpha():
+        return None
+    seen = unicodedata.normalize("NFC", word).lower()
+    return seen if seen.isalpha() else None
+
+
+def _byte_level(seen: str) -> str:
+    """A Latin word in the letters of a byte-level model."""
+    return seen if seen.isascii() else "".join([LETTERS[c] for c in seen])
 
 
 class _WordIds:
     """Ids of words as little-endian bytes, remembered while they are in use.
 
     The tokenizer sees letters and marks apart and ignores the case of ASCII letters, so a word of letters with closing marks
-    is the ids of both."""
+    is the ids of both.  Latin letters go to the tokenizer's model at once, where this gives what the whole tokenizer does;
+    all else goes through its normaliser and splitter."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(tokenizer)
+        self.model = self.coder.model
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self._code(set(PROBES))
+        self.direct = all(self._model_ids(_byte_level(w.decode())) == self.ids[w] for w in PROBES)
+
+    def _model_ids(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _code(self, wanted: set[bytes]) -> None:
         """Ids of ``wanted`` as they are."""
@@ -199,10 +223,16 @@ class _WordIds:
                 self.ids[w] = self.older[w]
                 continue
             core = w.lower().rstrip(MARKS)  # bytes: A-Z only
-            if core == w or not (core.isalpha() or _letters(core.decode())):
+            seen = core.decode() if core.isalpha() else _letters(core.decode())
+            if seen is None:
                 whole.add(w)
-            else:
+                continue
+            if self.direct and core not in self.ids and (seen.isascii() or max(seen) < LATIN):
+                self.ids[core] = self.older[core] if core in self.older else self._model_ids(_byte_level(seen))
+            if core != w:
                 split[w] = (core, w[len(core) :])
+            elif w not in self.ids:
+                whole.add(w)
         self._code(whole | {p for parts in split.values() for p in parts if p})
         for w, (core, marks) in split.items():
             self.ids[w] = self.ids[core] + (self.ids[marks] if marks else b"")
