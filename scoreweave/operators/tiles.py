@@ -114,6 +114,11 @@ def _multiply(tiles: TileMoments, per: int, first: list[int], pairs: list[tuple[
                 a = _columns(b.column(2), of_pair, left, shift)
                 c = a if i == j else _columns(b.column(3), of_pair, right, shift)
                 code = codes[of_pair]
+                if len(pairs) == 1:  # a whole row
+                    fine = np.isfinite(a).all(1)
+                    if not fine.all():
+                        a, code = a[fine], code[fine]
+                        c = a
                 features = max(0, min(left.stop, dim_x) - left.start)
                 for k in np.unique(code):
                     rows = code == k
@@ -153,9 +158,8 @@ def gram_tiles(df: DataFrame, part: str, x: str, y: str, tile: int = TILE) -> Ti
     out = TileMoments(df, d, t, tile, shift)
     per, first, pairs = _held(out)
     whole = F.concat(A.as_double(x), A.as_double(y))
-    fine = F.forall(whole, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = df.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), whole.alias("w"), fine.alias("_fine")).where("_fine")
-    if len(pairs) == 1:  # nothing but sums is shuffled
+    rows = df.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), whole.alias("w")).where("w is not null")
+    if len(pairs) == 1:  # nothing but sums is shuffled; entries are tested where the rows are whole
         rows = rows.select("part", F.lit(0).alias("pair"), F.col("w").alias("a"), F.lit(None).cast("array<double>").alias("b"))
     else:
 
@@ -164,6 +168,7 @@ def gram_tiles(df: DataFrame, part: str, x: str, y: str, tile: int = TILE) -> Ti
             starts = F.array(*[F.lit(c) for c in first])
             return F.slice("w", F.get(starts, span) + 1, F.get(starts, F.least(span + per, F.lit(len(first) - 1))) - F.get(starts, span))
 
+        rows = rows.where(F.forall("w", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
         same = F.get(F.array(*[F.lit(i == j) for i, j in pairs]), F.col("pair"))
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         salts = max(1, -(-tasks // len(pairs)))
